@@ -6,6 +6,8 @@ formed, so nothing here can fail a task under ANSI mode.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,15 @@ _NOT_TITLE = f"(?<!{_CASED})\\p{{Ll}}|(?<={_CASED})[\\p{{Lu}}\\p{{Lt}}]"
 _WORD_GAP = f"(?:(?<!\\p{{Punct}})\\p{{Punct}}++)?{C.WS}+\\p{{Punct}}*"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once, however often the body uses it.
+
+    Common parts inside a conditional branch are not shared by the optimizer, so a
+    costly decode used twice would run twice.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trim_whitespace(text: Column) -> Column:
     return F.btrim(text, F.lit(C.WHITESPACE))
 
@@ -87,9 +98,14 @@ def extra_bytes(text: Column) -> Column:
 
 def printable_share(data: Column) -> Column:
     """Share of bytes that are printable ASCII or tab..carriage return; NULL if empty."""
-    latin = F.decode(data, "iso-8859-1")
-    kept = F.regexp_replace(latin, "[^\\x20-\\x7e\\x09-\\x0d]+", "")
-    return F.try_divide(F.length(kept), F.octet_length(data))
+    # one Latin-1 character per byte, so both lengths come from the one decode
+    return bind(
+        F.decode(data, "iso-8859-1"),
+        lambda latin: F.try_divide(
+            F.length(F.regexp_replace(latin, "[^\\x20-\\x7e\\x09-\\x0d]+", "")),
+            F.length(latin),
+        ),
+    )
 
 
 def is_printable(data: Column) -> Column:
@@ -97,10 +113,12 @@ def is_printable(data: Column) -> Column:
 
 
 def decode_base64(text: Column) -> Column:
-    """BINARY, or NULL unless the text is padded, well-formed base64."""
+    """BINARY, or NULL unless the text is padded, well-formed base64.
+
+    The test in front leaves nothing the decoder could refuse.
+    """
     return F.when(
-        (F.length(text) % 4 == 0) & text.rlike(_BASE64_TEXT),
-        F.try_to_binary(text, F.lit("base64")),
+        (F.length(text) % 4 == 0) & text.rlike(_BASE64_TEXT), F.unbase64(text)
     )
 
 
@@ -155,8 +173,11 @@ def decoded_escape_length(text: Column) -> Column:
 
 
 def _unknown_escapes(text: Column) -> Column:
+    unknown = "\\\\[^uUxN0-7\\\\'\"abfnrtv\\n]"
     tokens = F.regexp_extract_all(text, F.lit(f"({ANY_ESCAPE})"), F.lit(1))
-    return F.filter(tokens, lambda t: t.rlike("(?s)^\\\\[^uUxN0-7\\\\'\"abfnrtv\\n]\\z"))
+    return F.when(
+        text.rlike(unknown), F.filter(tokens, lambda t: t.rlike(f"^{unknown}\\z"))
+    ).otherwise(F.array().cast("array<string>"))
 
 
 def _escape_code_point(token: Column) -> Column:

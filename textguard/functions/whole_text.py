@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,36 +21,33 @@ def _flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def is_base64_text(text: Column) -> Column:
-    packed = P.remove_whitespace(text)
+def _packed_decodes(
+    text: Column, chars: str, at_least: int, decode: Callable[[Column], Column]
+) -> Column:
+    """Text of the given characters and whitespace only, decoding to printable bytes."""
     return _flag(
         F.when(
-            _only(text, "A-Za-z0-9+/="),
-            F.when(F.length(packed) >= 16, P.is_printable(P.decode_base64(packed))),
+            _only(text, chars),
+            P.bind(
+                P.remove_whitespace(text),
+                lambda packed: F.when(
+                    F.length(packed) >= at_least, P.is_printable(decode(packed))
+                ),
+            ),
         )
     )
 
 
+def is_base64_text(text: Column) -> Column:
+    return _packed_decodes(text, "A-Za-z0-9+/=", 16, P.decode_base64)
+
+
 def is_hex_text(text: Column) -> Column:
-    packed = P.remove_whitespace(text)
-    return _flag(
-        F.when(
-            _only(text, "0-9a-fA-F"),
-            F.when(F.length(packed) >= 16, P.is_printable(P.decode_hex(packed))),
-        )
-    )
+    return _packed_decodes(text, "0-9a-fA-F", 16, P.decode_hex)
 
 
 def is_binary_text(text: Column) -> Column:
-    packed = P.remove_whitespace(text)
-    return _flag(
-        F.when(
-            _only(text, "01"),
-            F.when(
-                F.length(packed) >= 32, P.is_printable(P.decode_binary_digits(packed))
-            ),
-        )
-    )
+    return _packed_decodes(text, "01", 32, P.decode_binary_digits)
 
 
 def is_url_encoded_text(text: Column) -> Column:
