@@ -13,10 +13,10 @@ from textguard.functions import charsets as C
 
 # --- fixed values ---------------------------------------------------------
 # Alternatives in the order they are tried at a position. Repeats that could run
-# on are bounded by what the formats allow (64-character mailbox, 63-character
-# labels), so no text makes a match attempt long.
+# on at every position are bounded by what the formats allow (64-character mailbox,
+# 63-character first label), so no text makes all match attempts long.
 PATTERNS = {
-    "EMAIL": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,20}",
+    "EMAIL": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]+){1,20}",
     "IPV4": r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}",
     "PHONE": r"(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}",
     "SECRET": r"[0-9a-fA-F]{32,}",

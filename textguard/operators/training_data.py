@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.operators.ranking import grouped_rank, hash_bucket, id_bucket
+from textguard.sources.shared import cut
 
 BENIGN, JAILBREAK = 0, 1
 BENIGN_CAP = 600
@@ -115,11 +116,20 @@ def prepare(
     benign_cap: int | None = BENIGN_CAP,
     seed: int = 42,
 ) -> DataFrame:
-    """The whole preparation: ``(key, text, label, position, is_eval)``."""
+    """The whole preparation: ``(key, text, label, position, is_eval)``.
+
+    Texts are read once to drop the empty ones and once for the rows that stay. All
+    counting and ranking in between runs on a written table of keys and labels.
+    """
     bad = with_label(drop_empty(hostile, text), JAILBREAK)
     good = with_label(drop_empty(benign, text), BENIGN)
+    keys = cut(bad.select(key, "label").unionByName(good.select(key, "label")))
     if benign_cap is not None:
-        good = first_rows(good, benign_cap, key)
-    cols = [key, text, "label"]
-    both = interleave(balance(bad.select(cols).unionByName(good.select(cols)), key))
-    return stratified_split(both, key, seed=seed).drop("rn")
+        capped = first_rows(keys.filter(F.col("label") == BENIGN), benign_cap, key)
+        keys = keys.filter(F.col("label") == JAILBREAK).unionByName(capped.select(key, "label"))
+    chosen = cut(interleave(balance(keys, key)).drop("rn"))
+    placed = stratified_split(chosen, key, seed=seed)
+    texts = bad.select(key, "label", text).unionByName(good.select(key, "label", text))
+    return placed.join(texts, [key, "label"]).select(
+        key, text, "label", "position", "is_eval"
+    )

@@ -5,17 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder name under the cluster's ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a machine-local folder.
-    """
+def shared_root(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a machine-local folder only where the
+    session is local and names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="textguard-")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder name in shared storage."""
+    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """The rows written once to shared storage, for plans that read them several times."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_root(rows.sparkSession))
+    return rows.checkpoint()
