@@ -27,6 +27,7 @@ from textguard.streaming.guard_stream import start_guard
 # document messages get ids of their own, past those of the chat turns
 _DOC_IDS = 1_000_000_000_000
 _FORMS = ("plain", "leet_o")
+GATE_WORDS = HOSTILE_WORDS + ["disgusting", "pathetic", "scum", "trash", "worthless"]
 
 
 @register(
@@ -90,7 +91,7 @@ def guarded(spark, folder, **settings) -> DataFrame:
     return G.guard(
         messages(spark, folder),
         tables(spark, folder),
-        CL.word_list_scorer(HOSTILE_WORDS),
+        CL.word_list_scorer(GATE_WORDS),
         **settings,
     )
 
@@ -116,7 +117,7 @@ def guard_sql(source: str) -> str:
             FROM unflagged LEFT JOIN spoken USING (msg_id)
             LEFT JOIN memory ON lang_pair = lang || '|en' AND src_md5 = md5(text))
     ),
-    gated AS (SELECT *, 1 - pow(0.5, {hits_sql('current_text')}) AS score FROM current),
+    gated AS (SELECT *, 1 - pow(0.5, {hits_sql('current_text', GATE_WORDS)}) AS score FROM current),
     answers AS (
       SELECT conv_id * 100 + turn - 1 AS msg_id, text AS answer FROM conversations c
       WHERE role = 'assistant' AND EXISTS (SELECT 1 FROM conversations u WHERE u.role = 'user'
@@ -195,7 +196,7 @@ def blocked_by_classifier(spark, folder):
     opened = G.translate(
         G.check_obfuscation(messages(spark, folder)), tables(spark, folder)
     )
-    gated = G.gate(opened, CL.word_list_scorer(HOSTILE_WORDS))
+    gated = G.gate(opened, CL.word_list_scorer(GATE_WORDS))
     return gated.filter(F.col("verdict") == G.BLOCKED_JAILBREAK).select(
         "msg_id", F.format_string("%.4f", "score").alias("score")
     )
@@ -297,7 +298,7 @@ def guard_stream(spark, folder):
     running = start_guard(
         arriving,
         tables(spark, folder),
-        CL.word_list_scorer(HOSTILE_WORDS),
+        CL.word_list_scorer(GATE_WORDS),
         f"{home}/verdicts",
         f"{home}/checkpoint",
         available_now=True,

@@ -19,15 +19,15 @@ from textguard.sources.tables import read_labelled, read_table, spread
 
 # A short list, so that predictions are neither all right nor all wrong.
 HOSTILE_WORDS = ["clown", "idiot", "loser", "moron", "stupid"]
-_LISTED = ", ".join(f"'{w}'" for w in HOSTILE_WORDS)
 
 
 def tokens_sql(text: str) -> str:
     return f"regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')"
 
 
-def hits_sql(text: str) -> str:
-    return f"len(list_filter({tokens_sql(text)}, lambda w: w IN ({_LISTED})))"
+def hits_sql(text: str, words: list[str] = HOSTILE_WORDS) -> str:
+    listed = ", ".join(f"'{w}'" for w in words)
+    return f"len(list_filter({tokens_sql(text)}, lambda w: w IN ({listed})))"
 
 
 def labelled(spark, folder) -> DataFrame:
