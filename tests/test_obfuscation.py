@@ -222,7 +222,7 @@ ODD = st.text(
 
 def spark_texts(test):
     return settings(
-        max_examples=8,
+        max_examples=3,
         deadline=None,
         suppress_health_check=[HealthCheck.function_scoped_fixture],
     )(given(st.lists(ODD, min_size=40, max_size=60))(test))
@@ -318,7 +318,7 @@ WORDY = st.text(alphabet=st.sampled_from(list("acegintdrypl" "AGZ" "éßÉ" "01
 
 
 @settings(
-    max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+    max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )
 @given(st.lists(WORDY, min_size=200, max_size=300))
 def test_ordinary_words_get_the_cascade_mark(spark, words):

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textguard.functions import charsets as C
+from textguard.functions import primitives as P
 
 # --- fixed values ---------------------------------------------------------
 # Alternatives in the order they are tried at a position. Repeats that could run
@@ -65,36 +66,46 @@ def tidy(text: Column) -> Column:
 
 
 def _mask_together(text: Column) -> Column:
-    def build(pattern: str) -> Column:
-        gaps = F.split(text, pattern)
+    def join(gaps: Column) -> Column:
         inner = F.filter(
             F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 2, F.lit(0))),
             lambda g: ~_blank(g),
         )
         ends = (F.slice(gaps, F.lit(1), F.lit(1)), F.slice(gaps, F.lit(-1), F.lit(1)))
-        joined = F.array_join(F.concat(ends[0], inner, ends[1]), REDACTED)
-        return F.when(text.rlike(pattern), joined).otherwise(text)
+        return F.array_join(F.concat(ends[0], inner, ends[1]), REDACTED)
+
+    def build(pattern: str) -> Column:
+        return F.when(text.rlike(pattern), P.bind(F.split(text, pattern), join)).otherwise(text)
 
     return _by_email(text, build)
 
 
 def _mask_typed(text: Column) -> Column:
-    gaps, matches = find_gaps(text), find_matches(text)
-    labels = F.transform(matches, match_label)
+    def join(found: Column) -> Column:
+        gaps, labels = found["gaps"], found["labels"]
+
+        def piece(i: Column) -> Column:
+            label, before = F.element_at(labels, i), F.element_at(labels, F.greatest(i - 1, F.lit(1)))
+            mark = F.concat(F.lit("["), label, F.lit("]"))
+            gap = F.element_at(gaps, i)
+            return (
+                F.when((i == 1) | ~_blank(gap), F.concat(gap, mark))
+                .when(label == before, "")
+                .otherwise(mark)
+            )
+
+        body = F.transform(F.sequence(F.lit(1), F.size(labels)), piece)
+        return F.concat(F.array_join(body, ""), F.element_at(gaps, -1))
 
-    def piece(i: Column) -> Column:
-        mark = F.concat(F.lit("["), F.element_at(labels, i), F.lit("]"))
-        gap = F.element_at(gaps, i)
-        return (
-            F.when((i == 1) | ~_blank(gap), F.concat(gap, mark))
-            .when(F.element_at(labels, i) == F.element_at(labels, F.greatest(i - 1, F.lit(1))), "")
-            .otherwise(mark)
+    def build(pattern: str) -> Column:
+        matches = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+        found = F.struct(
+            F.split(text, pattern).alias("gaps"),
+            F.transform(matches, match_label).alias("labels"),
         )
+        return F.when(text.rlike(pattern), P.bind(found, join)).otherwise(text)
 
-    body = F.array_join(F.transform(F.sequence(F.lit(1), F.size(matches)), piece), "")
-    return F.when(
-        F.size(matches) > 0, F.concat(body, F.element_at(gaps, -1))
-    ).otherwise(text)
+    return _by_email(text, build)
 
 
 def mask_pii(text: Column, aggregate: bool = True) -> Column:

@@ -24,10 +24,11 @@ def spread(rows: DataFrame) -> DataFrame:
     """Rows over all cores when the scan has fewer pieces than there are cores.
 
     Text rules cost far more than reading, and a table of one small file would keep one
-    core busy. A table of many files is left as it is: no shuffle.
+    core busy. Texts differ in length a thousandfold, so the pieces are cut smaller than
+    one per core. A table of many files is left as it is: no shuffle.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(4 * cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
