@@ -44,6 +44,16 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def settled(**columns: Column) -> Column:
+    """The columns as the output of a one-row generator.
+
+    A filter on a computed column is pushed down by writing its expression out below,
+    so costly expressions would run once more for every such filter. Filters stop above
+    a generator, and the columns are worked out exactly once.
+    """
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+
+
 def trim_whitespace(text: Column) -> Column:
     return F.btrim(text, F.lit(C.WHITESPACE))
 

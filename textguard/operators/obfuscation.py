@@ -118,14 +118,17 @@ def mark_words(
     trimmed = messages.select(*kept, P.trim_whitespace(F.col(text)).alias("_trimmed"))
     judged = trimmed.select(
         *kept,
-        whole_text_label(F.col("_trimmed"), reversed_rule).alias("whole_type"),
+        whole_text_label(F.col("_trimmed"), reversed_rule).alias("_whole"),
         P.split_cores(F.col("_trimmed")).alias("_cores"),
     )
+    whole, cores = F.col("_whole"), F.col("_cores")
     return judged.select(
         *kept,
-        "whole_type",
-        F.when(F.col("_cores").isNotNull(), F.size("_cores")).alias("n_words"),
-        F.when(F.col("whole_type").isNull(), WD.word_marks(F.col("_cores"))).alias("marks"),
+        P.settled(
+            whole_type=whole,
+            n_words=F.when(cores.isNotNull(), F.size(cores)),
+            marks=F.when(whole.isNull(), WD.word_marks(cores)),
+        ),
     )
 
 

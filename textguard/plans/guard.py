@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions import decisions as D
+from textguard.functions import primitives as P
 from textguard.functions import redact as R
 from textguard.operators import translation as TR
 from textguard.operators.language import detect_language
@@ -108,20 +109,17 @@ def translate(messages: DataFrame, tables: GuardTables) -> DataFrame:
 def gate(messages: DataFrame, scorer: Scorer, any_class: bool = False) -> DataFrame:
     """Adds ``score`` and blocks rows above the threshold; a missing score is an error."""
     scored = scorer(messages, "current_text")
-    score = D.gate_score(F.col("p0"), F.col("p1"), any_class)
-    return (
-        scored.withColumn("score", F.when(F.col("verdict").isNull(), score))
-        .withColumn(
-            "verdict",
-            F.coalesce(
-                F.col("verdict"),
-                F.when(F.col("score").isNull(), ERROR).when(
-                    F.col("score") > D.GATE_THRESHOLD, BLOCKED_JAILBREAK
-                ),
-            ),
-        )
-        .drop("p0", "p1")
+    kept = [F.col(f"`{c}`") for c in messages.columns if c != "verdict"]
+    score = F.when(
+        F.col("verdict").isNull(), D.gate_score(F.col("p0"), F.col("p1"), any_class)
+    )
+    judged = scored.select(
+        *kept, F.col("verdict").alias("_before"), P.settled(score=score)
+    )
+    verdict = F.when(F.col("score").isNull(), ERROR).when(
+        F.col("score") > D.GATE_THRESHOLD, BLOCKED_JAILBREAK
     )
+    return judged.withColumn("verdict", F.coalesce("_before", verdict)).drop("_before")
 
 
 def answer(messages: DataFrame, tables: GuardTables) -> DataFrame:
