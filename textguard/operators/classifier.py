@@ -47,22 +47,14 @@ def score(
     rows: DataFrame, model: PipelineModel, text: str = "text", trained_on: str = "text"
 ) -> DataFrame:
     """Adds ``p0`` and ``p1``. NULL texts are scored NULL instead of failing the job."""
-    kept = [F.col(f"`{c}`") for c in rows.columns if c != trained_on or text == trained_on]
-    fed = rows.withColumn("_own", F.col(text)).withColumn(
-        trained_on, F.coalesce(F.col(text), F.lit(""))
+    fed = rows.select(
+        F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"),
+        F.coalesce(F.col(text), F.lit("")).alias(trained_on),
     )
-    if text != trained_on and trained_on in rows.columns:
-        fed = rows.withColumn("_own", F.col(text)).withColumn("_kept", F.col(trained_on))
-        fed = fed.withColumn(trained_on, F.coalesce(F.col(text), F.lit("")))
-        kept.append(F.col("_kept").alias(trained_on))
-    elif text == trained_on:
-        kept = [
-            F.col("_own").alias(text) if c == text else F.col(f"`{c}`") for c in rows.columns
-        ]
-    scored = model.transform(fed).withColumn("_p", vector_to_array("probability"))
-    known = F.col("_own").isNotNull()
+    scored = model.transform(fed).select("_row", vector_to_array("probability").alias("_p"))
+    known = F.col(f"_row.{text}").isNotNull()
     return scored.select(
-        *kept,
+        "_row.*",
         F.when(known, F.col("_p")[0]).alias("p0"),
         F.when(known, F.col("_p")[1]).alias("p1"),
     )

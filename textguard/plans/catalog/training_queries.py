@@ -31,8 +31,8 @@ def hits_sql(text: str, words: list[str] = HOSTILE_WORDS) -> str:
 
 
 def labelled(spark, folder) -> DataFrame:
-    documents = read_table(spark, folder, "documents")
-    return spread(read_labelled(documents, read_table(spark, folder, "labels"), "toxic"))
+    documents = spread(read_table(spark, folder, "documents").select("doc_id", "text"))
+    return read_labelled(documents, read_table(spark, folder, "labels"), "toxic")
 
 
 LABELLED_SQL = """

@@ -21,7 +21,10 @@ DOCUMENT_SCHEMA = T.StructType(
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores when the scan has fewer pieces than there are cores.
+    """A scan's rows over all cores when it has fewer pieces than there are cores.
+
+    For scans only, before any join: asking a plan with exchanges for its partitions
+    would run them.
 
     Text rules cost far more than reading, and a table of one small file would keep one
     core busy. Texts differ in length a thousandfold, so the pieces are cut smaller than
