@@ -30,8 +30,11 @@ def hits_sql(text: str, words: list[str] = HOSTILE_WORDS) -> str:
     return f"len(list_filter({tokens_sql(text)}, lambda w: w IN ({listed})))"
 
 
-def labelled(spark, folder) -> DataFrame:
-    documents = spread(read_table(spark, folder, "documents").select("doc_id", "text"))
+def labelled(spark, folder, reads_texts: bool = False) -> DataFrame:
+    """Labelled documents, over all cores where the query works on the texts."""
+    documents = read_table(spark, folder, "documents").select("doc_id", "text")
+    if reads_texts:
+        documents = spread(documents)
     return read_labelled(documents, read_table(spark, folder, "labels"), "toxic")
 
 
@@ -193,7 +196,7 @@ def tokens_cut_at_128(spark, folder):
         FROM labelled""",
 )
 def tokenised_examples(spark, folder):
-    rows = TD.tokenise(labelled(spark, folder))
+    rows = TD.tokenise(labelled(spark, folder, True))
     return rows.withColumn("tokens", F.array_join("tokens", " "))
 
 
@@ -224,7 +227,7 @@ def prepared_training_set(spark, folder):
 # --- decisions and metrics over the word-list scorer ----------------------
 def scored(spark, folder) -> DataFrame:
     scorer = CL.word_list_scorer(HOSTILE_WORDS)
-    return scorer(labelled(spark, folder), "text").select("doc_id", "label", "p0", "p1")
+    return scorer(labelled(spark, folder, True), "text").select("doc_id", "label", "p0", "p1")
 
 
 SCORED_SQL = f"""{LABELLED_SQL},
@@ -362,7 +365,7 @@ STEPS = 8
 
 def metric_log(spark, folder) -> DataFrame:
     """One evaluation per step: at step k a text is hostile from k listed words on."""
-    hits = labelled(spark, folder).select(
+    hits = labelled(spark, folder, True).select(
         "label", D.listed_word_hits(F.col("text"), HOSTILE_WORDS).alias("hits")
     )
     judged = hits.select(
