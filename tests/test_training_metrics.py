@@ -56,6 +56,11 @@ def test_cap_is_by_key_order(corpora):
     assert kept == list(range(1001, 1011))
 
 
+def test_one_class_alone_balances_to_nothing(corpora):
+    only = TD.with_label(corpora[0], TD.JAILBREAK)
+    assert TD.balance(only).count() == 0
+
+
 def test_tokens(spark):
     rows = spark.createDataFrame([("Ab, c1!  É" + " x" * 200,)], "text string")
     cut = TD.tokenise(rows)

@@ -30,8 +30,15 @@ def first_rows(rows: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
 
 
 def balance(rows: DataFrame, key: str = "doc_id", label: str = "label") -> DataFrame:
-    """Keeps the first rows of each class, as many as the smaller class has; adds ``rn``."""
-    smallest = rows.groupBy(label).count().agg(F.min("count").alias("n"))
+    """Keeps the first rows of each class, as many as the smaller class has; adds ``rn``.
+
+    A class without rows leaves none of the other.
+    """
+    smallest = rows.agg(
+        F.least(
+            F.count_if(F.col(label) == JAILBREAK), F.count_if(F.col(label) == BENIGN)
+        ).alias("n")
+    )
     ranked = grouped_rank(rows, [label], F.col(key), id_bucket(F.col(key)))
     return ranked.filter(F.col("rn") <= smallest.scalar())
 
