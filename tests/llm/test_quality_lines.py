@@ -1,0 +1,139 @@
+import hashlib
+import random
+
+import pytest
+import zstandard
+
+from textguard.llm import lines, quality
+
+SPACE = " \t\n\v\f\r"
+
+
+def split(text):
+    words, word = [], ""
+    for c in (text or "") + " ":
+        if c in SPACE:
+            words += [word] if word else []
+            word = ""
+        else:
+            word += c
+    return words
+
+
+def slow_verdict(text):
+    text = text or ""
+    words = split(text)
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(5)}
+    held = [line for line in text.split("\n") if split(line)]
+    failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
+    data = text.encode()
+    fine = True
+    if data:
+        ratio = lambda b: len(zstandard.ZstdCompressor(level=3).compress(b)) / len(b)
+        bands = [b for b in quality.DOCUMENT_BANDS if len(data) >= b.least]
+        fine = not bands or bands[-1].low <= ratio(data) <= bands[-1].high
+        if len(data) >= quality.CHUNK_BANDS[0].least:
+            size = quality.CHUNK_BYTES
+            parts = [data[i : i + size] for i in range(0, len(data), size)]
+            if len(parts) > 1 and len(parts[-1]) < size // 2:
+                parts[-2:] = [parts[-2] + parts[-1]]
+            for part in parts:
+                band = [b for b in quality.CHUNK_BANDS if len(part) >= b.least][-1]
+                fine = fine and band.low <= ratio(part) <= band.high
+    return (
+        len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(held) - len(set(held)),
+        len(covered), failed, not failed and fine,
+    )
+
+
+def hard_texts():
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choices("etaoinshr", k=rng.randint(1, 8))) for _ in range(n))
+    noise = "".join(chr(rng.randint(33, 0x2FFF)) for _ in range(3000))
+    return [
+        None, "", "\n \n", "one two", prose(9), prose(10), prose(12) + " x", prose(900), prose(3000),
+        "same line here now ok\n" * 400, "a b c d e f g h i j " * 2 + prose(200), noise, prose(700) + noise[:4096],
+        " ".join(noise[i : i + 7] for i in range(0, 3000, 7)), "# * $ % & | < >\n# * $ % & | < >\nx",
+        " ".join("".join(chr(rng.randint(33, 126)) for _ in range(40)) for _ in range(150)),
+        prose(500) + "z " * 9000, "w" * 300_000,
+    ]
+
+
+def test_verdicts_match_the_plain_rules(spark):
+    texts = hard_texts()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    names = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
+    found = {r.doc_id: tuple(r[n] for n in names) for r in quality.judge(frame).collect()}
+    assert found == {i: slow_verdict(text) for i, text in enumerate(texts)}
+    assert any(not v[5] and not v[6] for v in found.values())  # the bands alone reject some
+
+
+def test_quality_keeps_columns_and_repeats(spark):
+    good = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, good, "k", 2), (1, good, "k", 2), (None, None, None, None), (3, "few words", "m", 1)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, kept string, n_words int")
+    assert quality.keep_good(frame).collect() == frame.where("doc_id = 1").collect()
+    assert "kept" in quality.judge(frame).columns
+    empty = frame.limit(0)
+    assert quality.judge(empty).count() == quality.keep_good(empty).count() == 0
+
+
+def slow_lines(rows):
+    key = lambda line: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(SPACE))
+    holders = {}
+    for doc, text in rows:
+        for line in (text or "").split("\n"):
+            if len(key(line)) >= 20:
+                holders.setdefault(key(line), set()).add(-(1 << 63) if doc is None else doc)
+    out = []
+    for doc, text in rows:
+        doc = -(1 << 63) if doc is None else doc
+        all_lines = (text or "").split("\n")
+        kept = [x for x in all_lines if len(holders.get(key(x), ())) < 3 or max(holders[key(x)]) == doc]
+        out.append((doc, len(all_lines), len(all_lines) - len(kept), "\n".join(kept)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("most_bits", [1 << 10, lines.MOST_BITS])
+def test_lines_match_the_plain_rules(spark, most_bits):
+    """With 1,024 bits nearly every line is suspected; the result is the same."""
+    rng = random.Random(11)
+    shared = [f"This is the shared line number {i} of them" for i in range(30)] + ["é" * 19, "é" * 20, "short"]
+    rows = []
+    for doc in range(120):
+        picked = rng.sample(shared, rng.randint(0, 6)) + [f"own line of document {doc} only, nothing else"] * 2
+        picked = [rng.choice([x, x.upper() if x.isascii() else x, f" \t{x}\v", x + "\r"]) for x in picked]
+        rng.shuffle(picked)
+        rows.append((doc, "\n".join(picked)))
+    hot = "the line that a third of all documents hold"
+    rows = [(d, t + "\n" + hot if d % 3 == 0 else t) for d, t in rows]
+    rows += [(200, None), (201, ""), (202, "\n\n"), (None, hot), (5, hot + "\nagain"), (203, hot), (204, "x" * 400_000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    done = lines.drop_repeated_lines(frame, most_bits=most_bits)
+    found = sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.n_lines, r.n_dropped, r.text) for r in done.collect())
+    assert found == slow_lines(rows)
+    assert any(r[2] for r in found)
+
+
+def test_lines_keep_columns_and_empty_tables(spark):
+    line = "a line that is long enough"
+    rows = [(i, line, "k", i) for i in range(4)] + [(3, line, "k", 3)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, key string, doc int")
+    done = lines.drop_repeated_lines(frame)
+    assert done.columns == ["doc_id", "key", "doc", "text", "n_lines", "n_dropped"]
+    assert sorted((r.doc_id, r.doc, r.text) for r in done.collect()) == [(0, 0, ""), (1, 1, ""), (2, 2, ""), (3, 3, line), (3, 3, line)]
+    assert lines.drop_repeated_lines(frame.limit(0)).count() == 0
+
+
+def test_two_arrays_merge_in_any_order():
+    keys = [f"key number {i}" for i in range(300)]
+    whole, left, right = (lines.SeenBits(1 << 12) for _ in range(3))
+    for n, part in ((0, left), (1, right)):
+        for _ in range(2):
+            spots = lines.probes(keys[n::2] + keys[:5], 1 << 12).ravel()
+            whole.add(spots)
+            part.add(spots)
+    right.merge(0, left.once[0], left.twice[0])
+    assert (whole.once[0] == right.once[0]).all() and (whole.twice[0] == right.twice[0]).all()
+    assert hashlib.md5(whole.twice[0].tobytes()).digest() == hashlib.md5(right.twice[0].tobytes()).digest()
