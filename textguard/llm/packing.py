@@ -42,7 +42,7 @@ CAPACITY = 4096
 END_ID = 1
 NODES = 4_000
 #: Distinct words a task keeps the ids of at a time.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 VOCABULARY = "word_bpe_49k.json"
 #: Fillings tried at a node.
 BRANCHES = 3

@@ -97,3 +97,35 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     from textguard.llm.packing import pack
 
     return pack(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+OP4_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, s, sha256(array_to_string(w[s:s + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM words WHERE len(w) >= 50)),
+least AS (SELECT h, min(doc_id) AS d FROM windows GROUP BY h),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i
+  FROM windows JOIN least USING (h) WHERE d < doc_id),
+placed AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM words),
+judged AS (
+  SELECT p.doc_id, p.x, p.i, g.i IS NOT NULL AS removed
+  FROM placed p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i),
+found AS (
+  SELECT doc_id, count(*) AS n, sum(CASE WHEN removed THEN 1 ELSE 0 END) AS r,
+         string_agg(x, ' ' ORDER BY i) FILTER (WHERE NOT removed) AS kept
+  FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, CAST(coalesce(r, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN found USING (doc_id)
+"""
+
+
+@query("op4_repeated_passages", OP4_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from textguard.llm.repeats import drop_repeats
+
+    done = drop_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

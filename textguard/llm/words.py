@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that a task works on at a time; a longer text makes a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 #: Odd multipliers of the 64-bit finaliser (splitmix64).
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -43,6 +43,7 @@ def slices(
             stop = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield batch.slice(at, stop - at)
             at = stop
+        pa.default_memory_pool().release_unused()
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
