@@ -129,3 +129,10 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
     done = drop_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op8_scaled_sketch")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from textguard.llm.sketch import NEW, compare
+
+    return compare(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", *NEW)

@@ -38,28 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textguard.llm.scratch import written
-from textguard.llm.words import mixed, slices, words_of
+from textguard.llm.words import BASE, Rolling, mixed, slices, word_names, words_of
 
 WINDOW = 50
 ROUNDS = 5
 MOST_WORDS = 16
 NO_ID = -(1 << 63)
 
-_BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-_INVERSE = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASE)
-
-
-def word_names(flat: pa.Array, lane: int) -> np.ndarray:
-    """A 64-bit name for each word: a sum of its bytes by keys of their places, mixed."""
-    offsets = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1].astype(np.int64)
-    data = np.frombuffer(flat.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    starts = offsets[:-1] - offsets[0]
-    lengths = np.diff(offsets)
-    keys = mixed(np.arange(int(lengths.max()), dtype=np.uint64) * _BASE[lane] + _BASE[1 - lane])
-    products = keys[np.arange(len(data)) - np.repeat(starts, lengths)]
-    products *= data.astype(np.uint64) + np.uint64(1)
-    return mixed(np.add.reduceat(products, starts))
-
 
 class Parse:
     """The symbols of a flat word sequence after the rounds.
@@ -100,7 +85,7 @@ class Parse:
         long = np.repeat(counts > MOST_WORDS, counts)
         name = self.name.copy()
         many = (counts > 1) & (counts <= MOST_WORDS)
-        name[at[many]] = mixed(name[at[many]] * _BASE[0] + counts[many].astype(np.uint64))
+        name[at[many]] = mixed(name[at[many]] * BASE[0] + counts[many].astype(np.uint64))
         low, high = self._depend()
         # inside an overlong run, being overlong is seen from as many words around
         low, high = np.where(long, low - MOST_WORDS, low), np.where(long, high + MOST_WORDS, high)
@@ -114,7 +99,7 @@ class Parse:
         second = np.append(False, pair)
         name = self.name.copy()
         at = np.flatnonzero(pair)
-        name[at] = mixed(mixed(name[at] + _BASE[1]) + name[at + 1] * _BASE[0] + np.uint64(round_))
+        name[at] = mixed(mixed(name[at] + BASE[1]) + name[at + 1] * BASE[0] + np.uint64(round_))
         # a left symbol looks at its right neighbour only, and the other way round
         low, high = self._depend()
         full = self.stop - self.start >= MOST_WORDS
@@ -150,22 +135,6 @@ def anchors(parse: Parse, words: int) -> np.ndarray:
     return owner
 
 
-class Rolling:
-    """Hashes of any range of a flat name sequence."""
-
-    def __init__(self, names: np.ndarray, lane: int):
-        steps = np.full(len(names), _BASE[lane], np.uint64)
-        steps[:1] = 1
-        back = np.full(len(names) + 1, _INVERSE[lane], np.uint64)
-        back[:1] = 1
-        self.sums = np.append(np.uint64(0), np.cumsum(names * np.cumprod(steps)))
-        self.back = np.cumprod(back)
-
-    def __call__(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        ranges = (self.sums[stops] - self.sums[starts]) * self.back[starts]
-        return mixed(ranges ^ mixed((stops - starts).astype(np.uint64)))
-
-
 def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 

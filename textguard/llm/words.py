@@ -11,7 +11,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import SparkSession
 
 #: The same words as a Java or SQL pattern.
@@ -23,6 +22,10 @@ SLICE_BYTES = 2 << 20
 #: Odd multipliers of the 64-bit finaliser (splitmix64).
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
+#: Odd bases of the two rolling hashes, and their inverses.
+BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_INVERSE = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in BASE)
+
 
 def bounded_batches(spark: SparkSession) -> None:
     """Keep the batches that Spark hands to Python workers small, for tables of long texts."""
@@ -75,17 +78,35 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashes(distinct: pa.Array, seed: int = 0) -> np.ndarray:
-    """XXH64 of each string's UTF-8 bytes."""
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter(
-        (digest(word, seed) for word in distinct.cast(pa.binary()).to_pylist()),
-        np.uint64,
-        len(distinct),
-    )
-
-
 def windows_in_rows(bounds: np.ndarray, width: int) -> np.ndarray:
     """Flat positions at which ``width`` consecutive words of one row start."""
     starts = np.arange(bounds[-1], dtype=np.int64)
     return starts[starts + width <= bounds[1:][row_of_word(bounds)]]
+
+
+def word_names(flat: pa.Array, lane: int) -> np.ndarray:
+    """A 64-bit name for each word: a sum of its bytes by keys of their places, mixed."""
+    offsets = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1].astype(np.int64)
+    data = np.frombuffer(flat.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    starts = offsets[:-1] - offsets[0]
+    lengths = np.diff(offsets)
+    keys = mixed(np.arange(int(lengths.max()), dtype=np.uint64) * BASE[lane] + BASE[1 - lane])
+    products = keys[np.arange(len(data)) - np.repeat(starts, lengths)]
+    products *= data.astype(np.uint64) + np.uint64(1)
+    return mixed(np.add.reduceat(products, starts))
+
+
+class Rolling:
+    """Hashes of any range of a flat name sequence."""
+
+    def __init__(self, names: np.ndarray, lane: int):
+        steps = np.full(len(names), BASE[lane], np.uint64)
+        steps[:1] = 1
+        back = np.full(len(names) + 1, _INVERSE[lane], np.uint64)
+        back[:1] = 1
+        self.sums = np.append(np.uint64(0), np.cumsum(names * np.cumprod(steps)))
+        self.back = np.cumprod(back)
+
+    def __call__(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        ranges = (self.sums[stops] - self.sums[starts]) * self.back[starts]
+        return mixed(ranges ^ mixed((stops - starts).astype(np.uint64)))
