@@ -136,3 +136,10 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     from textguard.llm.sketch import NEW, compare
 
     return compare(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", *NEW)
+
+
+@query("op6_subword_lattice")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from textguard.llm.lattice import score
+
+    return score(table(spark, folder, "documents").select("doc_id", "text"))
