@@ -143,3 +143,30 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     from textguard.llm.lattice import score
 
     return score(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from textguard.llm.toxicity import apply, fit
+
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return apply(documents, fit(documents, table(spark, folder, "labels")))
+
+
+OP1_SQL = """
+WITH held AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+sized AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM held),
+least AS (SELECT payload_digest, min(page_id) AS first FROM sized WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM sized LEFT JOIN least USING (payload_digest)
+"""
+
+
+@query("op1_arc_to_warc", OP1_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from textguard.llm.archives import convert_pages
+
+    done = convert_pages(table(spark, folder, "pages"))
+    return done.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
