@@ -10,15 +10,16 @@ stands for, so that all tasks give equal substrings equal names without exchangi
 and the rounds need no shuffle of the corpus. Symbols stop growing at ``MOST_WORDS`` words.
 
 For each symbol the words that its existence depends on are kept. A symbol whose dependence lies
-inside a window is an *interior* symbol: every occurrence of the window has it. The interior symbol
-of the last round with the smallest name anchors the window, so that equal windows have equal
-anchors. Neighbouring windows with one anchor form a block, about one block for twenty words.
+inside a window is an *interior* symbol: every occurrence of the window has it. The longest interior
+symbol after the last round anchors the window, so that equal windows have equal anchors, and long
+symbols are rare. Neighbouring windows with one anchor form a block.
 
-1. Blocks are shuffled by anchor and content hash: an equal block in a smaller document covers all
+1. Anchors that occur in one document only fall away, and their blocks with them.
+2. Blocks are compared by anchor and content hash: an equal block in a smaller document covers all
    windows of a block. This settles copies and the inside of repeated passages.
-2. Where an anchor has several different blocks, at the ends of passages, the single windows of each
+3. Where an anchor has several different blocks, at the ends of passages, the single windows of each
    block's smallest document are compared by their 128-bit hashes.
-3. The covered windows go back to their documents, which drop the words.
+4. The covered windows go back to their documents, which drop the words.
 
 Windows without an interior symbol make blocks of their own. Nothing is grouped into one task: keys
 with very many rows are pre-aggregated, and joins on them can be split by Spark.
@@ -120,16 +121,17 @@ def recompressed(names: np.ndarray, bounds: np.ndarray) -> Parse:
 
 
 def anchors(parse: Parse, words: int) -> np.ndarray:
-    """For each place, the interior symbol with the smallest name of the window there, or -1.
+    """For each place, the longest interior symbol of the window there, or -1.
 
-    Of equal names the leftmost counts, so that only the window's content decides.
+    Of equal lengths the smallest name counts, of equal names the leftmost symbol, so that only the
+    window's content decides. Long symbols are rare, and rare anchors leave little to compare.
     """
     owner = np.full(words, -1, np.int64)
     first, last = parse.high - WINDOW, parse.low + 1
     usable = np.flatnonzero((first < last) & (last > 0) & (parse.high <= words))
     rank = mixed(parse.name[usable])
-    # painted from the largest name to the smallest, from right to left among equals
-    order = usable[np.lexsort((-usable, ~rank))]
+    # painted from the shortest to the longest, and so on
+    order = usable[np.lexsort((-usable, ~rank, parse.stop[usable] - parse.start[usable]))]
     for symbol, a, b in zip(order.tolist(), np.maximum(first[order], 0).tolist(), last[order].tolist(), strict=True):
         owner[a:b] = symbol
     return owner
@@ -157,16 +159,17 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(fresh)
         starts, counts = places[first], np.diff(np.append(first, len(places)))
         stops = starts + counts + WINDOW - 1
-        content, check = Rolling(names, 0)(starts, stops), Rolling(word_names(flat, 1), 1)(starts, stops)
         symbol = own[first]
-        anchor = np.where(symbol < 0, content, parse.name[symbol])
+        # anchor and content together are a hash of 128 bits
+        anchor = np.where(symbol < 0, Rolling(names, 0)(starts, stops), parse.name[symbol])
+        content = Rolling(word_names(flat, 1), 1)(starts, stops)
         # where the anchor stands in the block tells apart equal words around another anchor
         content = mixed(content ^ np.where(symbol < 0, 0, parse.start[symbol] - starts).astype(np.uint64))
         rows = pa.array(row[starts])
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc").take(rows), part.column("version").take(rows), _signed(anchor), _signed(content), _signed(check),
+            [part.column("doc").take(rows), part.column("version").take(rows), _signed(anchor), _signed(content),
              pa.array((starts - bounds[row[starts]]).astype(np.int32)), pa.array(counts.astype(np.int32))],
-            ["doc", "version", "anchor", "content", "check", "start", "windows"],
+            ["doc", "version", "anchor", "content", "start", "windows"],
         )
 
 
@@ -214,13 +217,11 @@ def _clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def covered(rows: DataFrame) -> DataFrame:
     """``(doc, version, spans)`` for ``rows(doc, version, text)``: runs of windows to remove."""
-    blocks = written(
-        rows.mapInArrow(
-            _blocks, "doc bigint, version bigint, anchor bigint, content bigint, check bigint, start int, windows int"
-        ),
-        "blocks",
-    )
-    same = ["anchor", "content", "check"]
+    # read twice: computing the blocks again takes less than keeping all of them
+    blocks = rows.mapInArrow(_blocks, "doc bigint, version int, anchor bigint, content bigint, start int, windows int")
+    shared = blocks.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor")
+    blocks = written(blocks.join(shared, "anchor", "left_semi"), "blocks")
+    same = ["anchor", "content"]
     distinct = blocks.groupBy(*same).agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
     several = (
         distinct.groupBy("anchor").agg(F.min("least").alias("a"), F.max("least").alias("b"))
@@ -235,7 +236,7 @@ def covered(rows: DataFrame) -> DataFrame:
     settled = found.where("settled").drop("settled")
     wanted = found.where("not settled").groupBy("doc", "version").agg(F.collect_set(F.struct("start", "windows")).alias("spots"))
     windows = rows.join(wanted, ["doc", "version"]).dropDuplicates(["doc", "version"]).mapInArrow(
-        _single_windows, "doc bigint, version bigint, left bigint, right bigint, start int"
+        _single_windows, "doc bigint, version int, left bigint, right bigint, start int"
     )
     least = windows.groupBy("left", "right").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
     single = windows.join(least, ["left", "right"]).where("doc > least").select("doc", "version", "start", F.lit(1).alias("windows"))
@@ -250,7 +251,7 @@ def drop_repeats(documents: DataFrame) -> DataFrame:
     whole = documents.select(
         F.struct(*others).alias("_row"),
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"),
-        F.xxhash64("text").alias("version"),
+        F.hash("text").alias("version"),
         "text",
     )
     spans = covered(whole.select("doc", "version", "text"))
