@@ -220,6 +220,8 @@ def covered(rows: DataFrame) -> DataFrame:
     # read twice: computing the blocks again takes less than keeping all of them
     blocks = rows.mapInArrow(_blocks, "doc bigint, version int, anchor bigint, content bigint, start int, windows int")
     shared = blocks.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor")
+    # written, so that the join below has an exchange on both sides and Spark can split hot anchors
+    shared = written(shared, "anchors")
     blocks = written(blocks.join(shared, "anchor", "left_semi"), "blocks")
     same = ["anchor", "content"]
     distinct = blocks.groupBy(*same).agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
