@@ -80,23 +80,33 @@ class Pieces:
         self._tables()
 
     def _tables(self) -> None:
-        """Pieces by length as sorted keys of their code points."""
+        """Pieces by length as sorted keys of their code points, and which key prefixes occur."""
         self.by_length = {}
+        self.present = np.zeros(1 << _PREFIX_BITS, bool)
         for length in range(1, self.longest + 1):
             found = [p for p in self.ids if len(p) == length]
             if found:
                 points = np.array([[ord(c) for c in p] for p in found], np.uint64)
-                keys = _keys(points)
+                keys = _prefix_keys(points)[:, -1]
                 order = np.argsort(keys)
                 self.by_length[length] = keys[order], np.array([self.ids[p] for p in found])[order], points[order]
+                self.present[_short(keys)] = True
 
 
-def _keys(points: np.ndarray) -> np.ndarray:
-    """A rolling key of each row of code points."""
-    key = np.zeros(len(points), np.uint64)
-    for column in points.T:
-        key = key * np.uint64(0x9E3779B97F4A7C15) + column + np.uint64(1)
-    return key
+_PREFIX_BITS = 22
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _prefix_keys(points: np.ndarray) -> np.ndarray:
+    """``[row, end]``: a polynomial key of each row's first ``end`` code points."""
+    keys = np.zeros((len(points), points.shape[1] + 1), np.uint64)
+    for end in range(points.shape[1]):
+        keys[:, end + 1] = keys[:, end] * _STEP + points[:, end] + np.uint64(1)
+    return keys
+
+
+def _short(keys: np.ndarray) -> np.ndarray:
+    return ((keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - _PREFIX_BITS)
 
 
 class Lattice:
@@ -104,31 +114,39 @@ class Lattice:
 
     def __init__(self, pieces: Pieces, log_weights: np.ndarray):
         self.pieces, self.log = pieces, log_weights
+        self.spelled = np.full(0x110000, np.nan)  # by code point, filled when first met
 
     def _arcs(self, points: np.ndarray, lengths: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
         """For each end, the arcs ``(begin, words, piece ids)``; -1 spells one character in bytes."""
-        n, width = points.shape
+        width = points.shape[1]
+        prefix = _prefix_keys(points)
+        powers = [np.uint64(pow(int(_STEP), n, 1 << 64)) for n in range(width + 1)]
         arcs: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(width + 1)]
         for end in range(1, width + 1):
             alive = np.flatnonzero(lengths >= end)
             arcs[end].append((end - 1, alive, np.full(len(alive), -1)))
             for length, (keys, ids, spelled) in self.pieces.by_length.items():
                 if length > end:
+                    break  # lengths ascend
+                key = prefix[alive, end] - prefix[alive, end - length] * powers[length]
+                maybe = np.flatnonzero(self.pieces.present[_short(key)])
+                if not len(maybe):
                     continue
-                part = points[alive, end - length : end]
-                at = np.minimum(np.searchsorted(keys, _keys(part)), len(keys) - 1)
-                hit = (spelled[at] == part).all(axis=1)
+                at = np.minimum(np.searchsorted(keys, key[maybe]), len(keys) - 1)
+                words = alive[maybe]
+                hit = (spelled[at] == points[words, end - length : end]).all(axis=1)
                 if hit.any():
-                    arcs[end].append((end - length, alive[hit], ids[at[hit]]))
+                    arcs[end].append((end - length, words[hit], ids[at[hit]]))
         return arcs
 
     def _byte_weight(self, points: np.ndarray) -> np.ndarray:
-        distinct, back = np.unique(points, return_inverse=True)
-        each = [self.log[self.pieces.byte_ids[list(chr(int(c)).encode("utf-8", "surrogatepass"))]].sum() for c in distinct]
-        return np.array(each)[back].reshape(points.shape)
+        flat = points.astype(np.int64)
+        for point in np.unique(flat[np.isnan(self.spelled[flat])]).tolist():
+            self.spelled[point] = self.log[self.pieces.byte_ids[_utf8(point)]].sum()
+        return self.spelled[flat]
 
     def _weight(self, ids: np.ndarray, spelled: np.ndarray, end: int, words: np.ndarray) -> np.ndarray:
-        return np.where(ids < 0, spelled[words, end - 1], self.log[ids])
+        return spelled[words, end - 1] if len(ids) and ids[0] < 0 else self.log[ids]
 
     def forward(self, points: np.ndarray, lengths: np.ndarray, arcs=None) -> np.ndarray:
         """``[word, end]``: log of the summed weights of all segmentations of each prefix."""
@@ -149,23 +167,29 @@ class Lattice:
         behind = np.full(ahead.shape, -np.inf)
         whole = ahead[np.arange(len(points)), lengths]
         behind[np.arange(len(points)), lengths] = 0
-        used = np.zeros(self.pieces.size)
+        named, named_share, plain, plain_share = [], [], [], []
         for end in range(points.shape[1], 0, -1):
             for begin, words, ids in arcs[end]:
                 weight = self._weight(ids, spelled, end, words)
                 share = np.exp(ahead[words, begin] + weight + behind[words, end] - whole[words]) * counts[words]
                 behind[words, begin] = np.logaddexp(behind[words, begin], behind[words, end] + weight)
-                ordinary = ids >= 0
-                used += np.bincount(ids[ordinary], weights=share[ordinary], minlength=self.pieces.size)
-                if not ordinary.all():
-                    for c, amount in _summed(points[words, end - 1], share):
-                        np.add.at(used, self.pieces.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))], amount)
+                if len(ids) and ids[0] < 0:
+                    plain.append(points[words, end - 1].astype(np.int64))
+                    plain_share.append(share)
+                else:
+                    named.append(ids)
+                    named_share.append(share)
+        used = np.zeros(self.pieces.size)
+        if named:
+            used += np.bincount(np.concatenate(named), weights=np.concatenate(named_share), minlength=self.pieces.size)
+        distinct, back = np.unique(np.concatenate(plain), return_inverse=True)
+        for point, amount in zip(distinct.tolist(), np.bincount(back, weights=np.concatenate(plain_share)).tolist(), strict=True):
+            np.add.at(used, self.pieces.byte_ids[_utf8(point)], amount)
         return used
 
 
-def _summed(points: np.ndarray, share: np.ndarray) -> list[tuple[int, float]]:
-    distinct, back = np.unique(points, return_inverse=True)
-    return list(zip(map(int, distinct), np.bincount(back, weights=share).tolist(), strict=True))
+def _utf8(point: int) -> list[int]:
+    return list(chr(point).encode("utf-8", "surrogatepass"))
 
 
 def batches_of(words: list[str], size: int = 4_096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
