@@ -54,6 +54,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.textguard.scanPartitions", str(4 * int(cpus)))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

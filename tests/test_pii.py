@@ -24,6 +24,11 @@ CASES = [
      "key [SECRET] card [DIGITS]!"),
     ("no  match ]", "no match]", "no match]"),
     ("12345678", "12345678", "12345678"),
+    (f"x {'m' * 100}@h.io y", "x [redacted] y", "x [EMAIL] y"),
+    (f"x a@{'d' * 70}.io y", "x [redacted] y", "x [EMAIL] y"),
+    (f"x a@{'l.' * 26}io y", "x [redacted] y", "x [EMAIL] y"),
+    ("a@b.co_x@y.org z", "[redacted] z", "[EMAIL] z"),
+    ("a@b@c.com", "a@[redacted]", "a@[EMAIL]"),
     ("+1 555-123-4567\n", "[redacted]\n", "[PHONE]\n"),
 ]
 
@@ -31,7 +36,7 @@ CASES = [
 def run(spark, values, build):
     rows = spark.createDataFrame(list(enumerate(values)), "msg_id long, text string")
     got = rows.select("msg_id", build(F.col("text")).alias("x")).collect()
-    return [r.x for r in sorted(got)]
+    return [r.x for r in sorted(got, key=lambda r: r.msg_id)]
 
 
 def test_masks(spark):
@@ -120,6 +125,6 @@ def test_names_from_a_list(spark):
 
 
 def test_long_texts_stay_cheap(spark):
-    texts = ["z" * 300_000, "a@" + "b." * 100_000, "10.0.0.1 " * 20_000, "@" * 100_000]
+    texts = ["z" * 300_000, "a@" + "b." * 100_000, "10.0.0.1 " * 20_000, "@" * 100_000, "a@" * 100_000, "m" * 200_000 + "@x.io"]
     got = run(spark, texts, R.mask_pii)
-    assert got[0] == texts[0] and got[2].count("[redacted]") == 1
+    assert got[0] == texts[0] and got[2].count("[redacted]") == 1 and got[-1] == "[redacted]"

@@ -11,6 +11,7 @@ from textguard.sources.shared import cut
 BENIGN, JAILBREAK = 0, 1
 BENIGN_CAP = 600
 EVAL_PERCENT = 20
+#: The length that examples may be cut to where a caller asks for it.
 MAX_TOKENS = 128
 
 
@@ -102,14 +103,14 @@ def stratified_split(
     ).drop("_place", "_digest")
 
 
-def tokens(text: Column, max_tokens: int | None = MAX_TOKENS) -> Column:
+def tokens(text: Column, max_tokens: int | None = None) -> Column:
     """Lower-case word tokens, cut to ``max_tokens`` when given."""
     found = F.regexp_extract_all(F.lower(text), F.lit("([\\p{L}\\p{N}]+)"), F.lit(1))
     return found if max_tokens is None else F.slice(found, 1, max_tokens)
 
 
 def tokenise(
-    rows: DataFrame, text: str = "text", max_tokens: int | None = MAX_TOKENS
+    rows: DataFrame, text: str = "text", max_tokens: int | None = None
 ) -> DataFrame:
     """Replaces the text with its tokens."""
     return rows.withColumn("tokens", tokens(F.col(text), max_tokens)).drop(text)

@@ -10,10 +10,20 @@ from textguard.plans.catalog.language_queries import documents
 from textguard.plans.catalog.registry import register
 from textguard.plans.catalog.sqltext import WS
 
-ANY = R.ANY_PII
+# --- fixed values: what the queries' SQL looks for, written out on its own ----
+PATTERNS_SQL = {
+    "EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "IPV4": r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}",
+    "PHONE": r"(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}",
+    "SECRET": r"[0-9a-fA-F]{32,}",
+    "DIGITS": r"[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{9,}",
+}
+MASK_SQL = "[redacted]"
+# --------------------------------------------------------------------------
+ANY = "|".join(f"(?:{p})" for p in PATTERNS_SQL.values())
 _BLANK = f"^{WS}*$"
 _TYPES = " ".join(
-    f"WHEN regexp_matches(value, '^(?:{p})$') THEN '{name}'" for name, p in R.PATTERNS.items()
+    f"WHEN regexp_matches(value, '^(?:{p})$') THEN '{name}'" for name, p in PATTERNS_SQL.items()
 )
 LABEL_SQL = f"CASE {_TYPES} END"
 
@@ -25,7 +35,7 @@ def tidy_sql(text: str) -> str:
 def mask_sql(text: str) -> str:
     """Whole runs of matches, whitespace between them included, replaced in one go."""
     return tidy_sql(
-        f"regexp_replace({text}, '(?:{ANY})(?:{WS}*(?:{ANY}))*', '{R.REDACTED}', 'g')"
+        f"regexp_replace({text}, '(?:{ANY})(?:{WS}*(?:{ANY}))*', '{MASK_SQL}', 'g')"
     )
 
 
@@ -120,6 +130,27 @@ def redact_by_type(spark, folder):
     return redacted.select("msg_id", F.md5(F.col("redacted").cast("binary")).alias("digest"))
 
 
+#: Pieces longer than any address in the tables, appended to each text.
+_LONG_SQL = """text || ' ' || repeat('m', 100) || '@host.example ' || 'a@' || repeat('d', 70)
+    || '.example ' || 'a@' || repeat('l.', 26) || 'example_b@c.example'"""
+
+
+@register(
+    "redact_long_addresses",
+    f"""SELECT doc_id AS msg_id, md5({mask_sql('long')}) AS digest
+        FROM (SELECT doc_id, {_LONG_SQL} AS long FROM documents)""",
+)
+def redact_long_addresses(spark, folder):
+    """Long mailboxes, long and many labels, and an address right after another."""
+    long = F.concat(
+        F.col("text"), F.lit(" "), F.repeat(F.lit("m"), F.lit(100)), F.lit("@host.example a@"),
+        F.repeat(F.lit("d"), F.lit(70)), F.lit(".example a@"), F.repeat(F.lit("l."), F.lit(26)),
+        F.lit("example_b@c.example"),
+    )
+    redacted = PI.redact(documents(spark, folder).withColumn("text", long))
+    return redacted.select("msg_id", F.md5(F.col("redacted").cast("binary")).alias("digest"))
+
+
 @register(
     "tidy_spaces",
     f"""SELECT doc_id AS msg_id, md5({tidy_sql("concat('[ ', replace(text, ' of ', '  of ] '), ' ]')")})

@@ -181,7 +181,7 @@ def stratified_split(spark, folder):
 )
 def tokens_cut_at_128(spark, folder):
     docs = spread(read_table(spark, folder, "documents").select("doc_id", "text"))
-    cut = docs.select("doc_id", TD.tokens(F.col("text")).alias("t"))
+    cut = docs.select("doc_id", TD.tokens(F.col("text"), TD.MAX_TOKENS).alias("t"))
     return cut.select(
         "doc_id",
         F.size("t").alias("n_tokens"),
@@ -192,7 +192,7 @@ def tokens_cut_at_128(spark, folder):
 @register(
     "tokenised_examples",
     f"""WITH {LABELLED_SQL}
-        SELECT doc_id, label, array_to_string({tokens_sql('text')}[1:128], ' ') AS tokens
+        SELECT doc_id, label, array_to_string({tokens_sql('text')}, ' ') AS tokens
         FROM labelled""",
 )
 def tokenised_examples(spark, folder):

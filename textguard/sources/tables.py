@@ -21,17 +21,13 @@ DOCUMENT_SCHEMA = T.StructType(
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """A scan's rows over all cores when it has fewer pieces than there are cores.
+    """A scan's rows dealt to as many pieces as the session's ``spark.textguard.scanPartitions`` names.
 
-    For scans only, before any join: asking a plan with exchanges for its partitions
-    would run them.
-
-    Text rules cost far more than reading, and a table of one small file would keep one
-    core busy. Texts differ in length a thousandfold, so the pieces are cut smaller than
-    one per core. A table of many files is left as it is: no shuffle.
+    Without that setting the scan's own splits hold, as ``spark.sql.files.maxPartitionBytes``
+    makes them; it is meant for tables of one small file.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(4 * cores) if rows.rdd.getNumPartitions() < cores else rows
+    pieces = rows.sparkSession.conf.get("spark.textguard.scanPartitions", None)
+    return rows.repartition(int(pieces)) if pieces else rows
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
