@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ def arg_max(scores: Column) -> Column:
 
 
 def listed_word_hits(text: Column, words: list[str]) -> Column:
-    listed = "|".join(sorted(words))
+    listed = "|".join(re.escape(word) for word in sorted(words))
     return F.regexp_count(
         F.lower(text), F.lit(f"(?<![\\p{{L}}\\p{{N}}])(?:{listed})(?![\\p{{L}}\\p{{N}}])")
     )

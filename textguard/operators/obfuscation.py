@@ -206,16 +206,18 @@ def word_audit(messages: DataFrame, key: str = "msg_id", text: str = "text") ->
 
 
 def longest_runs_by_window(audit: DataFrame, key: str = "msg_id") -> DataFrame:
-    """Longest run per message from audit rows: islands of consecutive positions.
+    """Longest run per message from audit rows, 0 without an encoded word: islands of
+    consecutive positions.
 
     For audit tables already laid out by word; :func:`longest_run` answers the
     same from the marks without a shuffle.
     """
     order = Window.partitionBy(key).orderBy("pos")
+    encoded = F.col("encoding").isNotNull().cast("int")
+    # words that are not encoded count nothing, but keep their message in the result
     islands = (
-        audit.filter(F.col("encoding").isNotNull())
-        .select(key, (F.col("pos") - F.row_number().over(order)).alias("island"))
+        audit.select(key, encoded.alias("hit"), (F.col("pos") - F.sum(encoded).over(order)).alias("island"))
         .groupBy(key, "island")
-        .count()
+        .agg(F.sum("hit").alias("run"))
     )
-    return islands.groupBy(key).agg(F.max("count").alias("longest_run"))
+    return islands.groupBy(key).agg(F.max("run").alias("longest_run"))

@@ -21,11 +21,11 @@ from textguard.plans.catalog.registry import register
 from textguard.plans.catalog.training_queries import HOSTILE_WORDS, fitted, hits_sql
 from textguard.plans.catalog.variants import FORMS, forms
 from textguard.sources.shared import shared_folder
-from textguard.sources.tables import DOCUMENT_SCHEMA, read_table, spread, stream_messages
+from textguard.sources.tables import TURN_SPAN, DOCUMENT_SCHEMA, read_table, spread, stream_messages
 from textguard.streaming.guard_stream import start_guard
 
-# document messages get ids of their own, past those of the chat turns
-_DOC_IDS = 1_000_000_000_000
+#: Set apart from all turns: rows made without a text.
+_MISSING = 1 << 62
 _FORMS = ("plain", "leet_o")
 GATE_WORDS = HOSTILE_WORDS + ["disgusting", "pathetic", "scum", "trash", "worthless"]
 
@@ -45,32 +45,39 @@ def conversation_replies(spark, folder):
 
 
 def messages(spark, folder) -> DataFrame:
-    """User turns, and documents plain and with one letter swapped; texts of system turns
-    are missing."""
+    """Turns of users and systems, documents plain and with one letter swapped, and a row
+    without a text beside each system turn."""
     turns = read_table(spark, folder, "conversations").filter("role <> 'assistant'")
     chat = turns.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("msg_id"),
-        F.when(F.col("role") == "user", F.col("text")).alias("text"),
+        (F.col("conv_id") * TURN_SPAN + F.col("turn")).alias("msg_id"),
+        "text",
         F.lit("chat").alias("source"),
+        "role",
+    )
+    missing = chat.filter("role = 'system'").select(
+        (F.col("msg_id") + _MISSING).alias("msg_id"),
+        F.lit(None).cast("string").alias("text"),
+        "source",
     )
     docs = forms(spark, folder, *_FORMS).select(
-        (
-            F.col("msg_id")
-            + F.when(F.col("variant") == "plain", _DOC_IDS).otherwise(2 * _DOC_IDS)
-        ).alias("msg_id"),
+        # below all turns, two for each document
+        (-2 * F.col("msg_id") - F.when(F.col("variant") == "plain", 1).otherwise(2)).alias("msg_id"),
         "text",
         "source",
     )
-    return spread(chat).unionByName(docs)
+    return spread(chat.drop("role")).unionByName(missing).unionByName(docs)
 
 
 MESSAGES_SQL = f"""
-    SELECT conv_id * 100 + turn AS msg_id, CASE WHEN role = 'user' THEN text END AS text,
-           'chat' AS source FROM conversations WHERE role <> 'assistant'
+    SELECT conv_id * 4294967296 + turn AS msg_id, text, 'chat' AS source
+    FROM conversations WHERE role <> 'assistant'
+    UNION ALL
+    SELECT conv_id * 4294967296 + turn + {_MISSING}, NULL, 'chat'
+    FROM conversations WHERE role = 'system'
     UNION ALL
-    SELECT doc_id + {_DOC_IDS}, text, source FROM documents
+    SELECT -2 * doc_id - 1, text, source FROM documents
     UNION ALL
-    SELECT doc_id + {2 * _DOC_IDS}, {FORMS['leet_o'][1]}, source FROM documents"""
+    SELECT -2 * doc_id - 2, {FORMS['leet_o'][1]}, source FROM documents"""
 
 
 def tables(spark, folder) -> G.GuardTables:
@@ -81,7 +88,7 @@ def tables(spark, folder) -> G.GuardTables:
     return G.GuardTables(
         memory=memory(docs),
         replies=answers.select(
-            (F.col("conv_id") * 100 + F.col("turn")).alias("prompt_id"), "reply"
+            (F.col("conv_id") * TURN_SPAN + F.col("turn")).alias("prompt_id"), "reply"
         ),
         language_lookup=L.profile_lookup(L.build_profiles(docs)),
     )
@@ -119,7 +126,7 @@ def guard_sql(source: str) -> str:
     ),
     gated AS (SELECT *, 1 - pow(0.5, {hits_sql('current_text', GATE_WORDS)}) AS score FROM current),
     answers AS (
-      SELECT conv_id * 100 + turn - 1 AS msg_id, text AS answer FROM conversations c
+      SELECT conv_id * 4294967296 + turn - 1 AS msg_id, text AS answer FROM conversations c
       WHERE role = 'assistant' AND EXISTS (SELECT 1 FROM conversations u WHERE u.role = 'user'
         AND u.conv_id = c.conv_id AND u.turn = c.turn - 1)
     ),
@@ -225,7 +232,7 @@ def verdict_summary(spark, folder):
 
 @register(
     "unusable_messages",
-    """SELECT conv_id * 100 + turn AS msg_id, 'ERROR' AS verdict, 'message has no text' AS error
+    f"""SELECT conv_id * 4294967296 + turn + {_MISSING} AS msg_id, 'ERROR' AS verdict, 'message has no text' AS error
        FROM conversations WHERE role = 'system'""",
 )
 def unusable_messages(spark, folder):

@@ -422,7 +422,7 @@ _marked(
 @register(
     "longest_run_by_window",
     f"""WITH {Q.audit(forms_sql('leet_o'))}
-        SELECT msg_id, run AS longest_run FROM per_msg WHERE run > 0""",
+        SELECT msg_id, run AS longest_run FROM per_msg WHERE n_words > 0""",
 )
 def longest_run_by_window(spark, folder):
     return O.longest_runs_by_window(O.word_audit(forms(spark, folder, "leet_o")))

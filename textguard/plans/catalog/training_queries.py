@@ -15,7 +15,7 @@ from textguard.operators import training_data as TD
 from textguard.plans.catalog.registry import register
 from textguard.sources import models
 from textguard.sources.shared import shared_folder
-from textguard.sources.tables import read_labelled, read_table, spread
+from textguard.sources.tables import TURN_SPAN, read_labelled, read_table, spread
 
 # A short list, so that predictions are neither all right nor all wrong.
 HOSTILE_WORDS = ["clown", "idiot", "loser", "moron", "stupid"]
@@ -46,7 +46,7 @@ LABELLED_SQL = """
     "read_messages",
     """SELECT 'documents' AS source, doc_id AS msg_id, md5(text) AS digest FROM documents
        UNION ALL
-       SELECT 'conversations', conv_id * 100 + turn, md5(text) FROM conversations""",
+       SELECT 'conversations', conv_id * 4294967296 + turn, md5(text) FROM conversations""",
 )
 def read_messages(spark, folder):
     docs = read_table(spark, folder, "documents").select(
@@ -54,7 +54,7 @@ def read_messages(spark, folder):
     )
     turns = read_table(spark, folder, "conversations").select(
         F.lit("conversations").alias("source"),
-        (F.col("conv_id") * 100 + F.col("turn")).alias("msg_id"),
+        (F.col("conv_id") * TURN_SPAN + F.col("turn")).alias("msg_id"),
         "text",
     )
     both = docs.unionByName(turns)
@@ -103,9 +103,14 @@ def attach_class_label(spark, folder):
     return hostile.unionByName(benign)
 
 
-@register("first_benign_rows", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 600")
+@register(
+    "first_benign_rows",
+    f"""WITH {LABELLED_SQL}
+        SELECT doc_id FROM labelled WHERE label = 0 ORDER BY doc_id LIMIT 600""",
+)
 def first_benign_rows(spark, folder):
-    return TD.first_rows(read_table(spark, folder, "documents").select("doc_id"), TD.BENIGN_CAP)
+    benign = labelled(spark, folder).filter(F.col("label") == TD.BENIGN)
+    return TD.first_rows(benign.select("doc_id"), TD.BENIGN_CAP)
 
 
 BALANCED_SQL = f"""{LABELLED_SQL},

@@ -20,6 +20,10 @@ DOCUMENT_SCHEMA = T.StructType(
 )
 
 
+#: A turn's message id is ``conv_id * TURN_SPAN + turn``: no two turns share one.
+TURN_SPAN = 1 << 32
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """A scan's rows dealt to as many pieces as the session's ``spark.textguard.scanPartitions`` names.
 
