@@ -80,100 +80,133 @@ class Pieces:
         self._tables()
 
     def _tables(self) -> None:
-        """Pieces by length as sorted keys of their code points, and which key prefixes occur."""
+        """Single characters by code point; longer pieces by length as sorted keys of their code points,
+        and which keys occur at all."""
         self.by_length = {}
-        self.present = np.zeros(1 << _PREFIX_BITS, bool)
-        for length in range(1, self.longest + 1):
+        self.present = np.zeros(1 << _KEY_BITS, bool)
+        self.single = np.full(0x110000, -1, np.int32)  # by code point
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.single[ord(piece)] = i
+        for length in range(2, self.longest + 1):
             found = [p for p in self.ids if len(p) == length]
             if found:
                 points = np.array([[ord(c) for c in p] for p in found], np.uint64)
-                keys = _prefix_keys(points)[:, -1]
+                keys = _prefix_keys(points)[-1]
                 order = np.argsort(keys)
-                self.by_length[length] = keys[order], np.array([self.ids[p] for p in found])[order], points[order]
+                self.by_length[length] = keys[order], np.array([self.ids[p] for p in found])[order], points[order].T.astype(np.int64)
                 self.present[_short(keys)] = True
 
 
-_PREFIX_BITS = 22
+_KEY_BITS = 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _prefix_keys(points: np.ndarray) -> np.ndarray:
-    """``[row, end]``: a polynomial key of each row's first ``end`` code points."""
-    keys = np.zeros((len(points), points.shape[1] + 1), np.uint64)
+    """``[end, row]``: a polynomial key of each row's first ``end`` code points."""
+    keys = np.zeros((points.shape[1] + 1, len(points)), np.uint64)
     for end in range(points.shape[1]):
-        keys[:, end + 1] = keys[:, end] * _STEP + points[:, end] + np.uint64(1)
+        keys[end + 1] = keys[end] * _STEP + points[:, end] + np.uint64(1)
     return keys
 
 
 def _short(keys: np.ndarray) -> np.ndarray:
-    return ((keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - _PREFIX_BITS)
+    return ((keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - _KEY_BITS)
+
+
+#: An arc ``(begin, words, piece ids)`` of an end; ids of None spell one character in bytes.
+Arc = tuple[int, "np.ndarray | slice", "np.ndarray | None"]
 
 
 class Lattice:
-    """Forward and backward sums over the segmentations of many words at once."""
+    """Forward and backward sums over the segmentations of many words at once.
+
+    The words of a batch come by ascending length, so that those alive at an end are its tail.
+    """
 
     def __init__(self, pieces: Pieces, log_weights: np.ndarray):
         self.pieces, self.log = pieces, log_weights
         self.spelled = np.full(0x110000, np.nan)  # by code point, filled when first met
 
-    def _arcs(self, points: np.ndarray, lengths: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
-        """For each end, the arcs ``(begin, words, piece ids)``; -1 spells one character in bytes."""
+    def _arcs(self, points: np.ndarray, lengths: np.ndarray) -> list[list[Arc]]:
+        """The arcs of each end."""
         width = points.shape[1]
-        prefix = _prefix_keys(points)
+        prefix, columns = _prefix_keys(points), points.T.astype(np.int64)
+        single = self.pieces.single[columns]
         powers = [np.uint64(pow(int(_STEP), n, 1 << 64)) for n in range(width + 1)]
-        arcs: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(width + 1)]
+        arcs: list[list[Arc]] = [[] for _ in range(width + 1)]
         for end in range(1, width + 1):
-            alive = np.flatnonzero(lengths >= end)
-            arcs[end].append((end - 1, alive, np.full(len(alive), -1)))
+            first = int(np.searchsorted(lengths, end))
+            arcs[end].append((end - 1, slice(first, None), None))
+            words = np.flatnonzero(single[end - 1, first:] >= 0) + first
+            if len(words):
+                arcs[end].append((end - 1, words, single[end - 1, words]))
             for length, (keys, ids, spelled) in self.pieces.by_length.items():
                 if length > end:
                     break  # lengths ascend
-                key = prefix[alive, end] - prefix[alive, end - length] * powers[length]
+                key = prefix[end, first:] - prefix[end - length, first:] * powers[length]
                 maybe = np.flatnonzero(self.pieces.present[_short(key)])
                 if not len(maybe):
                     continue
-                at = np.minimum(np.searchsorted(keys, key[maybe]), len(keys) - 1)
-                words = alive[maybe]
-                hit = (spelled[at] == points[words, end - length : end]).all(axis=1)
-                if hit.any():
-                    arcs[end].append((end - length, words[hit], ids[at[hit]]))
+                key = key[maybe]
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                same = np.flatnonzero(keys[at] == key)
+                words, at = maybe[same] + first, at[same]
+                # keys of two code points are one to one, as no multiple of the step below 2**21 is
+                # that near zero; longer ones are compared, one column at a time
+                for n in range(length if length > 2 else 0):
+                    hit = columns[end - length + n, words] == spelled[n, at]
+                    if not hit.all():
+                        words, at = words[hit], at[hit]
+                if len(words):
+                    arcs[end].append((end - length, words, ids[at]))
         return arcs
 
     def _byte_weight(self, points: np.ndarray) -> np.ndarray:
-        flat = points.astype(np.int64)
-        for point in np.unique(flat[np.isnan(self.spelled[flat])]).tolist():
+        """``[character, word]``: the weight of spelling it in bytes."""
+        flat = points.T.astype(np.int64)
+        found = self.spelled[flat]
+        for point in np.unique(flat[np.isnan(found)]).tolist():
             self.spelled[point] = self.log[self.pieces.byte_ids[_utf8(point)]].sum()
-        return self.spelled[flat]
+            found[flat == point] = self.spelled[point]
+        return found
 
-    def _weight(self, ids: np.ndarray, spelled: np.ndarray, end: int, words: np.ndarray) -> np.ndarray:
-        return spelled[words, end - 1] if len(ids) and ids[0] < 0 else self.log[ids]
+    def _weight(self, arc: Arc, spelled: np.ndarray, end: int) -> np.ndarray:
+        _, words, ids = arc
+        return spelled[end - 1, words] if ids is None else self.log[ids]
 
-    def forward(self, points: np.ndarray, lengths: np.ndarray, arcs=None) -> np.ndarray:
-        """``[word, end]``: log of the summed weights of all segmentations of each prefix."""
-        arcs = arcs or self._arcs(points, lengths)
-        spelled = self._byte_weight(points)
-        sums = np.full((len(points), points.shape[1] + 1), -np.inf)
-        sums[:, 0] = 0
+    def _forward(self, points: np.ndarray, arcs: list[list[Arc]], spelled: np.ndarray) -> np.ndarray:
+        sums = np.full((points.shape[1] + 1, len(points)), -np.inf)
+        sums[0] = 0
         for end in range(1, points.shape[1] + 1):
-            for begin, words, ids in arcs[end]:
-                sums[words, end] = np.logaddexp(sums[words, end], sums[words, begin] + self._weight(ids, spelled, end, words))
+            own = sums[end]
+            for arc in arcs[end]:
+                begin, words, ids = arc
+                reached = sums[begin, words] + self._weight(arc, spelled, end)
+                own[words] = reached if ids is None else np.logaddexp(own[words], reached)
         return sums
 
+    def forward(self, points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """``[word, end]``: log of the summed weights of all segmentations of each prefix."""
+        return self._forward(points, self._arcs(points, lengths), self._byte_weight(points)).T
+
     def expected(self, points: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The expected use of each piece over all segmentations, times each word's count."""
         arcs = self._arcs(points, lengths)
         spelled = self._byte_weight(points)
-        ahead = self.forward(points, lengths, arcs)
+        ahead = self._forward(points, arcs, spelled)
+        every = np.arange(len(points))
         behind = np.full(ahead.shape, -np.inf)
-        whole = ahead[np.arange(len(points)), lengths]
-        behind[np.arange(len(points)), lengths] = 0
+        whole = ahead[lengths, every]
+        behind[lengths, every] = 0
         named, named_share, plain, plain_share = [], [], [], []
         for end in range(points.shape[1], 0, -1):
-            for begin, words, ids in arcs[end]:
-                weight = self._weight(ids, spelled, end, words)
-                share = np.exp(ahead[words, begin] + weight + behind[words, end] - whole[words]) * counts[words]
-                behind[words, begin] = np.logaddexp(behind[words, begin], behind[words, end] + weight)
-                if len(ids) and ids[0] < 0:
+            for arc in arcs[end]:
+                begin, words, ids = arc
+                onward = behind[end, words] + self._weight(arc, spelled, end)
+                share = np.exp(ahead[begin, words] + onward - whole[words]) * counts[words]
+                behind[begin, words] = np.logaddexp(behind[begin, words], onward)
+                if ids is None:
                     plain.append(points[words, end - 1].astype(np.int64))
                     plain_share.append(share)
                 else:
@@ -182,9 +215,9 @@ class Lattice:
         used = np.zeros(self.pieces.size)
         if named:
             used += np.bincount(np.concatenate(named), weights=np.concatenate(named_share), minlength=self.pieces.size)
-        distinct, back = np.unique(np.concatenate(plain), return_inverse=True)
-        for point, amount in zip(distinct.tolist(), np.bincount(back, weights=np.concatenate(plain_share)).tolist(), strict=True):
-            np.add.at(used, self.pieces.byte_ids[_utf8(point)], amount)
+        amounts = np.bincount(np.concatenate(plain), weights=np.concatenate(plain_share))
+        for point in np.flatnonzero(amounts).tolist():
+            np.add.at(used, self.pieces.byte_ids[_utf8(point)], amounts[point])
         return used
 
 
@@ -194,7 +227,10 @@ def _utf8(point: int) -> list[int]:
 
 def batches_of(words: list[str], size: int = 4_096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``(positions, code points, lengths)``: words of like length together, few where they are long."""
-    lengths = np.array([len(word) + 1 for word in words])
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    marked = MARK + MARK.join(words) if words else ""
+    flat = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts = np.cumsum(lengths) - lengths
     order = np.argsort(lengths, kind="stable")
     at = 0
     while at < len(order):
@@ -203,9 +239,10 @@ def batches_of(words: list[str], size: int = 4_096) -> Iterator[tuple[np.ndarray
         while stop - at > 1 and (stop - at) * lengths[order[stop - 1]] > 16 * size:
             stop = at + (stop - at) // 2
         own = order[at:stop]
-        points = np.zeros((len(own), int(lengths[own].max())), np.uint64)
-        for row, i in enumerate(own.tolist()):
-            points[row, : lengths[i]] = np.frombuffer((MARK + words[i]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        column = np.arange(lengths[own[-1]])
+        inside = column < lengths[own][:, None]
+        points = np.zeros(inside.shape, np.uint64)
+        points[inside] = flat[(starts[own][:, None] + column)[inside]]
         yield own, points, lengths[own]
         at = stop
 
