@@ -181,3 +181,35 @@ def test_plan_reads_messages_once(messages, tables, spark, tmp_path):
     plan = G.guard(spark.read.parquet(path), tables, SCORER)
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("[msg_id#") >= 1 and text.count("Relation [msg_id") == 1
+
+
+def test_replies_over_gaps_and_ranges(spark):
+    rows = [
+        (1, 0, "user", "a"), (1, 250, "assistant", "after a gap"), (1, 1023, "user", "b"),
+        (1, 5000, "assistant", "ranges later"), (1, 5001, "user", "c"), (1, 5002, "user", "d"),
+        (2, 3, "user", "e"), (2, 4, "system", "s"), (2, 5, "assistant", "too late"),
+        (2, 1024, "user", "f"), (2, 1030, "assistant", RP.NO_REPLY),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(3)
+    found = {(r.conv_id, r.turn): r.reply for r in RP.conversation_replies(turns, missing=None).collect()}
+    assert found == {
+        (1, 0): "after a gap", (1, 1023): "ranges later", (1, 5001): None, (1, 5002): None,
+        (2, 3): None, (2, 1024): RP.NO_REPLY,
+    }
+
+
+def test_repeated_replies_do_not_double_a_message(spark):
+    messages = spark.createDataFrame([(1, "x"), (2, "y")], MESSAGE_SCHEMA)
+    replies = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a")], "prompt_id long, reply string")
+    found = sorted((r.msg_id, r.reply) for r in RP.attach_replies(messages, replies).collect())
+    assert found == [(1, "a"), (2, RP.NO_REPLY)]
+
+
+def test_summary_stops_at_the_gate(spark, sf):
+    from textguard.plans.catalog import guard_queries as GQ
+
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    summary, whole = plan(GQ.verdict_summary(spark, sf)), plan(GQ.guard_messages(spark, sf))
+    # no look-up of replies or of the way back
+    assert "reply" in whole and "reply" not in summary
+    assert summary.count("Join LeftOuter") < whole.count("Join LeftOuter")

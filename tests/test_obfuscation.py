@@ -172,13 +172,13 @@ def test_unchecked_word_ends_a_run(spark):
     assert broken.total_words_checked_for_obfuscation == 4
 
 
-def test_reasons_name_every_type_over_the_limit(spark):
+def test_reasons_name_every_type_over_the_limit_as_first_seen(spark):
     text = "t3st аbcd t3st аbcd t3st аbcd t3st аbcd zzzz"
     (report,) = reports(spark, [text])
     assert report.flag_reasons == [
         "More than 3 consecutive encoded words (8 found). (Threshold: 4)",
-        "More than 3 char_swaps encoded words (4 found). (Threshold: 4)",
         "More than 3 leetspeak encoded words (4 found). (Threshold: 4)",
+        "More than 3 char_swaps encoded words (4 found). (Threshold: 4)",
     ]
 
 

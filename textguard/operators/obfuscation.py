@@ -43,14 +43,21 @@ def type_count(marks: Column, kind: str) -> Column:
 
 
 def type_counts(marks: Column) -> Column:
-    """MAP type -> count over the types that occur, in order of type name."""
+    """MAP type -> count over the types that occur, in the order in which they first occur."""
     pairs = F.array(
         *[
-            F.struct(F.lit(k).alias("key"), type_count(marks, k).alias("value"))
-            for k in sorted(C.WORD_TYPES)
+            F.struct(
+                F.locate(C.WORD_MARKS[k], marks).alias("first"),
+                F.lit(k).alias("key"),
+                type_count(marks, k).alias("value"),
+            )
+            for k in C.WORD_TYPES
         ]
     )
-    return F.map_from_entries(F.filter(pairs, lambda p: p["value"] > 0))
+    found = F.array_sort(F.filter(pairs, lambda p: p["value"] > 0))
+    return F.map_from_entries(
+        F.transform(found, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))
+    )
 
 
 def encoded_positions(marks: Column) -> Column:

@@ -82,9 +82,8 @@ MESSAGES_SQL = f"""
 
 def tables(spark, folder) -> G.GuardTables:
     docs = documents(spark, folder)
-    answers = RP.conversation_replies(read_table(spark, folder, "conversations")).filter(
-        F.col("reply") != RP.NO_REPLY
-    )
+    turns = read_table(spark, folder, "conversations")
+    answers = RP.conversation_replies(turns, missing=None).filter("reply IS NOT NULL")
     return G.GuardTables(
         memory=memory(docs),
         replies=answers.select(
@@ -103,6 +102,14 @@ def guarded(spark, folder, **settings) -> DataFrame:
     )
 
 
+def judged_at_gate(spark, folder) -> DataFrame:
+    """Messages after the third step, with all verdicts but PASSED, which is still NULL."""
+    opened = G.translate(
+        G.check_obfuscation(messages(spark, folder)), tables(spark, folder)
+    )
+    return G.gate(opened, CL.word_list_scorer(GATE_WORDS))
+
+
 def guard_sql(source: str) -> str:
     """CTE ``judged``: one row per message of ``source`` with all the guard adds."""
     return f"""
@@ -126,9 +133,10 @@ def guard_sql(source: str) -> str:
     ),
     gated AS (SELECT *, 1 - pow(0.5, {hits_sql('current_text', GATE_WORDS)}) AS score FROM current),
     answers AS (
-      SELECT conv_id * 4294967296 + turn - 1 AS msg_id, text AS answer FROM conversations c
-      WHERE role = 'assistant' AND EXISTS (SELECT 1 FROM conversations u WHERE u.role = 'user'
-        AND u.conv_id = c.conv_id AND u.turn = c.turn - 1)
+      SELECT conv_id * 4294967296 + turn AS msg_id, next_text AS answer
+      FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text,
+                   lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role
+            FROM conversations) WHERE role = 'user' AND next_role = 'assistant'
     ),
     answered AS (
       SELECT msg_id, stored_lang, {mask_sql('current_text')} AS prompt,
@@ -200,11 +208,7 @@ def blocked_by_obfuscation(spark, folder):
         WHERE verdict = 'BLOCKED_JAILBREAK'""",
 )
 def blocked_by_classifier(spark, folder):
-    opened = G.translate(
-        G.check_obfuscation(messages(spark, folder)), tables(spark, folder)
-    )
-    gated = G.gate(opened, CL.word_list_scorer(GATE_WORDS))
-    return gated.filter(F.col("verdict") == G.BLOCKED_JAILBREAK).select(
+    return judged_at_gate(spark, folder).filter(F.col("verdict") == G.BLOCKED_JAILBREAK).select(
         "msg_id", F.format_string("%.4f", "score").alias("score")
     )
 
@@ -227,7 +231,9 @@ def verdicts_and_outputs(spark, folder):
         SELECT source, verdict, count(*) AS n FROM judged GROUP BY ROLLUP (source, verdict)""",
 )
 def verdict_summary(spark, folder):
-    return G.verdict_summary(guarded(spark, folder, log=False))
+    """Verdicts are settled at the gate: replies and the way back are not looked up."""
+    gated = judged_at_gate(spark, folder)
+    return G.verdict_summary(gated.withColumn("verdict", F.coalesce("verdict", F.lit(G.PASSED))))
 
 
 @register(

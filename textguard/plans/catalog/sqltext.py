@@ -212,7 +212,8 @@ def audit(forms: str) -> str:
       FROM (SELECT msg_id, variant, g, count(*) AS n FROM islands GROUP BY ALL) GROUP BY ALL
     ),
     type_counts AS (
-      SELECT msg_id, variant, enc, count(*) AS n FROM audit WHERE enc IS NOT NULL GROUP BY ALL
+      SELECT msg_id, variant, enc, count(*) AS n, min(pos) AS first
+      FROM audit WHERE enc IS NOT NULL GROUP BY ALL
     ),
     tallies AS (
       SELECT msg_id, variant, count(*) FILTER (checked) AS checked,
@@ -229,11 +230,11 @@ def audit(forms: str) -> str:
     ),
     typed AS (
       SELECT msg_id, variant,
-             string_agg(enc || '=' || n, ',' ORDER BY enc) AS counts,
+             string_agg(enc || '=' || n, ',' ORDER BY first) AS counts,
              max(n) AS top,
              string_agg(CASE WHEN n >= type_limit THEN 'More than ' || (type_limit - 1) || ' ' || enc
                || ' encoded words (' || n || ' found). (Threshold: ' || type_limit || ')' END,
-               ', ' ORDER BY enc) AS type_reasons
+               ', ' ORDER BY first) AS type_reasons
       FROM type_counts JOIN limits USING (msg_id, variant) GROUP BY ALL
     ),
     per_msg AS (

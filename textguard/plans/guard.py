@@ -71,6 +71,7 @@ class GuardTables:
     replies: DataFrame
     language_lookup: DataFrame
     unique_memory: bool = False
+    unique_replies: bool = False
 
 
 def _fill(template: str, *values: Column) -> Column:
@@ -127,7 +128,7 @@ def answer(messages: DataFrame, tables: GuardTables) -> DataFrame:
     prompt = messages.withColumn(
         "prompt", F.when(F.col("verdict").isNull(), R.mask_pii(F.col("current_text")))
     )
-    replied = attach_replies(prompt, tables.replies)
+    replied = attach_replies(prompt, tables.replies, unique=tables.unique_replies)
     masked = replied.withColumn("reply", _open("reply")).withColumn(
         "safe_reply", F.when(F.col("verdict").isNull(), R.mask_pii(F.col("reply")))
     )
