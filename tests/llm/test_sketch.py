@@ -67,3 +67,23 @@ def test_few_rows_repeats_and_nulls(spark):
     edits = sorted(r.edited_sha256 for r in found if r.doc_id == 1)
     want = sorted(hashlib.sha256(t.encode()).hexdigest() for t in ("a ba ", "a ba ", "a b"))
     assert edits == want
+
+
+def test_short_texts_have_their_own_fingerprints_and_exact_containment(spark):
+    texts = [prose(n) for n in [1, 2, 3, 4, 5, 6, 8, 12, 20, 40, 80, 160, 640] * 8] + [prose(6_000), ""]
+    texts += [" ".join(texts[-2].split()[k : k + n]) for k, n in ((0, 3), (70, 9), (900, 30), (50, 700))] + [prose(6_000), "\t"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: r for r in sketch.compare(frame).collect()}
+    prints = {}
+    for doc, text in enumerate(texts):
+        prints.setdefault(found[doc].fingerprint, set()).add(tuple(text.split()))
+    assert all(len(words) == 1 for words in prints.values())
+    exact = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    for doc, text in enumerate(texts):
+        following = texts[(doc + 1) % len(texts)]
+        half = len(text) // 2
+        for other, near in ((text[: len(text) - half] + following[:half], "near_edited"), (following, "near_next")):
+            a, b = exact(text.split()), exact(other.split())
+            want = len(a & b) / min(len(a), len(b)) if a and b else float(a == b)
+            loose = 0.1 if max(len(a), len(b)) > sketch.WHOLE and min(len(a), len(b)) > 128 else 1e-9
+            assert found[doc][near] == pytest.approx(want, abs=loose), (doc, near)

@@ -1,12 +1,17 @@
 """Document fingerprints by a threshold-scaled sketch.
 
-The sketch of a text keeps every distinct five-word shingle whose 64-bit hash is below a fixed
-fraction of the range; a text of fewer words has one shingle, its whole word sequence, a text
-without words none. The threshold is the same for all texts, so that sketches of parts merge by
-union and the sketch of a small text is found again in that of a large one. Likeness is the share
-of the smaller sketch found in the larger, an estimate of containment that does not suffer from
-unequal sizes. A fingerprint is ``<distinct shingles>:<kept hashes, base64>``. If one of two
-sketches is empty, likeness is 1 for equal fingerprints and 0 otherwise.
+The sketch of a text of up to ``WHOLE`` distinct five-word shingles keeps the 64-bit hashes of all;
+that of a longer text those below a fixed fraction of the range. A text of fewer than five words has
+one shingle, its whole word sequence, a text without words none. Two sketches are compared, and
+merged by union, at the smaller of their two thresholds, so that the sketch of a small text is found
+again in that of a large one. Likeness is the share of the smaller sketch found in the larger, an
+estimate of containment that does not suffer from unequal sizes, and exact containment (but for equal
+hashes of unequal shingles) if both keep all. A fingerprint is ``<distinct shingles>:<kept hashes,
+base64>:<hash of the word sequence>``, so that unequal word sequences have unequal fingerprints.
+Only a text without words has an empty sketch: it is like another such text, and like nothing else.
+
+A small text beside a long one can keep next to nothing at the long one's threshold. Below ``LEAST``
+hashes ``compare`` takes all hashes of the two texts, which it has at hand.
 
 ``compare`` fingerprints every text, the text edited by its successor's beginning, and says how
 near both and the successor are. The successor is the next row by ascending ``doc_id``, equal ids by
@@ -22,7 +27,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -33,48 +40,75 @@ from pyspark.sql import functions as F
 from textguard.llm.words import Rolling, slices, word_names, words_of
 
 SHINGLE = 5
-FRACTION = 8  # one hash in eight is kept
+FRACTION = 8  # of a text with more than WHOLE distinct shingles one hash in eight is kept
+WHOLE = 4096
+#: Hashes of the smaller sketch that an estimate must rest on (standard error below 0.05).
+LEAST = 128
 RANGE_BYTES = 16 << 20
 MOST_RANGES = 20_000
 LAST_ID = (1 << 63) - 1
+LIMIT = np.uint64((1 << 64) // FRACTION)
 NEW = "n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next".split()
 
 
-def sketches(texts: pa.Array) -> list[tuple[int, np.ndarray]]:
-    """For each text, the number of distinct shingles and the sorted kept hashes."""
+class Sketch(NamedTuple):
+    distinct: int
+    kept: np.ndarray
+    sequence: int
+
+
+def sketches(texts: pa.Array, whole: int = WHOLE) -> list[Sketch]:
+    """For each text, the number of distinct shingles, the sorted kept hashes and a hash of all words in order."""
     flat, bounds = words_of(texts)
     counts = np.diff(bounds)
     shingles = np.where(counts > 0, np.maximum(counts - SHINGLE + 1, 1), 0)
     ends = np.cumsum(shingles)
     if not len(flat):
-        return [(0, np.zeros(0, np.uint64))] * len(counts)
+        return [Sketch(0, np.zeros(0, np.uint64), 0)] * len(counts)
+    names = word_names(flat, 0)
     row = np.repeat(np.arange(len(counts)), shingles)
     start = np.arange(ends[-1]) - np.repeat(ends - shingles, shingles) + bounds[row]
     stop = np.minimum(start + SHINGLE, bounds[row + 1])
-    found = Rolling(word_names(flat, 0), 0)(start, stop)
+    found = Rolling(names, 0)(start, stop)
     order = np.lexsort((found, row))
     found, row = found[order], row[order]
     fresh = np.append(True, (found[1:] != found[:-1]) | (row[1:] != row[:-1]))
     found, row = found[fresh], row[fresh]
     distinct = np.bincount(row, minlength=len(counts))
-    kept = found < np.uint64((1 << 64) // FRACTION)
+    kept = (found < LIMIT) | (distinct <= whole)[row]
     cuts = np.cumsum(np.bincount(row[kept], minlength=len(counts)))
-    return list(zip(distinct.tolist(), np.split(found[kept], cuts[:-1]), strict=True))
+    sequences = np.where(counts > 0, Rolling(names, 1)(bounds[:-1], bounds[1:]), np.uint64(0))
+    return list(map(Sketch, distinct.tolist(), np.split(found[kept], cuts[:-1]), sequences.tolist()))
+
 
+def written_out(sketch: Sketch) -> str:
+    return f"{sketch.distinct}:{base64.b64encode(sketch.kept.astype('<u8').tobytes()).decode()}:{sketch.sequence:016x}"
 
-def written_out(sketch: tuple[int, np.ndarray]) -> str:
-    return f"{sketch[0]}:{base64.b64encode(sketch[1].astype('<u8').tobytes()).decode()}"
 
+def at_common(a: Sketch, b: Sketch) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of both below the smaller of their two thresholds."""
+    if a.distinct == len(a.kept) and b.distinct == len(b.kept):
+        return a.kept, b.kept
+    return a.kept[a.kept < LIMIT], b.kept[b.kept < LIMIT]
 
-def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
-    least = min(len(a[1]), len(b[1]))
+
+def likeness(a: Sketch, b: Sketch) -> float:
+    one, other = at_common(a, b)
+    least = min(len(one), len(other))
     if not least:
-        return float(a[0] == b[0] and len(a[1]) == len(b[1]))
-    return len(np.intersect1d(a[1], b[1], assume_unique=True)) / least
+        return float(a.distinct == b.distinct and a.sequence == b.sequence)
+    return len(np.intersect1d(one, other, assume_unique=True)) / least
+
+
+def nearness(text: str, other: str, a: Sketch, b: Sketch) -> float:
+    """The likeness of two texts with the sketches ``a`` and ``b``, from all hashes where too few are kept."""
+    if min(map(len, at_common(a, b))) < min(LEAST, a.distinct, b.distinct):
+        a, b = sketches(pa.array([text, other], pa.string()), sys.maxsize)
+    return likeness(a, b)
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The kept hashes of two parts together."""
+    """The kept hashes of two parts together, both at one threshold (``at_common``)."""
     return np.union1d(a, b)
 
 
@@ -106,8 +140,11 @@ def _compared(rows: pa.RecordBatch) -> pa.RecordBatch:
         "edited_sha256": [hashlib.sha256(text.encode()).hexdigest() for text in changed],
         "fingerprint": [written_out(own[i]) for i in has.tolist()],
         "edited_fingerprint": [written_out(sketch) for sketch in other],
-        "near_edited": pa.array([likeness(own[i], sketch) for i, sketch in zip(has.tolist(), other, strict=True)], pa.float64()),
-        "near_next": pa.array([likeness(own[i], own[i + 1]) for i in has.tolist()], pa.float64()),
+        "near_edited": pa.array(
+            [nearness(texts[i], text, own[i], sketch) for i, text, sketch in zip(has.tolist(), changed, other, strict=True)],
+            pa.float64(),
+        ),
+        "near_next": pa.array([nearness(texts[i], texts[i + 1], own[i], own[i + 1]) for i in has.tolist()], pa.float64()),
     }
     columns = {n: c if isinstance(c, pa.Array) else pa.array(c, pa.string()) for n, c in columns.items()}
     return pa.RecordBatch.from_pydict(columns)
