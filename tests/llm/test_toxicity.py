@@ -69,3 +69,31 @@ def test_held_out_accuracy_on_the_tables(spark, sf):
     done = toxicity.apply(documents, toxicity.fit(documents, labels)).join(labels, "doc_id").where("held_out")
     counts = {(r.toxic, r.predicted): r["count"] for r in done.groupBy("toxic", "predicted").count().collect()}
     assert counts.get((0, 1), 0) <= 1 and counts[1, 1] >= counts.get((1, 0), 0)
+
+
+def test_rare_and_unseen_forms_of_an_insult_are_found(spark):
+    rng = random.Random(4)
+    fill = [f"{rng.choice('bdfgkl')}{rng.choice('aeiou')}{i}" for i in range(300)]
+    endings = ["".join(rng.choice("aeioulnrst") for _ in range(3)) for _ in range(400)]
+    rows = []
+    for doc in range(3000):
+        toxic = rng.random() < 0.1
+        words = rng.choices(fill, k=20) + ["grobian" + rng.choice(endings)] * toxic
+        rng.shuffle(words)
+        rows.append((doc, " ".join(words), int(toxic)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    machine = toxicity.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    found = toxicity.apply(frame, machine).where("held_out").select("doc_id", "predicted").collect()
+    truth = {d: y for d, _, y in rows}
+    assert sum(r.predicted for r in found if truth[r.doc_id]) > 0.95 * sum(truth[r.doc_id] for r in found)
+    assert sum(r.predicted for r in found if not truth[r.doc_id]) <= 2
+
+
+def test_every_term_of_two_documents_is_an_input(spark):
+    rows = [(doc, f"common pair{doc // 2} once{doc}", doc % 2) for doc in range(80)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    machine = toxicity.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    kept = [doc for doc, _, _ in rows if zlib.crc32(str(doc).encode()) % 4 != 2]
+    both = [d for d in kept if d % 2 == 0 and d + 1 in kept]
+    names = toxicity.word_buckets(pa.array(["common", *[f"pair{d // 2}" for d in both]]))
+    assert len(both) > 5 and set(names.tolist()) <= set(machine.slots)

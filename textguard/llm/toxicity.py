@@ -1,13 +1,17 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text's terms are its distinct words, small letters, without marks at both ends, hashed into
-``BUCKETS`` buckets. The buckets that tell the classes apart best in the training sample, at most
-``FEATURES`` of them, are the machine's inputs: presence of each, a weight for each, and for every
-pair the inner product of two learned vectors, so that two harmless terms can be toxic together.
+``BUCKETS`` buckets, and the runs of ``GRAM`` characters of these words with their two edges, so that
+unseen inflected forms share terms with seen ones. Every bucket that ``LEAST_DOCUMENTS`` documents of
+the training sample hold is an input of the machine, whatever it tells about the label: presence, a
+weight, and for every pair the inner product of two learned vectors, so that two harmless terms can be
+toxic together.
 
-The machine is fitted by gradient steps (Adam) on a bounded sample, the ``SAMPLE`` labelled training
-rows that come first by a hash of their id, of which only the chosen buckets are looked at. Every text is scored whole. Labels come only from rows whose
-crc32(doc_id as text) mod 4 is not 2; labels, lang, source and doc_id are no inputs of a score.
+The machine is fitted by gradient steps (Adam) over batches of rows, on a bounded sample, the
+``SAMPLE`` labelled training rows that come first by a hash of their id. Squares of weights and of
+vectors add to the loss, the less the clearer a term's own relation to the label is, and for no term
+without bound. Every text is scored whole. Labels come only from rows whose crc32(doc_id as text) mod
+4 is not 2; labels, lang, source and doc_id are no inputs of a score.
 
 A NULL or blank text has no terms and gets the machine's score for none. A NULL ``doc_id`` is never
 held out and has no label. Labels that are NULL are left out; a document labelled more than once
@@ -28,20 +32,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textguard.llm.scratch import written
-from textguard.llm.words import numbered, row_of_word, slices, word_names, words_of
+from textguard.llm.words import mixed, numbered, row_of_word, slices, word_names, words_of
 
 BUCKETS = 1 << 22
-FEATURES = 256
+GRAM = 5
 SAMPLE = 20_000
-#: A bucket must occur in so many documents of the sample.
-LEAST_DOCUMENTS = 5
-#: A bucket's chi-square must be at least this (one degree of freedom, many buckets).
-LEAST_CHI = 30.0
+#: A bucket must occur in so many documents of the sample: what one document holds says nothing of others.
+LEAST_DOCUMENTS = 2
 FACTORS = 4
-STEPS = 300
-RATE = 0.05
-#: Weight of the squares of linear weights and of factors in the mean loss.
-SHRINK = (1e-5, 3e-4)
+STEPS = 120
+BATCH = 2048
+RATE = 0.02
+#: Weight of the squares of linear weights and of factors in the mean loss, for a term of scale 1.
+SHRINK = (1e-4, 1e-1)
+#: A term's scale is (z / FULL) to these powers for weight and factors, z its z-score and FLOOR at least.
+POWERS = (2, 1)
+FULL, FLOOR = 4.0, 0.5
 THRESHOLD = 0.3
 MARKS = ".,;:!?\"'()[]{}<>#*$%&|-_"
 NEW = ("held_out", "score", "predicted")
@@ -56,35 +62,82 @@ class Machine:
     linear: np.ndarray
     factors: np.ndarray
 
-    def scores(self, rows: np.ndarray, buckets: np.ndarray, count: int) -> np.ndarray:
-        """For ``count`` texts whose distinct buckets are given as flat pairs."""
+    def table(self) -> tuple[np.ndarray, float, np.ndarray]:
+        """Sorted buckets, bias, and a row of linear weight and factors for each bucket."""
         wanted = np.array(sorted(self.slots), np.int64)
         slots = np.array([self.slots[b] for b in wanted.tolist()], np.int64)
-        raw = np.full(count, self.bias)
-        if len(wanted) and len(buckets):
-            at = np.minimum(np.searchsorted(wanted, buckets), len(wanted) - 1)
-            hit = wanted[at] == buckets
-            row, slot = rows[hit], slots[at[hit]]
-            raw += np.bincount(row, weights=self.linear[slot], minlength=count)
-            for factor in self.factors.T:
-                one = np.bincount(row, weights=factor[slot], minlength=count)
-                raw += (one**2 - np.bincount(row, weights=factor[slot] ** 2, minlength=count)) / 2
-        return 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
+        return wanted, self.bias, np.column_stack((self.linear[slots], self.factors[slots]))
+
+    def scores(self, rows: np.ndarray, buckets: np.ndarray, count: int) -> np.ndarray:
+        """For ``count`` texts whose distinct buckets are given as flat pairs."""
+        return scores_from(self.table(), rows, buckets, count)
 
 
-def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """``(rows, buckets)``: the distinct buckets of each text."""
+def scores_from(table: tuple[np.ndarray, float, np.ndarray], rows: np.ndarray, buckets: np.ndarray, count: int) -> np.ndarray:
+    wanted, bias, weights = table
+    raw = np.full(count, bias)
+    if len(wanted) and len(buckets):
+        at = np.minimum(np.searchsorted(wanted, buckets), len(wanted) - 1)
+        hit = wanted[at] == buckets
+        row, slot = rows[hit], at[hit]
+        raw += np.bincount(row, weights=weights[slot, 0], minlength=count)
+        for factor in weights.T[1:]:
+            own = factor[slot]
+            raw += (np.bincount(row, weights=own, minlength=count) ** 2 - np.bincount(row, weights=own**2, minlength=count)) / 2
+    return 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
+
+
+def bare_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """``(pairs, bare)``: row * 2**32 + number of each distinct word of a row, and the words without marks."""
     flat, bounds = words_of(pc.ascii_lower(texts.fill_null("")))
-    if not len(flat):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     ids, distinct = numbered(flat)
-    bare = pc.utf8_trim(distinct, characters=MARKS)
+    return np.unique((row_of_word(bounds) << 32) + ids), pc.utf8_trim(distinct, characters=MARKS)
+
+
+def word_buckets(bare: pa.Array) -> np.ndarray:
+    """The bucket of each word, -1 for an empty one."""
     full = pc.binary_length(bare).to_numpy() > 0
     bucket = np.full(len(bare), -1, np.int64)
     if full.any():
         bucket[full] = (word_names(bare.filter(pa.array(full)), 0) % np.uint64(BUCKETS)).astype(np.int64)
-    pairs = row_of_word(bounds) * BUCKETS + bucket[ids]
-    pairs = np.unique(pairs[bucket[ids] >= 0])
+    return bucket
+
+
+def gram_buckets(bare: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(words, buckets)`` of the runs of ``GRAM`` characters, line feeds standing for a word's edges."""
+    codes = np.frombuffer("\n".join(["", *bare.to_pylist(), ""]).encode("utf-32-le"), np.uint32)
+    edge = codes == 10
+    if len(codes) < GRAM:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    within = ~np.lib.stride_tricks.sliding_window_view(edge, GRAM)[:, 1:-1].any(axis=1)
+    start = np.flatnonzero(within)
+    name = np.zeros(len(start), np.uint64)
+    for k in range(GRAM):
+        name = mixed(name + codes[start + k] + np.uint64(1))
+    return (np.cumsum(edge) - 1)[start], (name % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(rows, buckets)``: the distinct buckets of each text's words."""
+    pairs, bare = bare_words(texts)
+    bucket = word_buckets(bare)[pairs & 0xFFFFFFFF]
+    pairs = np.unique((pairs >> 32)[bucket >= 0] * BUCKETS + bucket[bucket >= 0])
+    return pairs // BUCKETS, pairs % BUCKETS
+
+
+def inputs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(rows, buckets)``: the distinct buckets of each text's words and of their runs of characters."""
+    pairs, bare = bare_words(texts)
+    whole = word_buckets(bare)
+    word, gram = gram_buckets(bare)
+    owner = np.concatenate((np.flatnonzero(whole >= 0), word))
+    order = np.argsort(owner, kind="stable")
+    bucket = np.concatenate((whole[whole >= 0], gram))[order]
+    ends = np.cumsum(np.bincount(owner, minlength=len(bare)))
+    ids = pairs & 0xFFFFFFFF
+    count = np.diff(ends, prepend=0)[ids]
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - ends[ids], count)
+    pairs = np.unique(np.repeat(pairs >> 32, count) * BUCKETS + bucket[at])
     return pairs // BUCKETS, pairs % BUCKETS
 
 
@@ -93,7 +146,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def sample_of(documents: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """``(toxic, buckets)`` of the sample's documents."""
+    """``(at, toxic, buckets)`` of the sample's documents; ``at`` puts them in a lasting order."""
     chosen = (
         labels.where("doc_id is not null and toxic is not null").where(~held_out())
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
@@ -102,85 +155,116 @@ def sample_of(documents: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Da
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            rows, buckets = terms(part.column("text"))
+            rows, buckets = inputs(part.column("text"))
             ends = np.searchsorted(rows, np.arange(part.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(buckets.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column("_toxic"), lists], ["toxic", "buckets"])
+            yield pa.RecordBatch.from_arrays([part.column("_at"), part.column("_toxic"), lists], ["at", "toxic", "buckets"])
 
     # at most ``size`` ids and labels go to all tasks
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("_toxic", "text")
-    return written(rows.mapInArrow(encode, "toxic int, buckets array<int>"), "toxicity-sample")
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
+        F.xxhash64("doc_id", "text").alias("_at"), "_toxic", "text"
+    )
+    return written(rows.mapInArrow(encode, "at bigint, toxic int, buckets array<int>"), "toxicity-sample")
 
 
-def telling_buckets(sample: DataFrame, rows: int, toxic: int, most: int = FEATURES) -> list[int]:
-    """The buckets with the largest chi-square against the label."""
-    seen = sample.select("toxic", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(
-        F.count("*").alias("n"), F.sum("toxic").alias("hits")
-    )
-    expected = F.col("n") * F.lit(toxic / rows)
-    spread = expected * F.lit(1 - toxic / rows) * (1 - F.col("n") / F.lit(rows + 1))
-    ranked = seen.where(F.col("n") >= LEAST_DOCUMENTS).select("bucket", ((F.col("hits") - expected) ** 2 / spread).alias("chi"))
-    return [r.bucket for r in ranked.where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "bucket").limit(most).collect()]
+@dataclass(frozen=True)
+class Batch:
+    """Labels of some rows, and their terms by row and by slot; ``starts`` says where each of ``slots`` begins."""
+
+    label: np.ndarray
+    row: np.ndarray
+    slot: np.ndarray
+    row_by_slot: np.ndarray
+    slots: np.ndarray
+    starts: np.ndarray
+
+
+def batch_of(label: np.ndarray, row: np.ndarray, slot: np.ndarray) -> Batch:
+    order = np.argsort(slot, kind="stable")
+    return Batch(label, row, slot, row[order], *np.unique(slot[order], return_index=True))
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Machine:
     sample = sample_of(documents, labels)
     counts = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
-    flat = Machine({}, float(np.log((counts.toxic + 1) / (counts.n - counts.toxic + 1))), np.zeros(0), np.zeros((0, 0)))
+    flat = Machine({}, float(np.log((counts.toxic + 1) / (counts.n - counts.toxic + 1))), np.zeros(0), np.zeros((0, FACTORS)))
     if not 0 < counts.toxic < counts.n:
         return flat
-    chosen = telling_buckets(sample, counts.n, counts.toxic)
-    if not chosen:
+    seen, hits = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    read, parts = [], -(-counts.n // BATCH)
+    for part in range(parts):  # about BATCH rows' labels and buckets pass to the driver at a time
+        rows = sample.where(F.pmod("at", F.lit(parts)) == part).toArrow().sort_by("at").combine_chunks()
+        label, lists = rows.column("toxic").to_numpy(), rows.column("buckets")
+        bucket = pc.list_flatten(lists).to_numpy().copy()
+        row = np.repeat(np.arange(len(label), dtype=np.int32), pc.list_value_length(lists).to_numpy())
+        seen += np.bincount(bucket, minlength=BUCKETS).astype(np.int32)
+        hits += np.bincount(bucket[label[row] > 0], minlength=BUCKETS).astype(np.int32)
+        if len(label):
+            read.append((label.astype(float), row, bucket))
+        del rows, lists
+        pa.default_memory_pool().release_unused()
+    chosen = np.flatnonzero(seen >= LEAST_DOCUMENTS)
+    if not len(chosen):
         return flat
-    wanted = F.array(*map(F.lit, chosen))
-    # at most SAMPLE rows of at most FEATURES numbers
-    rows = sample.select("toxic", F.array_intersect("buckets", wanted).alias("active")).toArrow()
-    slots = {bucket: i for i, bucket in enumerate(chosen)}
-    active = rows.column("active").combine_chunks()
-    slot = np.fromiter((slots[b] for b in active.flatten().to_pylist()), np.int64)
-    row = np.repeat(np.arange(len(active)), np.diff(active.offsets.to_numpy()))
-    return Machine(slots, *learned(row, slot, rows.column("toxic").to_numpy().astype(float), len(slots)))
-
-
-def learned(row: np.ndarray, slot: np.ndarray, label: np.ndarray, features: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, linear weights and factors with a small mean log loss, by full-batch Adam."""
-    n = len(label)
-    rate = label.mean()
-    start = np.zeros((features, FACTORS + 1))
-    start[:, 1:] = np.random.default_rng(7).normal(0, 0.05, (features, FACTORS))
-    # one vector: bias, then a row of linear weight and factors for each feature
-    theta = np.concatenate(([np.log(rate / (1 - rate))], start.ravel()))
-    shrink = np.concatenate(([0.0], np.tile([SHRINK[0], *[SHRINK[1]] * FACTORS], features)))
-    mean, square = np.zeros_like(theta), np.zeros_like(theta)
+    slots = np.full(BUCKETS, -1, np.int32)
+    slots[chosen] = np.arange(len(chosen))
+    batches = []
+    while read:
+        label, row, bucket = read.pop()
+        slot = slots[bucket]
+        batches.append(batch_of(label, row[slot >= 0], slot[slot >= 0]))
+    learnt = learned(batches, scales(seen[chosen], hits[chosen], counts.toxic / counts.n), counts.toxic / counts.n)
+    return Machine(dict(zip(chosen.tolist(), range(len(chosen)), strict=True)), *learnt)
+
+
+def scales(seen: np.ndarray, hits: np.ndarray, rate: float) -> np.ndarray:
+    """For each term the scales of its weight and of its factors; none is 0."""
+    clear = np.abs(hits - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1)
+    clear = np.maximum(clear, FLOOR) / FULL
+    return np.column_stack((clear ** POWERS[0], *[clear ** POWERS[1]] * FACTORS)).astype(np.float32)
+
+
+def learned(batches: list[Batch], scale: np.ndarray, rate: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, linear weights and factors with a small mean log loss, by Adam over batches of rows."""
+    # a row of linear weight and factors for each feature, in units of its scale
+    theta = np.zeros_like(scale)
+    theta[:, 1:] = np.random.default_rng(7).normal(0, 0.01, (len(scale), FACTORS))
+    bias = np.array([np.log(rate / (1 - rate))])
+    shrink = np.array([SHRINK[0], *[SHRINK[1]] * FACTORS], np.float32)
+    moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (theta, bias)]
     for step in range(1, STEPS + 1):
-        weights = theta[1:].reshape(features, -1)
-        linear, factors = weights[:, 0], weights[:, 1:]
-        raw = theta[0] + np.bincount(row, weights=linear[slot], minlength=n)
-        sums = np.stack([np.bincount(row, weights=f[slot], minlength=n) for f in factors.T], axis=1)
-        own = factors[slot]
-        raw += (sums**2).sum(axis=1) / 2 - np.bincount(row, weights=(own**2).sum(axis=1), minlength=n) / 2
-        off = (1 / (1 + np.exp(-np.clip(raw, -500, 500))) - label) / n
-        gradient = np.zeros((features, FACTORS + 1))
-        gradient[:, 0] = np.bincount(slot, weights=off[row], minlength=features)
-        through = off[row][:, None] * (sums[row] - own)
-        for k in range(FACTORS):
-            gradient[:, k + 1] = np.bincount(slot, weights=through[:, k], minlength=features)
-        slope = np.concatenate(([off.sum()], gradient.ravel())) + shrink * theta
-        mean = 0.9 * mean + 0.1 * slope
-        square = 0.999 * square + 0.001 * slope**2
-        theta = theta - RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-9)
-    weights = theta[1:].reshape(features, -1)
-    return float(theta[0]), weights[:, 0].copy(), weights[:, 1:].copy()
+        batch = batches[step % len(batches)]
+        rows = len(batch.label)
+        weights = theta * scale
+        sums = np.zeros((rows, FACTORS + 1), np.float32)
+        filled = np.flatnonzero(np.diff(batch.row, prepend=-1))
+        if len(filled):
+            sums[batch.row[filled]] = np.add.reduceat(weights[batch.slot], filled, axis=0)
+        own = np.bincount(batch.row, weights=(weights[:, 1:] ** 2).sum(axis=1)[batch.slot], minlength=rows)
+        raw = bias + sums[:, 0] + ((sums[:, 1:] ** 2).sum(axis=1) - own) / 2
+        off = (1 / (1 + np.exp(-np.clip(raw, -500, 500))) - batch.label) / rows
+        through = off[:, None].astype(np.float32) * np.column_stack((np.ones(rows, np.float32), sums[:, 1:]))
+        slope = shrink * theta
+        if len(filled):
+            gradient = np.add.reduceat(through[batch.row_by_slot], batch.starts, axis=0)
+            gradient[:, 1:] -= weights[batch.slots, 1:] * gradient[:, :1]
+            slope[batch.slots] += gradient * scale[batch.slots]
+        for x, down, (mean, square) in zip((theta, bias), (slope, np.array([off.sum()])), moments, strict=True):
+            mean += 0.1 * (down - mean)
+            square += 0.001 * (down**2 - square)
+            x -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+    weights = (theta * scale).astype(float)
+    return float(bias[0]), weights[:, 0].copy(), weights[:, 1:].copy()
 
 
 def apply(documents: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
     """Each row with ``held_out``, ``score`` and ``predicted``."""
     others = [c for c in documents.columns if c not in ("text", *NEW)]
-    shared = documents.sparkSession.sparkContext.broadcast(machine)
+    shared = documents.sparkSession.sparkContext.broadcast(machine.table())
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            found = shared.value.scores(*terms(part.column("text")), part.num_rows)
+            found = scores_from(shared.value, *inputs(part.column("text")), part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(found)], ["_row", "score"])
 
     rows = documents.select(F.struct(*others, held_out().alias("held_out")).alias("_row"), "text")
