@@ -118,3 +118,13 @@ def test_empty_table(spark, build):
 def test_spark_and_python_hash_alike(spark):
     row = spark.range(1).select(F.xxhash64(F.lit("wörd two three and more than thirty-two bytes")).alias("h")).first()
     assert row.h & ((1 << 64) - 1) == xxhash.xxh64_intdigest("wörd two three and more than thirty-two bytes".encode(), 42)
+
+
+def test_rows_that_share_an_id_keep_one_row_for_each_component(spark):
+    one, two = "a b c d e f g h", "quite another text of many other words"
+    rows = [(1, one, "x"), (1, two, "y"), (1, two, None), (1, None, "z"), (2, one, "x"), (3, two, "y")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, tag string")
+    runs = [sorted(map(repr, simhash.keep_one_of_each(frame.repartition(n)).collect())) for n in (1, 2, 4, 5)]
+    kept = simhash.keep_one_of_each(frame).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == [(1, ""), (1, one), (1, two)]
+    assert all(run == runs[0] for run in runs)

@@ -143,25 +143,32 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def component_names(marked: DataFrame) -> DataFrame:
-    """``(fp, component_id)`` for the distinct fingerprints of ``marked(_id, fp)``."""
+    """``(fp, root, component_id)`` for the distinct fingerprints of ``marked(_id, fp)``."""
     distinct = written(marked.groupBy("fp").agg(F.min("_id").alias("least_id")), "distinct-fingerprints")
     roots = connected(links(distinct.select("fp")))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rooted.join(smallest, "root").select("fp", "component_id")
+    return rooted.join(smallest, "root").select("fp", "root", "component_id")
+
+
+def row_hash(documents: DataFrame):
+    """A hash of all columns, and of which of them are NULL."""
+    told = [F.to_json(F.struct(c)) if "<" in kind else F.col(c) for c, kind in documents.dtypes]
+    return F.xxhash64(*told, *[F.col(c).isNull() for c in documents.columns])
 
 
 def keep_one_of_each(documents: DataFrame) -> DataFrame:
     """One row of each component: that of its smallest ``doc_id``; rows without one stay.
 
-    Of several rows with that ``doc_id`` the first by all its columns' hash and text stays.
+    Of several rows of the component with that ``doc_id`` the first by all its columns' hash stays.
     """
-    spark_columns = documents.columns
-    whole = documents.select(F.col("doc_id").cast("bigint").alias("_id"), F.struct(*spark_columns).alias("_row"), "text")
-    marked = written(fingerprints(whole.select("_id", "text"), "_id"), "fingerprints")
-    named = component_names(marked)
-    keepers = named.where("component_id is not null").select(F.col("component_id").alias("_id")).distinct()
-    chosen = whole.join(keepers, "_id", "left_semi").dropDuplicates(["_id"])
+    whole = documents.select(
+        F.col("doc_id").cast("bigint").alias("_id"), row_hash(documents).alias("_hash"), F.struct("*").alias("_row"), "text"
+    )
+    marked = written(fingerprints(whole.select("_id", "_hash", "text"), "_id", "_hash"), "fingerprints")
+    firsts = marked.where("_id is not null").groupBy("fp").agg(F.min(F.struct("_id", "_hash")).alias("first"))
+    keepers = firsts.join(component_names(marked).select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    chosen = whole.join(keepers.select("first.*"), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
     return chosen.unionByName(whole.where("_id is null")).select("_row.*")
