@@ -170,3 +170,80 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
     done = convert_pages(table(spark, folder, "pages"))
     return done.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP13_SQL = r"""
+WITH cut AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages),
+rules(action, rule_host, rule_path) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+         ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+addresses AS (SELECT DISTINCT host, path FROM cut),
+ruled AS (
+  SELECT host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+         arg_max(action, length(rule_host || rule_path)) AS action
+  FROM addresses JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY host, path),
+known AS (
+  SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad
+  FROM labels WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1 OR (quality = 1 AND toxic = 0)) GROUP BY doc_id),
+hosts AS (
+  SELECT host, count(bad) FILTER (host <> '') AS n, coalesce(sum(bad) FILTER (host <> ''), 0) AS bad,
+         regexp_replace(regexp_replace(host, '^.*@|:[0-9]*$', ''), '[.]+$', '') AS bare
+  FROM (SELECT DISTINCT page_id, host FROM cut) LEFT JOIN known USING (page_id) GROUP BY host),
+named AS (
+  SELECT host, n, bad,
+         CASE WHEN regexp_matches(bare, '^[0-9.]+$') THEN bare
+              ELSE array_to_string(string_split(bare, '.')[-2:], '.') END AS domain,
+         CASE WHEN regexp_matches(bare, '^[0-9.]+$') THEN bare ELSE string_split(bare, '.')[-1] END AS suffix
+  FROM hosts),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM named GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
+children AS (
+  SELECT 1 AS level, '' AS parent, n, bad FROM suffixes WHERE n > 0
+  UNION ALL SELECT 2, suffix, n, bad FROM domains WHERE n > 0
+  UNION ALL SELECT 3, domain, n, bad FROM named WHERE n > 0),
+groups AS (
+  SELECT level, parent, sum(n)::DOUBLE AS pages, count(*) AS k, sum(n * n) AS squares,
+         sum(bad * bad / n) - sum(bad) * sum(bad) / sum(n) AS between_, sum(bad - bad * bad / n) AS within_
+  FROM children GROUP BY ALL),
+moments AS (
+  SELECT level, sum(k - 1) AS free, sum(pages - k) AS rest, sum(between_) / nullif(sum(k - 1), 0) AS msb,
+         sum(within_) / nullif(sum(pages - k), 0) AS msw, sum(pages - squares / pages) / nullif(sum(k - 1), 0) AS n0
+  FROM groups GROUP BY level),
+weights AS (
+  SELECT l.level, least(greatest(CASE WHEN free > 0 AND rest > 0 THEN CASE WHEN msb > msw THEN msw / ((msb - msw) / n0)
+                                                                           ELSE 1000.0 END ELSE 2.0 END, 2.0), 1000.0) AS w
+  FROM (VALUES (1), (2), (3)) AS l(level) LEFT JOIN moments USING (level)),
+root AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) AS mean FROM suffixes),
+suffix_means AS (SELECT suffix, (w * mean + bad) / (w + n) AS mean FROM suffixes, root, weights WHERE level = 1),
+domain_means AS (
+  SELECT domain, (w * mean + bad) / (w + n) AS mean FROM domains JOIN suffix_means USING (suffix), weights WHERE level = 2),
+judged AS (
+  SELECT host, (w * mean + bad) / (w + n) AS mean, w + n AS weight
+  FROM named JOIN domain_means USING (domain), weights WHERE level = 3),
+verdicts AS (
+  SELECT host, mean - 1.2816 * sqrt(mean * (1 - mean) / (weight + 1)) > 0.3 AS blocked FROM judged)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+FROM cut JOIN verdicts USING (host) LEFT JOIN ruled USING (host, path)
+"""
+
+
+@query("op13_host_reputation", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from textguard.llm.reputation import ALLOW, BLOCK, Rule, judge_urls
+
+    rules = [
+        Rule(ALLOW, "com"), Rule(BLOCK, "example.com", "/en/"), Rule(ALLOW, "www.example.com", "/en/"),
+        Rule(BLOCK, "net", "/es/"), Rule(BLOCK, "net", "/fr/"),
+    ]
+    # the given labels stand in for outcomes of pages: a page is bad if the label of its number is
+    outcomes = table(spark, folder, "labels").select(
+        F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
+    )
+    judged = judge_urls(table(spark, folder, "pages").select("page_id", "url"), outcomes, rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
