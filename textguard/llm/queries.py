@@ -247,3 +247,83 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     )
     judged = judge_urls(table(spark, folder, "pages").select("page_id", "url"), outcomes, rules)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _told_sql(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || {value}, '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return f"sha256({' || '.join(_told_sql(v) for v in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+_CRC_SQL = """xor(4294967295, list_reduce(
+    list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [0, 0, 0, 0, 0, 0, 0, 0]),
+                                  lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def _tree_sql(name: str, start: str) -> str:
+    """CTE of all nodes of the trees that stand on ``start(tree, pos, size, digest)``."""
+    return f"""{name} AS (
+  SELECT tree, 0 AS level, pos, size, digest FROM {start}
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, (size + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM {name} WHERE size > 1 GROUP BY tree, level, pos // 2, size)"""
+
+
+OP11_SQL = f"""
+WITH RECURSIVE
+told AS (
+  SELECT doc_id, lang, {_leaf_sql('n_chars')} AS leaf, {_CRC_SQL} % 7 = 0 AS touched, {_leaf_sql('n_chars + 1')} AS changed,
+  FROM documents),
+leaves AS (
+  SELECT doc_id, lang, leaf, CASE WHEN touched THEN changed ELSE leaf END AS shown,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY lang) AS size
+  FROM told),
+langs AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT lang FROM documents)),
+placed AS (
+  SELECT l.*, tree FROM leaves l JOIN langs ON l.lang IS NOT DISTINCT FROM langs.lang),
+bottom AS (SELECT tree, pos, size, leaf AS digest FROM placed),
+{_tree_sql('nodes', 'bottom')},
+subroots AS (SELECT tree, digest FROM nodes WHERE size = 1),
+tops AS (SELECT 0 AS tree, tree AS pos, (SELECT count(*) FROM langs) AS size, digest FROM subroots),
+{_tree_sql('upper_', 'tops')},
+steps AS (
+  SELECT p.tree, p.pos, n.level, n.digest AS sibling, (p.pos >> n.level) & 1 AS is_right
+  FROM placed p JOIN nodes n ON n.tree = p.tree AND n.pos = xor(p.pos >> n.level, 1)
+  UNION ALL
+  SELECT p.tree, p.pos, 100 + u.level, u.digest, (p.tree >> u.level) & 1
+  FROM placed p JOIN upper_ u ON u.pos = xor(p.tree >> u.level, 1)),
+ways AS (SELECT tree, pos, string_agg(sibling, '' ORDER BY level) AS path FROM steps GROUP BY ALL),
+heights AS (
+  SELECT tree, CAST(ceil(log2(count(*))) AS BIGINT) AS low FROM placed GROUP BY tree),
+folded AS (
+  SELECT tree, pos, 0 AS level, low, shown AS digest FROM placed JOIN heights USING (tree)
+  UNION ALL
+  SELECT f.tree, f.pos, CASE WHEN f.level + 1 = low THEN 100 ELSE f.level + 1 END, low,
+         sha256(CASE WHEN sibling IS NULL THEN f.digest WHEN is_right = 1 THEN sibling || f.digest ELSE f.digest || sibling END)
+  FROM (SELECT tree, pos, CASE WHEN level = 0 AND low = 0 THEN 100 ELSE level END AS level, low, digest FROM folded) f
+  LEFT JOIN steps s ON s.tree = f.tree AND s.pos = f.pos AND s.level = f.level
+  WHERE f.level < 100 + (SELECT ceil(log2(count(*))) FROM langs)),
+ends AS (SELECT tree, pos, arg_max(digest, level) AS folded_root FROM folded GROUP BY ALL)
+SELECT p.doc_id, p.leaf, s.digest AS subroot, (SELECT digest FROM upper_ WHERE size = 1) AS root,
+       sha256(coalesce(path, '')) AS proof_sha256, folded_root,
+       folded_root = (SELECT digest FROM upper_ WHERE size = 1) AS verified
+FROM placed p JOIN subroots s USING (tree) JOIN ends USING (tree, pos) LEFT JOIN ways USING (tree, pos)
+"""
+
+
+@query("op11_merkle_manifest", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from textguard.llm.merkle import commit, leaf_of, proofs
+
+    documents = table(spark, folder, "documents")
+    changed = leaf_of("doc_id", "source", "lang", F.col("n_chars") + 1, "text")
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    manifest = commit(
+        documents, ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "lang", F.when(touched, changed)
+    )
+    found = proofs(manifest).withColumnRenamed("key", "doc_id")
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
