@@ -327,3 +327,45 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     )
     found = proofs(manifest).withColumnRenamed("key", "doc_id")
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, (VALUES (1), (2), (3)) AS sizes(m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+candidates AS (SELECT lang, m, phrase, a FROM f WHERE m > 1 AND a >= 10),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM candidates)),
+measured AS (
+  SELECT c.lang, c.phrase, c.a, fx.a AS l, fy.a AS r,
+         CAST((1000000::HUGEINT * c.a * c.a) // (fx.a::HUGEINT * fy.a) AS BIGINT) AS score, k
+  FROM cuts c JOIN f fx ON fx.lang = c.lang AND fx.phrase = x JOIN f fy ON fy.lang = c.lang AND fy.phrase = y
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1),
+around AS (
+  SELECT lang, sub, max(a) AS most
+  FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS sub
+        FROM (SELECT *, string_split(phrase, ' ') AS w FROM candidates WHERE m = 3))
+  GROUP BY ALL),
+kept AS (
+  SELECT d.* FROM measured d LEFT JOIN around s ON s.lang = d.lang AND s.sub = d.phrase
+  WHERE most IS NULL OR 100 * most < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang)
+QUALIFY rank <= 2000
+"""
+
+
+@query("op12_phrase_collocations", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from textguard.llm.collocations import collocations
+
+    return collocations(table(spark, folder, "documents").select("lang", "text"))
