@@ -117,11 +117,10 @@ def test_small_tiles_and_windows(spark, monkeypatch):
     assert total == totals["l"] and pairs == {k[1]: n for k, n in counts.items() if len(k[1]) == 2}
 
 
-def test_ids_rise_with_falling_counts_and_keep_languages_apart():
-    group = np.array([1, 0, 1, 0, 1])
-    order, ids = CO.ranked_ids(group, np.array([5, 9, 7, 9, 7]), np.array(["a", "c", "z", "b", "y"], object))
-    assert order.tolist() == [3, 1, 4, 2, 0]
-    assert ids.tolist() == [0, 1, 1024, 1025, 1026]
+def test_ids_rise_with_falling_counts(spark):
+    rows = [("en", "a", 5), ("de", "c", 9), ("en", "z", 7), ("de", "b", 9), ("en", "y", 7)]
+    frame = spark.createDataFrame(rows, "lang string, phrase string, n bigint").repartition(3)
+    assert {r.phrase: r.id for r in CO.with_ids(frame, "ids").collect()} == {"b": 0, "c": 1, "y": 2, "z": 3, "a": 4}
 
 
 def test_scores_are_exact_beyond_64_bits(spark):

@@ -4,8 +4,8 @@ A text with A-Z in lower case is cut at ``. , ; : ! ?`` and line ends into piece
 and tabs into words. All counts are per language, a NULL language being ``und``. A phrase of two to
 ``longest`` words that occurs at least ``least`` times is a candidate.
 
-1. Words are counted. Those that can be in a candidate get ids by falling frequency, each language
-   from a multiple of the tile's side on.
+1. Words are counted. Those that can be in a candidate get ids by falling frequency, language after
+   language.
 2. Tasks turn words into ids, and neighbours into addresses ``(tile, row in tile, column in tile)``.
    A tile that holds many of them is counted by one dense ``bincount`` over its addresses, the
    others are sorted together and counted as runs. Spark adds up the tasks' counts by address.
@@ -29,6 +29,7 @@ very long text needs no more room than its longest piece. Other columns are not
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -38,7 +39,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textguard.llm.scratch import written
+from textguard.llm.places import numbered
+from textguard.llm.scratch import new_folder, written
 from textguard.llm.words import slices
 
 LEAST, LONGEST, MOST = 10, 3, 2000
@@ -46,8 +48,8 @@ LEAST, LONGEST, MOST = 10, 3, 2000
 COVERED_PERCENT = 50
 UNKNOWN = "und"
 HEAD_WORDS, LONGEST_WORD, HEAD_PHRASES = 1_000_000, 100, 2_000_000
-#: A tile has 1,024 rows and columns, and there are 2,097,152 rows and columns of tiles; a tile is
-#: counted densely from a sixteenth of its places on.
+#: A tile has 1,024 rows and columns, and there may be 2,097,152 rows and columns of tiles; a tile
+#: is counted densely from a sixteenth of its places on.
 SIDE_BITS = 10
 TILE_BITS = 21
 DENSE_FROM = 1 << (2 * SIDE_BITS - 4)
@@ -167,15 +169,10 @@ def head_of(rows: DataFrame, most: int) -> tuple[DataFrame, bool]:
     return rows.where(F.lit(False) if least is None else step >= least), False
 
 
-def ranked_ids(group: np.ndarray, n: np.ndarray, *ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(order, ids)``: the rows by group and falling count, and their ids in that order; each group
-    starts a new tile, as long as there are tiles enough."""
-    order = np.lexsort((*ties[::-1], -n, group))
-    _, sizes = np.unique(group, return_counts=True)
-    tiles = -(-sizes >> SIDE_BITS)
-    before = np.cumsum(sizes) - sizes
-    starts = (np.cumsum(tiles) - tiles) << SIDE_BITS if tiles.sum() < 1 << TILE_BITS else before
-    return order, np.arange(len(order)) + np.repeat(starts - before, sizes)
+def with_ids(rows: DataFrame, purpose: str) -> DataFrame:
+    """The rows, written, with ``id``: from 0 by language, falling count and phrase."""
+    folder = new_folder(rows.sparkSession, purpose)
+    return numbered(rows.withColumn("_rare", -F.col("n")), ["lang", "_rare", "phrase"], "id", folder).drop("_rare")
 
 
 def addresses(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -322,28 +319,20 @@ def frequent_phrases(
 ) -> tuple[DataFrame, DataFrame]:
     """``(lang, phrase, length, n)`` of all phrases of up to ``longest`` words that occur ``least``
     times, and ``(lang, n)``, all words of a language."""
-    spark = documents.sparkSession
     everything = written(count_words(documents), "words")
     totals = everything.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = everything.where(F.col("n") >= least)
     short = frequent.where(F.octet_length("phrase") <= LONGEST_WORD)
     head, whole = head_of(short, head_words)
     whole = whole and frequent.where(F.octet_length("phrase") > LONGEST_WORD).isEmpty()
-    table = head.select("lang", "phrase", "n").toArrow().combine_chunks()
-    names = np.array(table.column("lang").to_pylist(), object)
-    texts = np.array(table.column("phrase").to_pylist(), object)
-    langs, group = np.unique(names, return_inverse=True) if len(names) else (names, np.zeros(0, np.int64))
-    order, ids = ranked_ids(group, table.column("n").to_numpy(), texts)
-    words: dict[str, dict[str, int]] = {lang: {} for lang in langs}
-    for i, number in zip(order, ids.tolist(), strict=True):
-        words[names[i]][texts[i]] = number
-    spelled = spark.createDataFrame(
-        pa.table({"b": pa.array(ids, pa.int64()), "lang": pa.array(names[order], pa.string()), "word": pa.array(texts[order], pa.string())})
-    )
-    spelled = written(spelled, "word-ids")
-    starts = np.array([ids[np.searchsorted(group[order], g)] for g in range(len(langs))], np.int64)
-
-    known = Known(words, (), (whole,))
+    named = with_ids(head.select("lang", "phrase", "n"), "word-ids")
+    words: dict[str, dict[str, int]] = defaultdict(dict)
+    for batch in named.select("lang", "phrase", "id").toArrow().to_batches():
+        for lang, word, number in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            words[lang][word] = number
+    spelled = named.select(F.col("id").alias("b"), "lang", F.col("phrase").alias("word"))
+
+    known = Known(dict(words), (), (whole,))
     prefixes = spelled.select(F.col("b").alias("a"), F.col("word").alias("prefix"))
     found = [frequent.select("lang", "phrase", F.lit(1).alias("length"), "n")]
     for length in range(2, longest + 1):
@@ -359,18 +348,12 @@ def frequent_phrases(
         found += [rows.select("lang", "phrase", F.lit(length).alias("length"), "n") for rows in (told, rest)]
         if length == longest:
             break
-        head, whole = head_of(told.select("a", "b", "n"), head_phrases)
-        pairs = head.select("a", "b", "n").toArrow()
-        first, second, n = (pairs.column(c).to_numpy() for c in ("a", "b", "n"))
-        # the first word's language is that of the prefix, whose ids rise by language as well
-        order, ids = ranked_ids(np.searchsorted(starts, first, side="right"), n, first, second)
-        first, second = first[order], second[order]
-        keys = (first << 32) | second
-        sort = np.argsort(keys)
-        known = Known(words, (*known.pairs, (keys[sort], ids[sort])), (*known.whole, whole and rest.isEmpty()))
-        numbered = spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "a": pa.array(first), "b": pa.array(second)}))
-        prefixes = written(numbered.join(told, ["a", "b"]).select(F.col("id").alias("a"), F.col("phrase").alias("prefix")), f"phrase-ids-{length}")
-        starts = np.array([ids[i] for i in np.unique(np.searchsorted(starts, first, side="right"), return_index=True)[1]], np.int64)
+        head, whole = head_of(told, head_phrases)
+        named = with_ids(head, f"phrase-ids-{length}")
+        prefixes = named.select(F.col("id").alias("a"), F.col("phrase").alias("prefix"))
+        pairs = named.select((F.shiftleft("a", 32) + F.col("b")).alias("pair"), "id").orderBy("pair").toArrow()
+        table = (pairs.column("pair").to_numpy(), pairs.column("id").to_numpy())
+        known = Known(known.words, (*known.pairs, table), (*known.whole, whole and rest.isEmpty()))
     whole_list = found[0]
     for rows in found[1:]:
         whole_list = whole_list.unionByName(rows)
