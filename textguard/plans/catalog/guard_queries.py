@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textguard.operators import classifier as CL
 from textguard.operators import language as L
 from textguard.operators import replies as RP
+from textguard.operators import term_model as TM
 from textguard.plans import guard as G
 from textguard.plans.catalog import sqltext as Q
 from textguard.plans.catalog.language_queries import (
@@ -18,7 +19,13 @@ from textguard.plans.catalog.language_queries import (
 )
 from textguard.plans.catalog.pii_queries import mask_sql
 from textguard.plans.catalog.registry import register
-from textguard.plans.catalog.training_queries import HOSTILE_WORDS, fitted, hits_sql
+from textguard.plans.catalog.training_queries import (
+    HOSTILE_WORDS,
+    TRAINED_SQL,
+    hits_sql,
+    model_scores_sql,
+    trained,
+)
 from textguard.plans.catalog.variants import FORMS, forms
 from textguard.sources.shared import shared_folder
 from textguard.sources.tables import TURN_SPAN, DOCUMENT_SCHEMA, read_table, spread, stream_messages
@@ -110,8 +117,14 @@ def judged_at_gate(spark, folder) -> DataFrame:
     return G.gate(opened, CL.word_list_scorer(GATE_WORDS))
 
 
-def guard_sql(source: str) -> str:
-    """CTE ``judged``: one row per message of ``source`` with all the guard adds."""
+_WORD_LIST_GATE = (
+    f"gated AS (SELECT *, 1 - pow(0.5, {hits_sql('current_text', GATE_WORDS)}) AS score FROM current)"
+)
+
+
+def guard_sql(source: str, gate: str = _WORD_LIST_GATE) -> str:
+    """CTE ``judged``: one row per message of ``source`` with all the guard adds; ``gate`` is the
+    CTE that adds the score."""
     return f"""
     input AS ({source}),
     {Q.audit("SELECT msg_id, source, '' AS variant, text FROM input WHERE text IS NOT NULL")},
@@ -131,7 +144,7 @@ def guard_sql(source: str) -> str:
             FROM unflagged LEFT JOIN spoken USING (msg_id)
             LEFT JOIN memory ON lang_pair = lang || '|en' AND src_md5 = md5(text))
     ),
-    gated AS (SELECT *, 1 - pow(0.5, {hits_sql('current_text', GATE_WORDS)}) AS score FROM current),
+    {gate},
     answers AS (
       SELECT conv_id * 4294967296 + turn AS msg_id, next_text AS answer
       FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text,
@@ -281,14 +294,21 @@ def step_log_statuses(spark, folder):
     return events.groupBy("step", "status").agg(F.count("*").alias("n"))
 
 
-@register("guard_with_fitted_classifier")
+@register(
+    "guard_with_fitted_classifier",
+    f"""WITH {TRAINED_SQL},
+        {guard_sql(MESSAGES_SQL, f"""gated AS (
+          SELECT c.*, p1 AS score FROM current c JOIN (
+            {model_scores_sql("(SELECT msg_id, current_text AS text FROM current)", "msg_id")}) USING (msg_id))""")}
+        SELECT msg_id, source, verdict, round(score, 6) AS score FROM judged""",
+)
 def guard_with_fitted_classifier(spark, folder):
-    """The guard with the trained classifier at the gate: no fixed answer, rows only."""
-    _, model = fitted(spark, folder)
+    """The guard with the trained classifier at the gate."""
+    _, done = trained(spark, folder)
     judged = G.guard(
-        messages(spark, folder), tables(spark, folder), CL.model_scorer(model), log=False
+        messages(spark, folder), tables(spark, folder), TM.term_scorer(done.model), log=False
     )
-    return judged.select("msg_id", "source", "verdict", "score")
+    return judged.select("msg_id", "source", "verdict", F.round("score", 6).alias("score"))
 
 
 _DOCUMENTS_SQL = "SELECT doc_id AS msg_id, text, source FROM documents"

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from textguard.functions import decisions as D
 from textguard.operators import classifier as CL
 from textguard.operators import metrics as M
+from textguard.operators import term_model as TM
 from textguard.operators import training_data as TD
 from textguard.plans.catalog.registry import register
-from textguard.sources import models
 from textguard.sources.shared import shared_folder
 from textguard.sources.tables import TURN_SPAN, read_labelled, read_table, spread
+from textguard.sources.training_log import evaluations, read_training_log
 
 # A short list, so that predictions are neither all right nor all wrong.
 HOSTILE_WORDS = ["clown", "idiot", "loser", "moron", "stupid"]
@@ -411,32 +412,194 @@ def early_stop_step(spark, folder):
     return M.early_stop_step(metric_log(spark, folder), "f1_positive_class")
 
 
-# --- fitted classifier: no fixed answer, rows only ------------------------
-def fitted(spark, folder):
-    rows = training_set(spark, folder)
-    return rows, CL.train(rows.filter(~F.col("is_eval")).select("text", "label"))
+# --- the classifier, trained and evaluated --------------------------------
+SETTINGS = TM.Training()
 
 
-@register("classifier_scores")
+def trained(spark, folder) -> tuple[DataFrame, TM.Trained]:
+    """The prepared examples and the classifier trained on them."""
+    rows = training_set(spark, folder).select("doc_id", "text", "label", "is_eval")
+    return rows, TM.train_with_evaluation(rows, settings=SETTINGS)
+
+
+def _words_sql(source: str, *kept: str) -> str:
+    names = "".join(f"{k}, " for k in kept)
+    return f"""(SELECT {names}('0x' || substr(md5(word), 1, 4))::INTEGER AS slot
+      FROM (SELECT {names}unnest(list_distinct({tokens_sql('text')})) AS word FROM {source}))"""
+
+
+def _epoch_sql(e: int) -> str:
+    return f"""
+    slopes{e} AS (
+      SELECT slot, sum(x * (p1 - f.label)) / any_value(n) AS slope
+      FROM model_features f JOIN predicted{e - 1} USING (doc_id), class_sizes WHERE NOT f.is_eval GROUP BY slot
+    ),
+    weights{e} AS MATERIALIZED (
+      SELECT slot, curve, {SETTINGS.momentum} * velocity - {SETTINGS.step} * slope / (curve + {SETTINGS.damping}) AS velocity,
+             weight + {SETTINGS.momentum} * velocity - {SETTINGS.step} * slope / (curve + {SETTINGS.damping}) AS weight
+      FROM weights{e - 1} JOIN slopes{e} USING (slot)
+    ),
+    predicted{e} AS MATERIALIZED (
+      SELECT doc_id, label, is_eval, 1 / (1 + exp(-sum(x * weight))) AS p1
+      FROM model_features JOIN weights{e} USING (slot) GROUP BY ALL
+    ),"""
+
+
+_EPOCHS = range(1, SETTINGS.epochs + 1)
+_EVERY = " UNION ALL ".join(
+    f"SELECT {e} AS step, label, is_eval, p1, CASE WHEN p1 > 0.5 THEN 1 ELSE 0 END AS pred FROM predicted{e}" for e in _EPOCHS
+)
+_ALL_WEIGHTS = " UNION ALL ".join(f"SELECT {e} AS step, slot, weight FROM weights{e}" for e in _EPOCHS)
+
+#: CTEs ``examples``, ``epochs`` (the metrics of each epoch that ran), ``chosen`` (the best one) and
+#: ``model(slot, ratio, weight)``: the whole training, one epoch after another.
+TRAINED_SQL = f"""{BALANCED_SQL.replace(LABELLED_SQL, _CAPPED)}, {split_sql('balanced')},
+    examples AS MATERIALIZED (
+      SELECT doc_id, text, label, is_eval FROM split JOIN balanced USING (doc_id, label)
+    ),
+    example_words AS MATERIALIZED (SELECT * FROM {_words_sql('examples', 'doc_id', 'label', 'is_eval')}),
+    class_sizes AS (
+      SELECT count(*) AS n, count(*) FILTER (label = 1) AS hostile, count(*) FILTER (label = 0) AS benign
+      FROM examples WHERE NOT is_eval
+    ),
+    model_ratios AS MATERIALIZED (
+      SELECT slot, ln((count(*) FILTER (label = 1) + 1) / (any_value(hostile) + 2)::DOUBLE)
+                   - ln((count(*) FILTER (label = 0) + 1) / (any_value(benign) + 2)::DOUBLE) AS ratio
+      FROM example_words, class_sizes WHERE NOT is_eval GROUP BY slot
+    ),
+    model_norms AS (SELECT doc_id, sqrt(sum(ratio * ratio)) AS norm FROM example_words JOIN model_ratios USING (slot) GROUP BY doc_id),
+    model_features AS MATERIALIZED (
+      SELECT doc_id, label, is_eval, slot, ratio / norm AS x
+      FROM example_words JOIN model_ratios USING (slot) JOIN model_norms USING (doc_id) WHERE norm > 0
+      UNION ALL SELECT doc_id, label, is_eval, {TM.CONSTANT}, 1 FROM examples
+    ),
+    weights0 AS MATERIALIZED (
+      SELECT slot, 0.25 * sum(x * x) / any_value(n) AS curve, 0::DOUBLE AS velocity, 0::DOUBLE AS weight
+      FROM model_features, class_sizes WHERE NOT is_eval GROUP BY slot
+    ),
+    predicted0 AS (SELECT doc_id, label, is_eval, 0.5 AS p1 FROM examples),
+    {''.join(_epoch_sql(e) for e in _EPOCHS)}
+    every_epoch AS MATERIALIZED ({_EVERY}),
+    epoch_evaluated AS (SELECT * FROM every_epoch WHERE is_eval),
+    {metrics_sql('epoch_evaluated', 'step')},
+    epoch_losses AS (
+      SELECT step, avg(-ln(greatest(CASE WHEN label = 1 THEN p1 ELSE 1 - p1 END, 1e-15))) FILTER (is_eval) AS eval_loss,
+             avg(-ln(greatest(CASE WHEN label = 1 THEN p1 ELSE 1 - p1 END, 1e-15))) FILTER (NOT is_eval) AS loss
+      FROM every_epoch GROUP BY step
+    ),
+    epochs_marked AS (
+      SELECT *, coalesce(f1_positive_class > max(f1_positive_class) OVER (ORDER BY step
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS better
+      FROM metrics JOIN epoch_losses USING (step)
+    ),
+    epochs_counted AS (SELECT *, step - max(CASE WHEN better THEN step END) OVER (ORDER BY step) AS stale FROM epochs_marked),
+    epochs AS MATERIALIZED (
+      SELECT * FROM epochs_counted
+      WHERE step <= coalesce((SELECT min(step) FROM epochs_counted WHERE stale >= {SETTINGS.patience}), {SETTINGS.epochs})
+    ),
+    chosen AS (SELECT step AS best_step, f1_positive_class AS best_metric FROM epochs ORDER BY f1_positive_class DESC, step LIMIT 1),
+    model AS MATERIALIZED (
+      SELECT slot, coalesce(ratio, 0) AS ratio, weight
+      FROM ({_ALL_WEIGHTS}) JOIN chosen ON step = best_step LEFT JOIN model_ratios USING (slot)
+    )"""
+
+
+def model_scores_sql(source: str, key: str) -> str:
+    """Rows ``(key, p1)`` for ``source(key, text)`` by the CTE ``model``."""
+    return f"""SELECT {key}, 1 / (1 + exp(-(coalesce(dot / nullif(sqrt(square), 0), 0)
+                 + (SELECT weight FROM model WHERE slot = {TM.CONSTANT})))) AS p1
+      FROM {source} LEFT JOIN (
+        SELECT {key}, sum(ratio * weight) AS dot, sum(ratio * ratio) AS square
+        FROM {_words_sql(source, key)} JOIN model USING (slot) GROUP BY {key}) USING ({key})
+      WHERE text IS NOT NULL"""
+
+
+def _score(name: str) -> Column:
+    return F.round(name, 6).alias(name)
+
+
+@register(
+    "training_log_events",
+    f"""WITH {TRAINED_SQL}
+        SELECT 'run-a' AS run, step, round(loss, 6) AS loss, NULL::DOUBLE AS eval_loss, NULL::DOUBLE AS eval_accuracy,
+               NULL::DOUBLE AS eval_f1_positive_class FROM epochs
+        UNION ALL
+        SELECT 'run-a', step, NULL, round(eval_loss, 6), round(accuracy, 6), round(f1_positive_class, 6) FROM epochs""",
+)
+def training_log_events(spark, folder):
+    """The log of a training run, written in the trainer's shape and read back."""
+    home = shared_folder(spark, "training-log")
+    _, done = trained(spark, folder)
+    TM.write_log(spark, done, f"{home}/run-a", SETTINGS)
+    log = read_training_log(spark, home)
+    return log.select(
+        "run", "step", _score("loss"), _score("eval_loss"), _score("eval_accuracy"), _score("eval_f1_positive_class")
+    )
+
+
+@register(
+    "best_model_step",
+    f"""WITH {TRAINED_SQL}
+        SELECT 'run-a' AS run, best_step, round(best_metric, 6) AS best_metric,
+               (SELECT max(step) FROM epochs) AS last_step,
+               (SELECT min(step) FROM epochs WHERE stale >= {SETTINGS.patience}) AS stop_step FROM chosen""",
+)
+def best_model_step(spark, folder):
+    """Of the log as read back: the epoch whose model is kept, and where training stopped."""
+    home = shared_folder(spark, "training-log")
+    _, done = trained(spark, folder)
+    TM.write_log(spark, done, f"{home}/run-a", SETTINGS)
+    log = evaluations(read_training_log(spark, home))
+    metric = "eval_f1_positive_class"
+    last = log.groupBy("run").agg(F.max("step").alias("last_step"))
+    stop = M.early_stop_step(log, metric, SETTINGS.patience, by=["run"])
+    return M.best_step(log, metric, by=["run"]).withColumn("best_metric", F.round("best_metric", 6)).join(
+        last, "run"
+    ).join(stop, "run")
+
+
+@register(
+    "classifier_weights",
+    f"WITH {TRAINED_SQL} SELECT slot, round(ratio, 6) AS ratio, round(weight, 6) AS weight FROM model",
+)
+def classifier_weights(spark, folder):
+    """The fitted model: a row for each slot."""
+    _, done = trained(spark, folder)
+    return done.model.weights.select("slot", _score("ratio"), _score("weight"))
+
+
+@register(
+    "classifier_scores",
+    f"""WITH {TRAINED_SQL}, scores AS ({model_scores_sql('documents', 'doc_id')})
+        SELECT doc_id, round(1 - p1, 6) AS p0, round(p1, 6) AS p1 FROM scores""",
+)
 def classifier_scores(spark, folder):
     """Every document scored by a model fitted on the training part of the labelled ones."""
-    _, model = fitted(spark, folder)
+    _, done = trained(spark, folder)
     docs = spread(read_table(spark, folder, "documents").select("doc_id", "text"))
-    return CL.score(docs, model).select("doc_id", "p0", "p1")
+    return TM.score(docs, done.model, "doc_id").select("doc_id", _score("p0"), _score("p1"))
 
 
-@register("classifier_evaluation")
+@register(
+    "classifier_evaluation",
+    f"WITH {TRAINED_SQL} SELECT {_ROUNDED} FROM epochs JOIN chosen ON step = best_step",
+)
 def classifier_evaluation(spark, folder):
-    rows, model = fitted(spark, folder)
-    return CL.evaluate(rows.filter("is_eval"), model)
+    """The metrics of the model that was kept, measured again on the eval part."""
+    rows, done = trained(spark, folder)
+    return TM.evaluate(rows.filter("is_eval"), done.model).select(*_rounded())
 
 
-@register("classifier_saved_and_loaded")
+@register(
+    "classifier_saved_and_loaded",
+    f"""WITH {TRAINED_SQL}, scores AS ({model_scores_sql('documents', 'doc_id')})
+        SELECT doc_id, CASE WHEN p1 >= 0.82 THEN 'JAILBREAK' ELSE 'BENIGN' END AS decision FROM scores""",
+)
 def classifier_saved_and_loaded(spark, folder):
     """Decisions of a classifier after a round through shared storage."""
-    _, model = fitted(spark, folder)
+    _, done = trained(spark, folder)
     path = shared_folder(spark, "classifier")
-    models.save_model(model, path)
+    done.model.save(path)
     docs = spread(read_table(spark, folder, "documents").select("doc_id", "text"))
-    scored_docs = CL.score(docs, models.load_model(path))
+    scored_docs = TM.score(docs, TM.TermModel.load(spark, path), "doc_id")
     return scored_docs.select("doc_id", D.by_threshold(F.col("p1")).alias("decision"))

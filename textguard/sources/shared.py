@@ -27,3 +27,10 @@ def cut(rows: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_root(rows.sparkSession))
     return rows.checkpoint()
+
+
+def written(rows: DataFrame, purpose: str) -> DataFrame:
+    """The rows written as Parquet to shared storage and read back, so that their size is known."""
+    path = shared_folder(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -37,9 +37,14 @@ SCHEMA = T.StructType(
 
 
 def read_training_log(spark: SparkSession, path: str) -> DataFrame:
-    """One row per log event; training and evaluation events side by side."""
-    state = spark.read.schema(SCHEMA).json(path, multiLine=True)
-    return state.select(F.inline("log_history"))
+    """One row per log event; training and evaluation events side by side.
+
+    ``run`` is the folder of the event's file, so that the logs of several runs, read by a pattern
+    or a parent folder, stay apart.
+    """
+    state = spark.read.schema(SCHEMA).json(path, multiLine=True, recursiveFileLookup=True)
+    run = F.regexp_extract("_metadata.file_path", "([^/]*)/[^/]*$", 1)
+    return state.select(run.alias("run"), F.inline("log_history"))
 
 
 def evaluations(log: DataFrame) -> DataFrame:
