@@ -196,11 +196,15 @@ def quick_flag(
     return reported.withColumn("should_flag", F.col("report.should_flag")).drop("report")
 
 
-def word_audit(messages: DataFrame, key: str = "msg_id", text: str = "text") -> DataFrame:
-    """One row per word: ``(key, pos, word, checked, encoding)``, whole-text hits included."""
-    words = messages.select(
-        key, F.posexplode(P.split_words(F.col(text))).alias("pos", "word")
-    )
+def word_audit(
+    messages: DataFrame, key: str = "msg_id", text: str = "text", wordless: bool = False
+) -> DataFrame:
+    """One row per word: ``(key, pos, word, checked, encoding)``, whole-text hits included.
+
+    With ``wordless`` a message without words has one row, without position and word.
+    """
+    explode = F.posexplode_outer if wordless else F.posexplode
+    words = messages.select(key, explode(P.split_words(F.col(text))).alias("pos", "word"))
     return words.select(
         key, "pos", "word", P.strip_punctuation(F.col("word")).alias("_core")
     ).select(

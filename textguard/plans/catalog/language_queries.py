@@ -87,8 +87,8 @@ def detect_language_by_join(spark, folder):
 
 
 def memory(docs: DataFrame) -> DataFrame:
-    """Translation memory for French and German documents, both ways."""
-    pairs = docs.filter(F.col("lang").isin("de", "fr")).select(
+    """Translation memory for all documents that are not English, both ways."""
+    pairs = docs.filter(F.col("lang") != "en").select(
         "lang", F.lit("en").alias("en"), "text", fold(F.col("text")).alias("folded")
     )
     return TR.memory_from_pairs(pairs, "lang", "en", "text", "folded").unionByName(
@@ -100,9 +100,9 @@ MEMORY_SQL = f"""
     memory AS (
       SELECT lang_pair, src_md5, min(target_text) AS target_text FROM (
         SELECT lang || '|en' AS lang_pair, md5(text) AS src_md5, {FOLD_SQL} AS target_text
-        FROM documents WHERE lang IN ('de', 'fr')
+        FROM documents WHERE lang <> 'en'
         UNION ALL
-        SELECT 'en|' || lang, md5({FOLD_SQL}), text FROM documents WHERE lang IN ('de', 'fr')
+        SELECT 'en|' || lang, md5({FOLD_SQL}), text FROM documents WHERE lang <> 'en'
       ) GROUP BY ALL
     )"""
 

@@ -333,119 +333,134 @@ def word_types(spark, folder):
 _REPORT_FORMS = ("plain", "leet_o", "look_alike_o", "word_base64", "word_reversed", "alternating")
 
 
-def _marks(spark, folder):
-    return O.mark_words(forms(spark, folder, *_REPORT_FORMS)).filter("marks IS NOT NULL")
-
-
 def _reports(spark, folder):
     return O.detect_obfuscation(forms(spark, folder, *_REPORT_FORMS))
 
 
-def _audited(columns: str, where: str = "whole IS NULL") -> str:
+def _audited(columns: str) -> str:
     return (
         f"WITH {Q.audit(forms_sql(*_REPORT_FORMS))} "
-        f"SELECT msg_id, variant, {columns} FROM per_msg WHERE {where}"
+        f"SELECT msg_id, variant, {columns} FROM per_msg"
+    )
+
+
+def _counts_text(counts: Column) -> Column:
+    return F.array_join(
+        F.transform(F.map_entries(counts), lambda e: F.concat(e["key"], F.lit("="), e["value"])),
+        ",",
     )
 
 
+def _field(name: str) -> Column:
+    return F.col(f"report.{name}")
+
+
 def _run() -> Column:
-    return O.longest_run(F.col("marks"))
+    return _field("consecutive_encoded_count")
 
 
 def _run_limit() -> Column:
-    return O.run_threshold(F.col("n_words"))
+    return _field("consecutive_threshold_applied")
 
 
 def _type_limit() -> Column:
-    return O.same_type_threshold(F.col("n_words"))
+    return _field("same_encoding_threshold_applied")
+
+
+def _n_words() -> Column:
+    return _field("total_words_in_message")
 
 
 def _counts() -> Column:
-    return O.type_counts(F.col("marks"))
+    return _field("encoding_counts")
 
 
-def _counts_text(counts: Column) -> Column:
-    return F.array_join(
-        F.transform(F.map_entries(counts), lambda e: F.concat(e["key"], F.lit("="), e["value"])),
-        ",",
-    )
+def _by_words() -> Column:
+    return ~_field("whole_text_obfuscation")
 
 
-def _marked(name: str, sql: str, **columns: Callable[[], Column]) -> None:
+def _told(name: str, sql: str, **columns: Callable[[], Column]) -> None:
+    """Fields of the report for every message; one caught as a whole has none of its words judged."""
     register(name, _audited(sql))(
-        lambda spark, folder: _marks(spark, folder).select(
+        lambda spark, folder: _reports(spark, folder).select(
             "msg_id", "variant", *[build().alias(a) for a, build in columns.items()]
         )
     )
 
 
-_marked("longest_encoded_run", "run AS longest_run", longest_run=_run)
-_marked("words_per_encoding", "counts", counts=lambda: _counts_text(_counts()))
-_marked(
+_RUN_SQL = "CASE WHEN whole IS NULL THEN run ELSE 0 END"
+_COUNTS_SQL = "CASE WHEN whole IS NULL THEN counts ELSE whole || '=1' END"
+_POSITIONS_SQL = "CASE WHEN whole IS NULL THEN positions ELSE '' END"
+_RUN_LIMIT_SQL = "CASE WHEN whole IS NULL THEN run_limit ELSE 0 END"
+_TYPE_LIMIT_SQL = "CASE WHEN whole IS NULL THEN type_limit ELSE 0 END"
+_REASONS_SQL = """CASE WHEN whole IS NULL THEN reasons ELSE
+          'Entire text appears to be ' || replace(whole, '_', ' ') || ' encoded' END"""
+_CHECKED_SQL = "CASE WHEN whole IS NULL THEN checked ELSE 0 END"
+_ENCODED_SQL = "CASE WHEN whole IS NULL THEN encoded ELSE 1 END"
+
+_told("longest_encoded_run", f"{_RUN_SQL} AS longest_run", longest_run=_run)
+_told("words_per_encoding", f"{_COUNTS_SQL} AS counts", counts=lambda: _counts_text(_counts()))
+_told(
     "encoded_positions",
-    "positions",
-    positions=lambda: F.array_join(
-        O.encoded_positions(F.col("marks")).cast("array<string>"), ","
-    ),
-)
-_marked(
-    "run_threshold", "n_words, run_limit", n_words=lambda: F.col("n_words"), run_limit=_run_limit
+    f"{_POSITIONS_SQL} AS positions",
+    positions=lambda: F.array_join(_field("encoded_word_positions").cast("array<string>"), ","),
 )
-_marked(
+_told("run_threshold", f"n_words, {_RUN_LIMIT_SQL} AS run_limit", n_words=_n_words, run_limit=_run_limit)
+_told(
     "same_encoding_threshold",
-    "n_words, type_limit",
-    n_words=lambda: F.col("n_words"),
+    f"n_words, {_TYPE_LIMIT_SQL} AS type_limit",
+    n_words=_n_words,
     type_limit=_type_limit,
 )
-_marked("run_flag", "run_flag AS flagged", flagged=lambda: _run() >= _run_limit())
-_marked(
+_told(
+    "run_flag",
+    "whole IS NULL AND run_flag AS flagged",
+    flagged=lambda: _by_words() & (_run() >= _run_limit()),
+)
+_told(
     "same_encoding_flag",
-    "type_flag AS flagged",
-    flagged=lambda: O.same_type_flag(_counts(), _type_limit()),
+    "whole IS NULL AND type_flag AS flagged",
+    flagged=lambda: _by_words() & O.same_type_flag(_counts(), _type_limit()),
 )
-_marked(
+_told(
     "flag_reasons",
-    "reasons",
-    reasons=lambda: F.array_join(
-        O.flag_reasons(_run(), _run_limit(), _counts(), _type_limit()), ", "
-    ),
+    f"{_REASONS_SQL} AS reasons",
+    reasons=lambda: F.array_join(_field("flag_reasons"), ", "),
 )
-_marked(
+_told(
     "word_totals",
-    "n_words, checked, encoded",
-    n_words=lambda: F.col("n_words"),
-    checked=lambda: O.checked_count(F.col("marks")),
-    encoded=lambda: O.encoded_count(F.col("marks")),
+    f"n_words, {_CHECKED_SQL} AS checked, {_ENCODED_SQL} AS encoded",
+    n_words=_n_words,
+    checked=lambda: _field("total_words_checked_for_obfuscation"),
+    encoded=lambda: _field("total_encoded_words"),
 )
 
 
 @register(
     "longest_run_by_window",
     f"""WITH {Q.audit(forms_sql('leet_o'))}
-        SELECT msg_id, run AS longest_run FROM per_msg WHERE n_words > 0""",
+        SELECT msg_id, run AS longest_run FROM per_msg""",
 )
 def longest_run_by_window(spark, folder):
-    return O.longest_runs_by_window(O.word_audit(forms(spark, folder, "leet_o")))
+    return O.longest_runs_by_window(O.word_audit(forms(spark, folder, "leet_o"), wordless=True))
 
 
 @register(
     "obfuscation_report",
     _audited(
-        """
+        f"""
         whole IS NOT NULL OR run_flag OR type_flag AS should_flag,
         whole IS NOT NULL AS whole_text_obfuscation,
         whole AS whole_text_encoding_type,
-        CASE WHEN whole IS NULL THEN run ELSE 0 END AS consecutive_encoded_count,
-        CASE WHEN whole IS NULL THEN run_limit ELSE 0 END AS consecutive_threshold_applied,
-        CASE WHEN whole IS NULL THEN counts ELSE whole || '=1' END AS encoding_counts,
-        CASE WHEN whole IS NULL THEN type_limit ELSE 0 END AS same_encoding_threshold_applied,
-        CASE WHEN whole IS NULL THEN reasons ELSE
-          'Entire text appears to be ' || replace(whole, '_', ' ') || ' encoded' END AS flag_reasons,
+        {_RUN_SQL} AS consecutive_encoded_count,
+        {_RUN_LIMIT_SQL} AS consecutive_threshold_applied,
+        {_COUNTS_SQL} AS encoding_counts,
+        {_TYPE_LIMIT_SQL} AS same_encoding_threshold_applied,
+        {_REASONS_SQL} AS flag_reasons,
         n_words AS total_words_in_message,
-        CASE WHEN whole IS NULL THEN checked ELSE 0 END AS total_words_checked_for_obfuscation,
-        CASE WHEN whole IS NULL THEN encoded ELSE 1 END AS total_encoded_words,
-        CASE WHEN whole IS NULL THEN positions ELSE '' END AS encoded_word_positions""",
-        "true",
+        {_CHECKED_SQL} AS total_words_checked_for_obfuscation,
+        {_ENCODED_SQL} AS total_encoded_words,
+        {_POSITIONS_SQL} AS encoded_word_positions"""
     ),
 )
 def obfuscation_report(spark, folder):
@@ -463,7 +478,7 @@ def obfuscation_report(spark, folder):
 
 @register(
     "obfuscation_flag",
-    _audited("whole IS NOT NULL OR run_flag OR type_flag AS should_flag", "true"),
+    _audited("whole IS NOT NULL OR run_flag OR type_flag AS should_flag"),
 )
 def obfuscation_flag(spark, folder):
     return O.quick_flag(forms(spark, folder, *_REPORT_FORMS)).select(
