@@ -22,6 +22,7 @@ from textguard.operators import translation as TR
 from textguard.operators.language import detect_language
 from textguard.operators.obfuscation import detect_obfuscation
 from textguard.operators.replies import attach_replies
+from textguard.operators.spans import Masking
 
 BLOCKED_OBFUSCATION = "BLOCKED_OBFUSCATION"
 BLOCKED_JAILBREAK = "BLOCKED_JAILBREAK"
@@ -123,14 +124,33 @@ def gate(messages: DataFrame, scorer: Scorer, any_class: bool = False) -> DataFr
     return judged.withColumn("verdict", F.coalesce("_before", verdict)).drop("_before")
 
 
-def answer(messages: DataFrame, tables: GuardTables) -> DataFrame:
+def _redact(messages: DataFrame, text: str, out: str, masking: Masking | None) -> DataFrame:
+    """Adds the masked text of open rows; rows that a tagger fails on become errors."""
+    if masking is None:
+        return messages.withColumn(
+            out, F.when(F.col("verdict").isNull(), R.mask_pii(F.col(text)))
+        )
+    opened = messages.withColumn("_open_text", _open(text))
+    done = masking.apply(opened, "_open_text", out, "_failed").drop("_open_text")
+    failed = F.col("_failed").isNotNull()
+    return done.withColumns(
+        {
+            "verdict": F.when(failed, ERROR).otherwise(F.col("verdict")),
+            "redaction_error": F.coalesce("redaction_error", "_failed"),
+        }
+    ).drop("_failed")
+
+
+def answer(
+    messages: DataFrame, tables: GuardTables, masking: Masking | None = None
+) -> DataFrame:
     """Redacts the prompt, attaches the reply, redacts it and translates it back."""
-    prompt = messages.withColumn(
-        "prompt", F.when(F.col("verdict").isNull(), R.mask_pii(F.col("current_text")))
-    )
+    if masking is not None:
+        messages = messages.withColumn("redaction_error", F.lit(None).cast("string"))
+    prompt = _redact(messages, "current_text", "prompt", masking)
     replied = attach_replies(prompt, tables.replies, unique=tables.unique_replies)
-    masked = replied.withColumn("reply", _open("reply")).withColumn(
-        "safe_reply", F.when(F.col("verdict").isNull(), R.mask_pii(F.col("reply")))
+    masked = _redact(
+        replied.withColumn("reply", _open("reply")), "reply", "safe_reply", masking
     )
     return TR.translate_back(
         masked,
@@ -155,6 +175,7 @@ def step_log() -> Column:
     failed = verdict == ERROR
     unread = F.col("text").isNull()
     past_check = ~by_obfuscation & ~unread
+    score_known = F.col("score").isNotNull()
     passed = verdict == PASSED
     translated = F.col("stored_lang").isNotNull()
     masked_in = F.col("prompt") != F.col("current_text")
@@ -183,7 +204,7 @@ def step_log() -> Column:
                 ),
             ),
             F.when(
-                past_check & ~failed,
+                past_check & score_known,
                 _entry(
                     "jailbreak",
                     F.when(by_gate, "BLOCKED").otherwise("PASSED"),
@@ -234,19 +255,19 @@ def conclude(messages: DataFrame, log: bool = True) -> DataFrame:
     """Settles ``verdict``, ``final_output`` and ``error``, and writes the step log."""
     settled = messages.withColumn("verdict", F.coalesce("verdict", F.lit(PASSED)))
     failed = F.col("verdict") == ERROR
-    error = F.when(
-        failed,
-        F.when(F.col("text").isNull(), "message has no text").otherwise(
-            "classifier gave no score"
-        ),
-    )
+    error = F.when(F.col("text").isNull(), "message has no text")
+    if "redaction_error" in messages.columns:
+        problem = F.col("redaction_error")
+        error = error.when(problem.isNotNull(), F.concat(F.lit("redaction failed: "), problem))
+    error = F.when(failed, error.otherwise("classifier gave no score"))
     told = settled.withColumn("error", error).withColumn(
         "final_output",
         F.when(F.col("verdict") == PASSED, _fill(FINAL_OUTPUT, F.col("final_text")))
         .when(failed, _fill(ERROR_OUTPUT, F.col("error")))
         .otherwise(FLAGGED_OUTPUT),
     )
-    return told.withColumn("step_log", step_log()) if log else told
+    told = told.withColumn("step_log", step_log()) if log else told
+    return told.drop("redaction_error")
 
 
 def guard(
@@ -256,18 +277,21 @@ def guard(
     any_class: bool = False,
     reversed_rule: bool = True,
     log: bool = True,
+    masking: Masking | None = None,
 ) -> DataFrame:
     """Runs all steps over ``messages(msg_id, text, …)``.
 
     Adds ``report, verdict, lang, current_text, stored_lang, score, prompt, reply,
     safe_reply, final_text, error, final_output`` and, with ``log``, ``step_log``.
     ``any_class=True`` and ``reversed_rule=True`` are the rules as first written;
-    ``any_class=False`` makes the gate look at the hostile class only.
+    ``any_class=False`` makes the gate look at the hostile class only. ``masking`` adds names
+    and a tagger to the patterns, at both redactions; a message that the tagger fails on gets the
+    verdict ``ERROR``. Names are met by joins and windows, so that they are not for a stream.
     """
     plan = check_obfuscation(messages, reversed_rule)
     plan = translate(plan, tables)
     plan = gate(plan, scorer, any_class)
-    plan = answer(plan, tables)
+    plan = answer(plan, tables, masking)
     return conclude(plan, log)
 
 
