@@ -17,7 +17,7 @@ from textguard.functions import primitives as P
 # that a text could outgrow. A mailbox is entered only where its run of characters starts,
 # or right after the match before, and gives nothing back, so that time stays linear.
 PATTERNS = {
-    "EMAIL": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "EMAIL": r"(?:(?<![\p{L}\p{N}._%+-])|\G)[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "IPV4": r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}",
     "PHONE": r"(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}",
     "SECRET": r"[0-9a-fA-F]{32,}",

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textguard.functions import redact as R
+from textguard.operators import spans as SP
 
 SPANS = "array<struct<start:int,end:int,label:string>>"
 
@@ -108,38 +109,13 @@ def redact_names(
     names: DataFrame,
     key: str = "msg_id",
     text: str = "text",
-    mark: str = R.REDACTED,
     out: str = "redacted",
 ) -> DataFrame:
-    """Masks whole words found in ``names(name)``, ignoring case.
-
-    Words are matched to the list by an equi-join without a hint: Spark broadcasts the
-    list only when its measured size allows. Each message's own hits then form the
-    pattern for that message.
-    """
-    word = "[\\p{L}\\p{M}]+"
-    words = messages.select(
-        key,
-        F.explode(
-            F.array_distinct(
-                F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"({word})"), F.lit(1))
-            )
-        ).alias("name"),
-    )
-    listed = names.select(F.lower("name").alias("name")).distinct()
-    hits = words.join(listed, "name").groupBy(key).agg(F.collect_set("name").alias("_names"))
-    pattern = F.concat(
-        F.lit("(?iu)(?<![\\p{L}\\p{M}])(?:"),
-        F.array_join("_names", "|"),
-        F.lit(")(?![\\p{L}\\p{M}])"),
-    )
-    joined = messages.join(hits, key, "left")
-    return joined.withColumn(
-        out,
-        F.when(
-            F.col("_names").isNotNull(), F.regexp_replace(F.col(text), pattern, F.lit(mark))
-        ).otherwise(F.col(text)),
-    ).drop("_names")
+    """Masks the names of ``names(name)``, of any number of words, ignoring case; NULL stays NULL."""
+    found = SP.with_names(messages, names, key, text, "_names")
+    kept = [F.col(f"`{c}`") for c in messages.columns]
+    done = SP.mask_united(found, text, "_masked", F.col("_names"), patterns=False)
+    return done.select(*kept, F.when(F.col(f"`{text}`").isNotNull(), F.col("_masked")).alias(out))
 
 
 def tag_with(

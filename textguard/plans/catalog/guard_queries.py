@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textguard.operators import classifier as CL
 from textguard.operators import language as L
 from textguard.operators import replies as RP
+from textguard.operators import spans as SP
 from textguard.operators import term_model as TM
 from textguard.plans import guard as G
 from textguard.plans.catalog import sqltext as Q
@@ -17,7 +18,7 @@ from textguard.plans.catalog.language_queries import (
     documents,
     memory,
 )
-from textguard.plans.catalog.pii_queries import mask_sql
+from textguard.plans.catalog.pii_queries import NAMES_SQL, mask_sql, named_masks_sql, names
 from textguard.plans.catalog.registry import register
 from textguard.plans.catalog.training_queries import (
     HOSTILE_WORDS,
@@ -122,9 +123,25 @@ _WORD_LIST_GATE = (
 )
 
 
-def guard_sql(source: str, gate: str = _WORD_LIST_GATE) -> str:
+def _masked_ctes(named: bool) -> str:
+    """CTEs ``answered`` and ``masked``: both redactions, by patterns or by patterns and names."""
+    opened = f"""SELECT msg_id, stored_lang, current_text, coalesce(answer, '{RP.NO_REPLY}') AS reply
+      FROM gated LEFT JOIN answers USING (msg_id) WHERE score <= 0.82"""
+    if not named:
+        return f"""
+    answered AS (SELECT *, {mask_sql('current_text')} AS prompt FROM ({opened})),
+    masked AS (SELECT *, {mask_sql('reply')} AS safe_reply FROM answered)"""
+    return f"""{NAMES_SQL},
+    opened AS MATERIALIZED ({opened}),
+    {named_masks_sql('(SELECT msg_id, current_text AS text FROM opened)', 'p_')},
+    {named_masks_sql('(SELECT msg_id, reply AS text FROM opened)', 'r_')},
+    answered AS (SELECT o.*, masked AS prompt FROM opened o JOIN p_masks USING (msg_id)),
+    masked AS (SELECT a.*, m.masked AS safe_reply FROM answered a JOIN r_masks m USING (msg_id))"""
+
+
+def guard_sql(source: str, gate: str = _WORD_LIST_GATE, named: bool = False) -> str:
     """CTE ``judged``: one row per message of ``source`` with all the guard adds; ``gate`` is the
-    CTE that adds the score."""
+    CTE that adds the score, ``named`` masks names as well."""
     return f"""
     input AS ({source}),
     {Q.audit("SELECT msg_id, source, '' AS variant, text FROM input WHERE text IS NOT NULL")},
@@ -151,12 +168,7 @@ def guard_sql(source: str, gate: str = _WORD_LIST_GATE) -> str:
                    lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role
             FROM conversations) WHERE role = 'user' AND next_role = 'assistant'
     ),
-    answered AS (
-      SELECT msg_id, stored_lang, {mask_sql('current_text')} AS prompt,
-             coalesce(answer, '{RP.NO_REPLY}') AS reply
-      FROM gated LEFT JOIN answers USING (msg_id) WHERE score <= 0.82
-    ),
-    masked AS (SELECT *, {mask_sql('reply')} AS safe_reply FROM answered),
+    {_masked_ctes(named)},
     finished AS (
       SELECT msg_id, prompt, reply, safe_reply, coalesce(target_text, safe_reply) AS final_text
       FROM masked LEFT JOIN memory
@@ -311,6 +323,49 @@ def guard_with_fitted_classifier(spark, folder):
     return judged.select("msg_id", "source", "verdict", F.round("score", 6).alias("score"))
 
 
+@register(
+    "guard_with_names",
+    f"""WITH {guard_sql(MESSAGES_SQL, named=True)}
+        SELECT msg_id, verdict, md5(prompt) AS prompt, md5(safe_reply) AS safe_reply,
+               md5(final_text) AS final_text FROM judged""",
+)
+def guard_with_names(spark, folder):
+    """The guard with a list of names masked in prompts and replies."""
+    judged = guarded(spark, folder, log=False, masking=SP.Masking(names(spark, folder)))
+    return judged.select("msg_id", "verdict", _md5("prompt"), _md5("safe_reply"), _md5("final_text"))
+
+
+#: The tagger of the query below cannot read texts with this letter.
+_UNREADABLE = "ß"
+
+
+def _poor_tagger():
+    unreadable = _UNREADABLE
+
+    def tag(texts):
+        if texts.str.contains(unreadable, regex=False).any():
+            raise ValueError("cannot read this")
+        return texts.map(lambda text: None)
+
+    return tag
+
+
+@register(
+    "guard_with_failing_tagger",
+    f"""WITH {guard_sql(MESSAGES_SQL)}
+        SELECT j.msg_id, CASE WHEN failed THEN 'ERROR' ELSE verdict END AS verdict,
+               CASE WHEN failed THEN 'redaction failed: ValueError: cannot read this'
+                    WHEN verdict = 'ERROR' THEN 'message has no text' END AS error
+        FROM (SELECT msg_id, verdict, verdict = 'PASSED' AND (contains(current_text, '{_UNREADABLE}')
+                       OR contains(reply, '{_UNREADABLE}')) AS failed
+              FROM judged LEFT JOIN (SELECT msg_id, current_text, reply FROM answered) USING (msg_id)) j""",
+)
+def guard_with_failing_tagger(spark, folder):
+    """A tagger that fails on some texts costs those messages, not the job."""
+    judged = guarded(spark, folder, log=False, masking=SP.Masking(tagger=_poor_tagger()))
+    return judged.select("msg_id", "verdict", "error")
+
+
 _DOCUMENTS_SQL = "SELECT doc_id AS msg_id, text, source FROM documents"
 
 

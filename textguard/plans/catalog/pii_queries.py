@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from textguard.functions import redact as R
 from textguard.operators import pii as PI
+from textguard.operators import spans as SP
 from textguard.plans.catalog.language_queries import documents
-from textguard.plans.catalog.registry import register
+from textguard.plans.catalog.registry import SQL, register
 from textguard.plans.catalog.sqltext import WS
 
 # --- fixed values: what the queries' SQL looks for, written out on its own ----
 PATTERNS_SQL = {
-    "EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "EMAIL": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "IPV4": r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}",
     "PHONE": r"(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}",
     "SECRET": r"[0-9a-fA-F]{32,}",
@@ -132,7 +133,7 @@ def redact_by_type(spark, folder):
 
 #: Pieces longer than any address in the tables, appended to each text.
 _LONG_SQL = """text || ' ' || repeat('m', 100) || '@host.example ' || 'a@' || repeat('d', 70)
-    || '.example ' || 'a@' || repeat('l.', 26) || 'example_b@c.example'"""
+    || '.example ' || 'a@' || repeat('l.', 26) || 'example_b@c.example a@müller.example jürgen@x.example'"""
 
 
 @register(
@@ -141,11 +142,11 @@ _LONG_SQL = """text || ' ' || repeat('m', 100) || '@host.example ' || 'a@' || re
         FROM (SELECT doc_id, {_LONG_SQL} AS long FROM documents)""",
 )
 def redact_long_addresses(spark, folder):
-    """Long mailboxes, long and many labels, and an address right after another."""
+    """Long mailboxes, long and many labels, an address right after another, letters beyond ASCII."""
     long = F.concat(
         F.col("text"), F.lit(" "), F.repeat(F.lit("m"), F.lit(100)), F.lit("@host.example a@"),
         F.repeat(F.lit("d"), F.lit(70)), F.lit(".example a@"), F.repeat(F.lit("l."), F.lit(26)),
-        F.lit("example_b@c.example"),
+        F.lit("example_b@c.example a@müller.example jürgen@x.example"),
     )
     redacted = PI.redact(documents(spark, folder).withColumn("text", long))
     return redacted.select("msg_id", F.md5(F.col("redacted").cast("binary")).alias("digest"))
@@ -181,3 +182,93 @@ def redaction_changed(spark, folder):
 )
 def pii_counts_by_type(spark, folder):
     return PI.count_by_type(documents(spark, folder))
+
+
+# --- names, and spans of several finders ----------------------------------
+WORD_SQL = r"[\p{L}\p{M}\p{N}]+"
+_BETWEEN_SQL = f"^(?:{WS}+|{WS}*[-''’.]{WS}*)$"
+#: The first two words of every document stand in for a list of names.
+NAMES_SQL = f"""
+    names AS (
+      SELECT DISTINCT lower(w[1]) || ' ' || lower(w[2]) AS name
+      FROM (SELECT regexp_extract_all(text, '{WORD_SQL}') AS w FROM documents) WHERE len(w) > 1
+    )"""
+
+
+def names(spark, folder):
+    words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD_SQL})"), F.lit(1))
+    docs = documents(spark, folder).select(words.alias("w")).where(F.size("w") > 1)
+    return docs.select(F.array_join(F.slice("w", 1, 2), " ").alias("name")).distinct()
+
+
+def named_tokens_sql(source: str, prefix: str, token: str) -> str:
+    """CTE ``{prefix}tokens`` for ``source(msg_id, text)``: matches of ``token``, where they stand, and
+    whether a name of two words starts with each; needs ``names``."""
+    return f"""
+    {prefix}cut AS (
+      SELECT msg_id, generate_subscripts(t, 1) AS i, unnest(t) AS word, unnest(gaps[:len(t)]) AS gap, gaps[-1] AS tail
+      FROM (SELECT msg_id, regexp_extract_all(text, '{token}') AS t, regexp_split_to_array(text, '{token}') AS gaps
+            FROM {source}) WHERE len(t) > 0
+    ),
+    {prefix}placed AS (
+      SELECT *, sum(length(gap) + length(word)) OVER w AS stop, lead(word) OVER w AS next_word, lead(gap) OVER w AS next_gap
+      FROM {prefix}cut WINDOW w AS (PARTITION BY msg_id ORDER BY i)
+    ),
+    {prefix}tokens AS (
+      SELECT p.*, name IS NOT NULL AND regexp_matches(next_gap, '{_BETWEEN_SQL}') AS opens
+      FROM {prefix}placed p LEFT JOIN names ON name = lower(word) || ' ' || lower(next_word)
+    )"""
+
+
+def named_masks_sql(source: str, prefix: str) -> str:
+    """CTE ``{prefix}masks(msg_id, masked)``: patterns and names under one mark where they are neighbours."""
+    return f"""{named_tokens_sql(source, prefix, f"(?:{ANY})|{WORD_SQL}")},
+    {prefix}covered AS (
+      SELECT *, regexp_matches(word, '^(?:{ANY})$') OR opens OR coalesce(lag(opens) OVER w, false) AS hit,
+             coalesce(lag(opens) OVER w, false) AS inside
+      FROM {prefix}tokens WINDOW w AS (PARTITION BY msg_id ORDER BY i)
+    ),
+    {prefix}pieces AS (
+      SELECT msg_id, i, tail, CASE WHEN NOT hit THEN gap || word
+               WHEN lag(hit) OVER w AND (inside OR regexp_matches(gap, '{_BLANK}')) THEN ''
+               ELSE gap || '{MASK_SQL}' END AS piece
+      FROM {prefix}covered WINDOW w AS (PARTITION BY msg_id ORDER BY i)
+    ),
+    {prefix}masks AS (
+      SELECT msg_id, {tidy_sql("coalesce(joined, text)")} AS masked
+      FROM {source} LEFT JOIN (SELECT msg_id, string_agg(piece, '' ORDER BY i) || any_value(tail) AS joined
+                               FROM {prefix}pieces GROUP BY msg_id) USING (msg_id)
+    )"""
+
+
+_MESSAGES_SQL = "(SELECT doc_id AS msg_id, text FROM documents)"
+
+
+@register(
+    "name_spans",
+    f"""WITH {NAMES_SQL}, {named_tokens_sql(_MESSAGES_SQL, 'n_', WORD_SQL)}
+        SELECT msg_id, (stop - length(word))::BIGINT AS start,
+               (stop + length(next_gap) + length(next_word))::BIGINT AS "end" FROM n_tokens WHERE opens""",
+)
+def name_spans(spark, folder):
+    found = SP.find_names(documents(spark, folder), names(spark, folder))
+    return found.select("msg_id", F.col("start").cast("bigint"), F.col("end").cast("bigint"))
+
+
+@register(
+    "redact_names",
+    f"""WITH {NAMES_SQL}, {named_masks_sql(_MESSAGES_SQL, 'n_')}
+        SELECT msg_id, md5(masked) AS digest FROM n_masks""",
+)
+def redact_names(spark, folder):
+    """Patterns and names under one rule."""
+    masking = SP.Masking(names(spark, folder))
+    done = masking.apply(documents(spark, folder), "text", "redacted", "failed")
+    return done.select("msg_id", F.md5(F.col("redacted").cast("binary")).alias("digest"))
+
+
+@register("mask_spans", SQL["redact_together"].replace(", r <> text AS changed", ""))
+def mask_spans(spark, folder):
+    """The patterns alone by the fold over spans: the same masks as the expression's."""
+    done = SP.mask_united(documents(spark, folder), "text", "redacted")
+    return done.select("msg_id", F.md5(F.col("redacted").cast("binary")).alias("digest"))
