@@ -6,7 +6,7 @@ from textguard.operators import language as L
 from textguard.operators import replies as RP
 from textguard.operators import translation as TR
 from textguard.plans import guard as G
-from textguard.sources.tables import MESSAGE_SCHEMA, stream_messages, write_verdicts
+from textguard.sources.tables import MESSAGE_SCHEMA, stream_messages, turn_id, write_verdicts
 from textguard.streaming.guard_stream import start_guard
 
 TEXTS = [
@@ -213,3 +213,19 @@ def test_summary_stops_at_the_gate(spark, sf):
     # no look-up of replies or of the way back
     assert "reply" in whole and "reply" not in summary
     assert summary.count("Join LeftOuter") < whole.count("Join LeftOuter")
+
+
+def test_turns_of_hashed_conversations_keep_their_replies(spark):
+    """Conversation ids over all 64 bits: ids of turns differ, and each reply finds its prompt."""
+    big = [(1 << 62) + 1, -(1 << 62), (1 << 31), (1 << 31) + 1, (1 << 63) - 1, 0]
+    rows = [
+        (conv, turn, "user" if turn % 2 == 0 else "assistant", f"{conv} says {turn}")
+        for conv in big for turn in (0, 1, 1 << 32, (1 << 32) + 1)
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    told = turns.withColumn("msg_id", turn_id())
+    assert told.select("msg_id").distinct().count() == len(rows)
+    answers = RP.conversation_replies(turns).select(turn_id().alias("prompt_id"), "reply")
+    asked = told.where("role = 'user'").select("msg_id", "text")
+    got = {r.text: r.reply for r in RP.attach_replies(asked, answers).collect()}
+    assert got == {f"{c} says {t}": f"{c} says {t + 1}" for c in big for t in (0, 1 << 32)}

@@ -2,40 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textguard.sources.shared import written
 
-def id_bucket(column: Column, width: int = 1_000_000) -> Column:
-    """Bucket of a unique whole-number id: holds at most ``width`` rows."""
-    return F.floor(column / width).cast("bigint")
+#: Rows of a task that the lower bits of its row numbers count.
+_ROW_BITS = 33
 
 
-def hash_bucket(digest: Column, digits: int = 4) -> Column:
-    """Bucket of an md5 hex string, in digest order; evenly filled."""
-    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("bigint")
+def task_counts(held: DataFrame, groups: list[str]) -> DataFrame:
+    """``(groups…, _task, _first, _size)``: where each group starts in each task, and its rows there.
+
+    Tasks hold neighbouring ranges, so that there are about as many rows as tasks and groups.
+    """
+    return held.groupBy(*groups, F.shiftright("_spot", _ROW_BITS).alias("_task")).agg(
+        F.min("_spot").alias("_first"), F.count("*").alias("_size")
+    )
 
 
 def grouped_rank(
-    rows: DataFrame, groups: list[str], order: Column, bucket: Column, out: str = "rn"
+    rows: DataFrame, groups: list[str], order: list[str], out: str = "rn"
 ) -> DataFrame:
-    """Adds the 1-based rank of each row in its group by ``order``.
+    """Adds the 1-based rank of each row in its group by the columns ``order``, whatever their values.
 
-    ``bucket`` must rise with ``order``. Rows are ranked inside ``(group, bucket)`` and
-    moved on by the number of rows in the group's earlier buckets, so a group of any
-    size is spread over its buckets. The table of bucket sizes is all that one task
-    ever sees of a group.
+    Spark samples the columns and deals the rows to tasks by ranges, so that a group of any size and
+    any kind of key is spread evenly. Rows are counted inside their task, and moved on by the group's
+    rows in earlier tasks; the table of those counts is all that one task ever sees of a group. The
+    ranged rows are written once, as the counts must not change when a task is run again.
     """
-    held = rows.withColumn("_bucket", bucket)
-    sizes = held.groupBy(*groups, "_bucket").agg(F.count("*").alias("_size"))
-    ahead = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_bucket")
-    offsets = sizes.withColumn(
-        "_offset", F.sum("_size").over(ahead) - F.col("_size")
-    ).drop("_size")
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(order)
+    by = [*groups, *order]
+    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    held = written(ranged.withColumn("_spot", F.monotonically_increasing_id()), "ranked")
+    before = (
+        Window.partitionBy(*(groups or [F.lit(0)]))
+        .orderBy("_task")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    earlier = F.coalesce(F.sum("_size").over(before), F.lit(0))
+    shifts = task_counts(held, groups).select(
+        *groups, "_task", (earlier - F.col("_first") + 1).alias("_shift")
+    )
     return (
-        held.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, [*groups, "_bucket"])
-        .withColumn(out, F.col("_rn") + F.col("_offset"))
-        .drop("_bucket", "_rn", "_offset")
+        held.withColumn("_task", F.shiftright("_spot", _ROW_BITS))
+        .join(shifts, [*groups, "_task"])
+        .withColumn(out, F.col("_spot") + F.col("_shift"))
+        .drop("_task", "_spot", "_shift")
     )

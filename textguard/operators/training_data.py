@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textguard.operators.ranking import grouped_rank, hash_bucket, id_bucket
+from textguard.operators.ranking import grouped_rank
 from textguard.sources.shared import cut
 
 BENIGN, JAILBREAK = 0, 1
@@ -26,7 +26,7 @@ def with_label(rows: DataFrame, label: int | Column) -> DataFrame:
 
 def first_rows(rows: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     """The first ``n`` rows by key. The cap is a setting of the corpus, not a sample."""
-    ranked = grouped_rank(rows, [], F.col(key), id_bucket(F.col(key)))
+    ranked = grouped_rank(rows, [], [key])
     return ranked.filter(F.col("rn") <= n).drop("rn")
 
 
@@ -40,7 +40,7 @@ def balance(rows: DataFrame, key: str = "doc_id", label: str = "label") -> DataF
             F.count_if(F.col(label) == JAILBREAK), F.count_if(F.col(label) == BENIGN)
         ).alias("n")
     )
-    ranked = grouped_rank(rows, [label], F.col(key), id_bucket(F.col(key)))
+    ranked = grouped_rank(rows, [label], [key])
     return ranked.filter(F.col("rn") <= smallest.scalar())
 
 
@@ -94,9 +94,7 @@ def stratified_split(
     )
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)).cast("binary"))
     hashed = rows.withColumn("_digest", digest)
-    ranked = grouped_rank(
-        hashed, [label], F.struct("_digest", key), hash_bucket(F.col("_digest")), "_place"
-    )
+    ranked = grouped_rank(hashed, [label], ["_digest", key], "_place")
     return ranked.withColumn(
         "is_eval",
         F.col("_place") <= F.element_at(listed.scalar(), F.col(label)),

@@ -29,11 +29,9 @@ from textguard.plans.catalog.training_queries import (
 )
 from textguard.plans.catalog.variants import FORMS, forms
 from textguard.sources.shared import shared_folder
-from textguard.sources.tables import TURN_SPAN, DOCUMENT_SCHEMA, read_table, spread, stream_messages
+from textguard.sources.tables import DOCUMENT_SCHEMA, read_table, spread, stream_messages, turn_id
 from textguard.streaming.guard_stream import start_guard
 
-#: Set apart from all turns: rows made without a text.
-_MISSING = 1 << 62
 _FORMS = ("plain", "leet_o")
 GATE_WORDS = HOSTILE_WORDS + ["disgusting", "pathetic", "scum", "trash", "worthless"]
 
@@ -57,19 +55,18 @@ def messages(spark, folder) -> DataFrame:
     without a text beside each system turn."""
     turns = read_table(spark, folder, "conversations").filter("role <> 'assistant'")
     chat = turns.select(
-        (F.col("conv_id") * TURN_SPAN + F.col("turn")).alias("msg_id"),
+        turn_id().alias("msg_id"),
         "text",
         F.lit("chat").alias("source"),
         "role",
     )
     missing = chat.filter("role = 'system'").select(
-        (F.col("msg_id") + _MISSING).alias("msg_id"),
+        F.concat("msg_id", F.lit(":missing")).alias("msg_id"),
         F.lit(None).cast("string").alias("text"),
         "source",
     )
     docs = forms(spark, folder, *_FORMS).select(
-        # below all turns, two for each document
-        (-2 * F.col("msg_id") - F.when(F.col("variant") == "plain", 1).otherwise(2)).alias("msg_id"),
+        F.concat_ws(":", "variant", F.col("msg_id").cast("string")).alias("msg_id"),
         "text",
         "source",
     )
@@ -77,15 +74,15 @@ def messages(spark, folder) -> DataFrame:
 
 
 MESSAGES_SQL = f"""
-    SELECT conv_id * 4294967296 + turn AS msg_id, text, 'chat' AS source
+    SELECT conv_id || ':' || turn AS msg_id, text, 'chat' AS source
     FROM conversations WHERE role <> 'assistant'
     UNION ALL
-    SELECT conv_id * 4294967296 + turn + {_MISSING}, NULL, 'chat'
+    SELECT conv_id || ':' || turn || ':missing', NULL, 'chat'
     FROM conversations WHERE role = 'system'
     UNION ALL
-    SELECT -2 * doc_id - 1, text, source FROM documents
+    SELECT 'plain:' || doc_id, text, source FROM documents
     UNION ALL
-    SELECT -2 * doc_id - 2, {FORMS['leet_o'][1]}, source FROM documents"""
+    SELECT 'leet_o:' || doc_id, {FORMS['leet_o'][1]}, source FROM documents"""
 
 
 def tables(spark, folder) -> G.GuardTables:
@@ -95,7 +92,7 @@ def tables(spark, folder) -> G.GuardTables:
     return G.GuardTables(
         memory=memory(docs),
         replies=answers.select(
-            (F.col("conv_id") * TURN_SPAN + F.col("turn")).alias("prompt_id"), "reply"
+            turn_id().alias("prompt_id"), "reply"
         ),
         language_lookup=L.profile_lookup(L.build_profiles(docs)),
     )
@@ -163,7 +160,7 @@ def guard_sql(source: str, gate: str = _WORD_LIST_GATE, named: bool = False) ->
     ),
     {gate},
     answers AS (
-      SELECT conv_id * 4294967296 + turn AS msg_id, next_text AS answer
+      SELECT conv_id || ':' || turn AS msg_id, next_text AS answer
       FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text,
                    lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role
             FROM conversations) WHERE role = 'user' AND next_role = 'assistant'
@@ -263,7 +260,7 @@ def verdict_summary(spark, folder):
 
 @register(
     "unusable_messages",
-    f"""SELECT conv_id * 4294967296 + turn + {_MISSING} AS msg_id, 'ERROR' AS verdict, 'message has no text' AS error
+    f"""SELECT conv_id || ':' || turn || ':missing' AS msg_id, 'ERROR' AS verdict, 'message has no text' AS error
        FROM conversations WHERE role = 'system'""",
 )
 def unusable_messages(spark, folder):
@@ -366,7 +363,7 @@ def guard_with_failing_tagger(spark, folder):
     return judged.select("msg_id", "verdict", "error")
 
 
-_DOCUMENTS_SQL = "SELECT doc_id AS msg_id, text, source FROM documents"
+_DOCUMENTS_SQL = "SELECT doc_id::VARCHAR AS msg_id, text, source FROM documents"
 
 
 @register(
@@ -381,7 +378,7 @@ def guard_stream(spark, folder):
     """
     arriving = stream_messages(
         spark, f"{folder}/documents.parquet*", DOCUMENT_SCHEMA, "doc_id", "source"
-    )
+    ).withColumn("msg_id", F.col("msg_id").cast("string"))
     home = shared_folder(spark, "guard-stream")
     running = start_guard(
         arriving,

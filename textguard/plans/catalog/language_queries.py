@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textguard.operators import language as L
 from textguard.operators import translation as TR
 from textguard.plans.catalog.registry import register
-from textguard.sources.tables import TURN_SPAN, read_table, spread
+from textguard.sources.tables import read_table, spread, turn_id
 
 _ACCENTS, _BARE = "éèêçóñüäöíÉÈÊÇÓÑÜÄÖÍ", "eeeconuaoiEEECONUAOI"
 
@@ -61,7 +61,7 @@ def language_profiles(spark, folder):
     return L.build_profiles(documents(spark, folder))
 
 
-_TURNS_SQL = "(SELECT conv_id * 4294967296 + turn AS msg_id, text FROM conversations)"
+_TURNS_SQL = "(SELECT conv_id || ':' || turn AS msg_id, text FROM conversations)"
 
 
 @register(
@@ -72,7 +72,7 @@ _TURNS_SQL = "(SELECT conv_id * 4294967296 + turn AS msg_id, text FROM conversat
 def detect_language(spark, folder):
     lookup = L.profile_lookup(L.build_profiles(documents(spark, folder)))
     turns = spread(read_table(spark, folder, "conversations"))
-    messages = turns.select((F.col("conv_id") * TURN_SPAN + F.col("turn")).alias("msg_id"), "text")
+    messages = turns.select(turn_id().alias("msg_id"), "text")
     return L.detect_language(messages, lookup).select("msg_id", "lang")
 
 

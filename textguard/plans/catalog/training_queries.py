@@ -14,8 +14,9 @@ from textguard.operators import metrics as M
 from textguard.operators import term_model as TM
 from textguard.operators import training_data as TD
 from textguard.plans.catalog.registry import register
+from textguard.sources import tables as T
 from textguard.sources.shared import shared_folder
-from textguard.sources.tables import TURN_SPAN, read_labelled, read_table, spread
+from textguard.sources.tables import read_labelled, read_table, spread, turn_id
 from textguard.sources.training_log import evaluations, read_training_log
 
 # A short list, so that predictions are neither all right nor all wrong.
@@ -45,18 +46,16 @@ LABELLED_SQL = """
 
 @register(
     "read_messages",
-    """SELECT 'documents' AS source, doc_id AS msg_id, md5(text) AS digest FROM documents
+    """SELECT 'documents' AS source, doc_id::VARCHAR AS msg_id, md5(text) AS digest FROM documents
        UNION ALL
-       SELECT 'conversations', conv_id * 4294967296 + turn, md5(text) FROM conversations""",
+       SELECT 'conversations', conv_id || ':' || turn, md5(text) FROM conversations""",
 )
 def read_messages(spark, folder):
-    docs = read_table(spark, folder, "documents").select(
-        F.lit("documents").alias("source"), F.col("doc_id").alias("msg_id"), "text"
+    docs = T.read_messages(spark, f"{folder}/documents.parquet", "doc_id").select(
+        F.lit("documents").alias("source"), F.col("msg_id").cast("string").alias("msg_id"), "text"
     )
-    turns = read_table(spark, folder, "conversations").select(
-        F.lit("conversations").alias("source"),
-        (F.col("conv_id") * TURN_SPAN + F.col("turn")).alias("msg_id"),
-        "text",
+    turns = T.read_messages(spark, f"{folder}/conversations.parquet", "conv_id", "conv_id", "turn").select(
+        F.lit("conversations").alias("source"), turn_id().alias("msg_id"), "text"
     )
     both = docs.unionByName(turns)
     return both.select("source", "msg_id", F.md5(F.col("text").cast("binary")).alias("digest"))

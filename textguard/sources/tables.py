@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,8 +20,9 @@ DOCUMENT_SCHEMA = T.StructType(
 )
 
 
-#: A turn's message id is ``conv_id * TURN_SPAN + turn``: no two turns share one.
-TURN_SPAN = 1 << 32
+def turn_id() -> Column:
+    """A turn's message id, ``conv_id:turn``: no two turns share one, whatever their numbers."""
+    return F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
 
 
 def spread(rows: DataFrame) -> DataFrame:
