@@ -6,8 +6,16 @@ from textguard.operators import language as L
 from textguard.operators import replies as RP
 from textguard.operators import translation as TR
 from textguard.plans import guard as G
-from textguard.sources.tables import MESSAGE_SCHEMA, stream_messages, turn_id, write_verdicts
-from textguard.streaming.guard_stream import start_guard
+from textguard.sources.tables import (
+    MESSAGE_SCHEMA,
+    read_step_log,
+    read_verdicts,
+    stream_messages,
+    turn_id,
+    write_guarded,
+    write_verdicts,
+)
+from textguard.streaming.guard_stream import start_guard, start_logged_guard
 
 TEXTS = [
     (1, "What is the capital of France?"),
@@ -229,3 +237,36 @@ def test_turns_of_hashed_conversations_keep_their_replies(spark):
     asked = told.where("role = 'user'").select("msg_id", "text")
     got = {r.text: r.reply for r in RP.attach_replies(asked, answers).collect()}
     assert got == {f"{c} says {t}": f"{c} says {t + 1}" for c in big for t in (0, 1 << 32)}
+
+
+def test_batches_are_written_with_their_log_once(spark, tables, tmp_path):
+    """Verdicts and steps read back are the plan's; a batch written again does not double."""
+    messages = spark.createDataFrame(TEXTS, MESSAGE_SCHEMA)
+    judged = G.guard(messages, tables, SCORER)
+    folder = str(tmp_path / "out")
+    write_guarded(judged, folder, 3)
+    write_guarded(judged, folder, 3)
+    write_guarded(judged.where("msg_id < 3"), folder, 4)
+    verdicts = read_verdicts(spark, folder)
+    want = {r.msg_id: r for r in judged.collect()}
+    assert {(r.msg_id, r.verdict, r.final_output) for r in verdicts.where("batch = 3").collect()} == {
+        (k, r.verdict, r.final_output) for k, r in want.items()
+    }
+    assert verdicts.count() == len(TEXTS) + 2
+    steps = read_step_log(spark, folder).where("batch = 3").collect()
+    assert sorted((r.msg_id, r.nth, r.step, r.status, r.message) for r in steps) == sorted(
+        (k, n, s.step, s.status, s.message) for k, r in want.items() for n, s in enumerate(r.step_log)
+    )
+
+
+def test_logged_stream_equals_the_batch(spark, tables, tmp_path):
+    source = str(tmp_path / "in")
+    for i in range(2):
+        part = [t for t in TEXTS if t[0] % 2 == i]
+        spark.createDataFrame(part, MESSAGE_SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    arriving = stream_messages(spark, source, MESSAGE_SCHEMA, "msg_id")
+    out = str(tmp_path / "out")
+    start_logged_guard(arriving, tables, SCORER, out, str(tmp_path / "ck"), available_now=True).awaitTermination()
+    judged = {r.msg_id: r for r in G.guard(spark.createDataFrame(TEXTS, MESSAGE_SCHEMA), tables, SCORER).collect()}
+    assert {r.msg_id: r.verdict for r in read_verdicts(spark, out).collect()} == {k: r.verdict for k, r in judged.items()}
+    assert read_step_log(spark, out).count() == sum(len(r.step_log) for r in judged.values())

@@ -29,7 +29,15 @@ from textguard.plans.catalog.training_queries import (
 )
 from textguard.plans.catalog.variants import FORMS, forms
 from textguard.sources.shared import shared_folder
-from textguard.sources.tables import DOCUMENT_SCHEMA, read_table, spread, stream_messages, turn_id
+from textguard.sources.tables import (
+    DOCUMENT_SCHEMA,
+    read_step_log,
+    read_table,
+    spread,
+    stream_messages,
+    turn_id,
+    write_guarded,
+)
 from textguard.streaming.guard_stream import start_guard
 
 _FORMS = ("plain", "leet_o")
@@ -303,6 +311,55 @@ def step_log_statuses(spark, folder):
     return events.groupBy("step", "status").agg(F.count("*").alias("n"))
 
 
+def _filled(template: str, *values: str) -> str:
+    """SQL for a template of the plan with values in its places."""
+    parts = [part.replace("'", "''") for part in template.split("{}")]
+    return "".join(f"'{part}' || {value} || " for part, value in zip(parts, values, strict=False)) + f"'{parts[-1]}'"
+
+
+_STEP_TEXTS_SQL = f"""
+    told AS (
+      SELECT j.*, g.current_text, reply FROM judged j LEFT JOIN gated g USING (msg_id) LEFT JOIN answered USING (msg_id)
+    ),
+    steps AS (
+      SELECT msg_id, 'obfuscation' AS step, CASE verdict WHEN 'BLOCKED_OBFUSCATION' THEN '{G.OBFUSCATION_BLOCK}' || why
+               ELSE '{G.OBFUSCATION_PASS}' END AS message FROM told WHERE verdict <> 'ERROR'
+      UNION ALL
+      SELECT msg_id, 'translation', CASE WHEN stored_lang IS NULL THEN '{G.NOT_TRANSLATED}'
+               ELSE {_filled(G.TRANSLATED, "stored_lang")} END FROM told WHERE verdict IN ('PASSED', 'BLOCKED_JAILBREAK')
+      UNION ALL
+      SELECT msg_id, 'jailbreak', CASE verdict WHEN 'PASSED' THEN {_filled(G.JAILBREAK_PASS, "printf('%.4f', score)")}
+               ELSE {_filled(G.JAILBREAK_BLOCK, "printf('%.4f', score)")} END
+      FROM told WHERE verdict IN ('PASSED', 'BLOCKED_JAILBREAK')
+      UNION ALL
+      SELECT msg_id, 'pii1', CASE WHEN prompt <> current_text THEN {_filled(G.PII_FOUND, "prompt")}
+               ELSE '{G.PII_NONE}' END FROM told WHERE verdict = 'PASSED'
+      UNION ALL
+      SELECT msg_id, 'llm', {_filled(G.REPLY, "reply")} FROM told WHERE verdict = 'PASSED'
+      UNION ALL
+      SELECT msg_id, 'pii2', CASE WHEN safe_reply <> reply THEN {_filled(G.REPLY_PII_FOUND, "safe_reply")}
+               ELSE '{G.REPLY_PII_NONE}' END FROM told WHERE verdict = 'PASSED'
+      UNION ALL
+      SELECT msg_id, 'translate_back', CASE WHEN stored_lang IS NULL THEN '{G.NO_BACK}'
+               ELSE {_filled(G.BACK, "stored_lang", "final_text")} END FROM told WHERE verdict = 'PASSED'
+      UNION ALL
+      SELECT msg_id, 'final_output', CASE verdict WHEN 'PASSED' THEN {_filled(G.FINAL_OUTPUT, "final_text")}
+               WHEN 'ERROR' THEN {_filled(G.ERROR_OUTPUT, "'message has no text'")} ELSE '{G.FLAGGED_OUTPUT}' END FROM told
+    )"""
+
+
+@register(
+    "step_log_messages",
+    f"""WITH {guard_sql(MESSAGES_SQL)}, {_STEP_TEXTS_SQL}
+        SELECT msg_id, step, md5(message) AS message FROM steps""",
+)
+def step_log_messages(spark, folder):
+    """What a user reads at each step, written with the verdicts and read back."""
+    home = shared_folder(spark, "guarded-batch")
+    write_guarded(guarded(spark, folder), home)
+    return read_step_log(spark, home).select("msg_id", "step", _md5("message"))
+
+
 @register(
     "guard_with_fitted_classifier",
     f"""WITH {TRAINED_SQL},

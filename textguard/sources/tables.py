@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textguard.sources.shared import written
+
 MESSAGE_SCHEMA = T.StructType(
     [T.StructField("msg_id", T.LongType()), T.StructField("text", T.StringType())]
 )
@@ -62,3 +64,25 @@ def read_labelled(documents: DataFrame, labels: DataFrame, label: str) -> DataFr
 def write_verdicts(guarded: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One folder per verdict. Few verdicts, so tasks keep at most that many files open."""
     guarded.write.mode(mode).partitionBy("verdict").parquet(path)
+
+
+def write_guarded(guarded: DataFrame, folder: str, batch: int = 0) -> None:
+    """Writes a guarded batch as verdicts and as a step log, one row for each step of a message.
+
+    ``folder`` gets ``verdicts`` (a folder for each verdict below its batch) and ``steps``. The plan
+    runs once; a batch that is written again replaces its own files and no others.
+    """
+    held = written(guarded, "guarded")
+    plain = held.drop("step_log")
+    plain.write.mode("overwrite").partitionBy("verdict").parquet(f"{folder}/verdicts/batch={batch}")
+    steps = held.select("msg_id", F.posexplode("step_log").alias("nth", "_step")).select("msg_id", "nth", "_step.*")
+    steps.write.mode("overwrite").parquet(f"{folder}/steps/batch={batch}")
+
+
+def read_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/verdicts")
+
+
+def read_step_log(spark: SparkSession, folder: str) -> DataFrame:
+    """``(msg_id, nth, step, status, message, batch)``, ``nth`` from 0 in the order of the steps."""
+    return spark.read.parquet(f"{folder}/steps")

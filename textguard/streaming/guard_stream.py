@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from textguard.plans.guard import GuardTables, Scorer, guard
+from textguard.sources.tables import write_guarded
 
 
 def start_guard(
@@ -36,3 +37,28 @@ def start_guard(
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def start_logged_guard(
+    messages: DataFrame,
+    tables: GuardTables,
+    scorer: Scorer,
+    output: str,
+    checkpoint: str,
+    available_now: bool = False,
+    **settings,
+) -> StreamingQuery:
+    """Guards each micro-batch as a batch and writes its verdicts and its step log.
+
+    A batch that is run again after a failure replaces its own files, so that each message is
+    written once. As batches are guarded on their own, scorers and masks that join or count may be
+    used here.
+    """
+
+    def guard_batch(batch: DataFrame, number: int) -> None:
+        write_guarded(guard(batch, tables, scorer, **settings), output, number)
+
+    writer = messages.writeStream.foreachBatch(guard_batch).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
