@@ -137,3 +137,33 @@ def test_two_arrays_merge_in_any_order():
     right.merge(0, left.once[0], left.twice[0])
     assert (whole.once[0] == right.once[0]).all() and (whole.twice[0] == right.twice[0]).all()
     assert hashlib.md5(whole.twice[0].tobytes()).digest() == hashlib.md5(right.twice[0].tobytes()).digest()
+
+
+def test_columns_with_dots(spark):
+    line = "a line that is long enough"
+    frame = spark.createDataFrame([(i, line, "x") for i in range(3)], "doc_id bigint, text string, `a.b` string")
+    done = lines.drop_repeated_lines(frame)
+    assert done.columns == ["doc_id", "a.b", "text", "n_lines", "n_dropped"]
+    assert sorted((r.doc_id, r.text) for r in done.collect()) == [(0, ""), (1, ""), (2, line)]
+
+
+def test_a_hot_line_can_be_split(spark):
+    """With broadcasts off the join by line is split where most documents hold one line."""
+    off = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        frame = spark.range(0, 20000, 1, 8).selectExpr(
+            "id as doc_id", "concat('the line that very many documents hold\nanother line of number ', id % 97) as text"
+        )
+        done = lines.drop_repeated_lines(frame)
+        assert done.toPandas().n_dropped.sum() == 2 * 20000 - 1 - 97
+        assert "skew=true" in done._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

@@ -26,12 +26,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textguard.llm.columns import others
 from textguard.llm.scratch import written
 from textguard.llm.words import slices
 
@@ -46,23 +48,30 @@ SEGMENT_BITS = 1 << 20
 MOST_BITS = 1 << 29
 NO_ID = -(1 << 63)
 
-_UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
+def key_of(line: str) -> bytes:
+    """The key's UTF-8 bytes; of bytes only A-Z have a lower case."""
+    return line.encode().strip(SPACE.encode()).lower()
 
 
-def key_of(line: str) -> str:
-    return line.strip(SPACE).translate(_UPPER)
-
-
-def keys_of(text: str, least_chars: int) -> list[str]:
-    """The text's distinct keys of at least ``least_chars`` code points."""
-    keys = dict.fromkeys(map(key_of, text.split("\n")))
-    return [key for key in keys if len(key) >= least_chars]
+def keys_of(texts: pa.Array, least_chars: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """``(row, index, keys)``: the distinct keys, and each text's own, once, by index."""
+    lines = pc.split_pattern(texts.fill_null(""), "\n")
+    row = pc.list_parent_indices(lines).to_numpy()
+    flat = lines.flatten()
+    able = pc.greater_equal(pc.binary_length(flat), least_chars)
+    trimmed = pc.ascii_lower(pc.ascii_trim(flat.filter(able), characters=SPACE))
+    long = pc.greater_equal(pc.utf8_length(trimmed), least_chars)
+    row = row[able.to_numpy(zero_copy_only=False)][long.to_numpy(zero_copy_only=False)]
+    coded = trimmed.filter(long).dictionary_encode()
+    size = max(len(coded.dictionary), 1)
+    own = np.unique(row.astype(np.int64) * size + coded.indices.to_numpy())
+    return own // size, own % size, coded.dictionary
 
 
 def probes(keys: list[str], bits: int) -> np.ndarray:
     """``PROBES`` bit positions per key, one column each; ``bits`` is a power of two."""
     digest = xxhash.xxh3_128_digest
-    halves = np.frombuffer(b"".join(digest(key.encode()) for key in keys), np.uint64).reshape(-1, 2)
+    halves = np.frombuffer(b"".join(map(digest, keys)), np.uint64).reshape(-1, 2)
     return (halves & np.uint64(bits - 1)).astype(np.int64)
 
 
@@ -101,15 +110,13 @@ def twice_seen(documents: DataFrame, bits: int, least_chars: int) -> DataFrame:
     def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = SeenBits(bits)
         for part in slices(batches, "text"):
-            keys: list[str] = []
-            for text in part.column("text").to_pylist():
-                keys += keys_of(text or "", least_chars)
-            if keys:
+            _, index, keys = keys_of(part.column("text"), least_chars)
+            if len(keys):
                 # the probes of one key may fall together: they count once
-                spots = np.sort(probes(keys, bits), axis=1)
+                spots = np.sort(probes(keys.to_pylist(), bits), axis=1)
                 fresh = np.ones(spots.shape, bool)
                 fresh[:, 1:] = spots[:, 1:] != spots[:, :-1]
-                seen.add(spots[fresh])
+                seen.add(spots[index][fresh[index]])
         yield from _packed(seen)
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,19 +161,13 @@ def suspects(documents: DataFrame, shared: Broadcast, bits: int, least_chars: in
         for segment, packed in shared.value.items():
             array[segment * width : (segment + 1) * width] = np.frombuffer(unpack(packed), np.uint8)
         for part in slices(batches, "text"):
-            docs: list[int] = []
-            keys: list[str] = []
-            for doc, text in zip(part.column("doc").to_pylist(), part.column("text").to_pylist(), strict=True):
-                own = keys_of(text or "", least_chars)
-                keys += own
-                docs += [doc] * len(own)
-            if not keys:
+            row, index, keys = keys_of(part.column("text"), least_chars)
+            if not len(keys):
                 continue
-            spots = probes(keys, bits)
-            hit = ((array[spots >> 3] >> (7 - (spots & 7)).astype(np.uint8)) & 1).all(axis=1)
-            mask = pa.array(hit)
+            spots = probes(keys.to_pylist(), bits)
+            hit = ((array[spots >> 3] >> (7 - (spots & 7)).astype(np.uint8)) & 1).all(axis=1)[index]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()).filter(mask), pa.array(keys).filter(mask)], ["doc", "key"]
+                [part.column("doc").take(pa.array(row[hit])), keys.take(pa.array(index[hit]))], ["doc", "key"]
             )
 
     return documents.select("doc", "text").mapInArrow(passing, "doc bigint, key string")
@@ -180,9 +181,9 @@ def drop_repeated_lines(
 ) -> DataFrame:
     """The rows with repeated lines taken out of ``text``, and ``n_lines`` and ``n_dropped``."""
     spark = documents.sparkSession
-    others = [c for c in documents.columns if c not in ("text", "n_lines", "n_dropped")]
+    new = ("text", "n_lines", "n_dropped")
     rows = documents.select(
-        F.struct(*others).alias("_row"),
+        F.struct(*others(documents, *new)).alias("_row"),
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"),
         "text",
     )
@@ -196,6 +197,7 @@ def drop_repeated_lines(
         .where(F.col("documents") >= least_documents)
         .select("key", "keeper")
     )
+    repeated = written(repeated, "repeated-lines")  # so that the join below can be split at a hot line
     losing = (
         candidates.join(repeated, "key")
         .where(F.col("doc") != F.col("keeper"))
@@ -205,19 +207,17 @@ def drop_repeated_lines(
 
     def rewrite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            texts, totals, dropped = [], [], []
-            for text, gone in zip(part.column("text").to_pylist(), part.column("losing").to_pylist(), strict=True):
-                lines = (text or "").split("\n")
+            whole = part.column("text").fill_null("")
+            texts, losing = whole.to_pylist(), part.column("losing").to_pylist()
+            dropped = np.zeros(len(texts), np.int64)
+            for i, gone in enumerate(losing):
                 if gone:
-                    gone = set(gone)
+                    gone, lines = {key.encode() for key in gone}, texts[i].split("\n")
                     kept = [line for line in lines if key_of(line) not in gone]
-                else:
-                    kept = lines
-                texts.append("\n".join(kept))
-                totals.append(len(lines))
-                dropped.append(len(lines) - len(kept))
+                    texts[i], dropped[i] = "\n".join(kept), len(lines) - len(kept)
+            totals = pc.add(pc.count_substring(whole, "\n"), 1).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [part.column("_row"), pa.array(texts), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())],
+                [part.column("_row"), pa.array(texts, pa.string()), totals, pa.array(dropped)],
                 ["_row", "text", "n_lines", "n_dropped"],
             )
 
