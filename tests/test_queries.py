@@ -21,7 +21,6 @@ LONG = {
     "longest_encoded_run",
     "obfuscation_flag",
     "classifier_scores",
-    "classifier_evaluation",
     "classifier_saved_and_loaded",
     "guard_with_fitted_classifier",
     "blocked_by_obfuscation",
