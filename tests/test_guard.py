@@ -1,3 +1,6 @@
+import dataclasses
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +8,7 @@ from textguard.operators import classifier as CL
 from textguard.operators import language as L
 from textguard.operators import replies as RP
 from textguard.operators import translation as TR
+from textguard.operators.spans import Masking
 from textguard.plans import guard as G
 from textguard.sources.tables import (
     MESSAGE_SCHEMA,
@@ -270,3 +274,48 @@ def test_logged_stream_equals_the_batch(spark, tables, tmp_path):
     judged = {r.msg_id: r for r in G.guard(spark.createDataFrame(TEXTS, MESSAGE_SCHEMA), tables, SCORER).collect()}
     assert {r.msg_id: r.verdict for r in read_verdicts(spark, out).collect()} == {k: r.verdict for k, r in judged.items()}
     assert read_step_log(spark, out).count() == sum(len(r.step_log) for r in judged.values())
+
+
+def test_large_tables_give_the_same_rows(spark, messages, tables):
+    """Answers in one exchange equal look-ups one by one: repeated ids, missing ids, folded entries."""
+    more = spark.createDataFrame(
+        [(3, "another text of the third"), (3, "buenos días a todos los amigos"), (None, "buenos días a todos los amigos"),
+         (None, None), (None, None), (8, "buenos días a todos los amigos")],
+        MESSAGE_SCHEMA,
+    )
+    told = messages.unionByName(more).withColumn("a.b", F.lit(1))
+    twice = dataclasses.replace(
+        tables,
+        memory=tables.memory.unionByName(tables.memory),
+        replies=tables.replies.unionByName(tables.replies).unionByName(
+            spark.createDataFrame([(None, "to nobody")], "prompt_id long, reply string")
+        ),
+    )
+    large = dataclasses.replace(twice, large=True)
+    rows = lambda t, **s: sorted(map(str, G.guard(told, t, SCORER, **s).collect()))
+    assert rows(twice) == rows(large)
+    masking = Masking(names=spark.createDataFrame([("good day",)], "name string"))
+    assert rows(twice, masking=masking) == rows(large, masking=masking)
+    empty = dataclasses.replace(large, memory=tables.memory.limit(0), replies=tables.replies.limit(0))
+    assert G.guard(told, empty, SCORER).count() == 13
+    assert G.guard(told.limit(0), large, SCORER).count() == 0
+
+
+def test_large_tables_move_wide_rows_once(spark, messages, tables, tmp_path):
+    path = str(tmp_path / "messages.parquet")
+    messages.withColumnRenamed("text", "said").write.parquet(path)
+    read = spark.read.parquet(path).withColumnRenamed("said", "text")
+
+    def wide_exchanges(large):
+        plan = G.guard(read, dataclasses.replace(tables, large=large), SCORER)
+        blocks = spark._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "formatted")
+        found = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\n]*)\]", blocks)
+        return sum(bool(re.search(r"\btext#|\bsaid#", columns)) for columns in found)
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert wide_exchanges(True) == 1
+        assert wide_exchanges(False) == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

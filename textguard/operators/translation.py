@@ -81,10 +81,14 @@ def translate_to_english(
         "_translated",
         unique_memory,
     )
-    kept = [F.col(f"`{c}`") for c in messages.columns]
+    return as_translation(found, messages.columns, lang)
+
+
+def as_translation(found: DataFrame, kept: list[str], lang: str = "lang") -> DataFrame:
+    """The columns ``kept`` and ``translation`` STRUCT<lang, text> of ``_translated``."""
     hit = F.coalesce(F.col("_translated") != "", F.lit(False))
     return found.select(
-        *kept,
+        *[F.col(f"`{c}`") for c in kept],
         F.struct(
             F.when(hit, F.col(lang)).alias("lang"),
             F.when(hit, F.col("_translated")).alias("text"),

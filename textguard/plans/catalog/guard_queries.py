@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,25 +196,25 @@ def _md5(name: str):
     return F.md5(F.col(name).cast("binary")).alias(name)
 
 
-@register(
-    "guard_messages",
-    f"""WITH {guard_sql(MESSAGES_SQL)}
+_ALL_STEPS_SQL = f"""WITH {guard_sql(MESSAGES_SQL)}
         SELECT msg_id, source, verdict, lang, stored_lang, score, md5(prompt) AS prompt,
-               md5(safe_reply) AS safe_reply, md5(final_text) AS final_text FROM judged""",
-)
+               md5(safe_reply) AS safe_reply, md5(final_text) AS final_text FROM judged"""
+_ALL_STEPS = ("msg_id", "source", "verdict", "lang", "stored_lang", "score")
+
+
+@register("guard_messages", _ALL_STEPS_SQL)
 def guard_messages(spark, folder):
     """All seven steps."""
-    return guarded(spark, folder, log=False).select(
-        "msg_id",
-        "source",
-        "verdict",
-        "lang",
-        "stored_lang",
-        "score",
-        _md5("prompt"),
-        _md5("safe_reply"),
-        _md5("final_text"),
-    )
+    judged = guarded(spark, folder, log=False)
+    return judged.select(*_ALL_STEPS, _md5("prompt"), _md5("safe_reply"), _md5("final_text"))
+
+
+@register("guard_in_one_exchange", _ALL_STEPS_SQL)
+def guard_in_one_exchange(spark, folder):
+    """All seven steps with tables held to be beyond a broadcast."""
+    large = dataclasses.replace(tables(spark, folder), large=True)
+    judged = G.guard(messages(spark, folder), large, CL.word_list_scorer(GATE_WORDS), log=False)
+    return judged.select(*_ALL_STEPS, _md5("prompt"), _md5("safe_reply"), _md5("final_text"))
 
 
 @register(

@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from textguard.functions import decisions as D
 from textguard.functions import primitives as P
 from textguard.functions import redact as R
+from textguard.operators import answers as AN
 from textguard.operators import translation as TR
 from textguard.operators.language import detect_language
 from textguard.operators.obfuscation import detect_obfuscation
-from textguard.operators.replies import attach_replies
+from textguard.operators.replies import NO_REPLY, attach_replies
 from textguard.operators.spans import Masking
 
 BLOCKED_OBFUSCATION = "BLOCKED_OBFUSCATION"
@@ -66,13 +67,19 @@ Scorer = Callable[[DataFrame, str], DataFrame]
 
 @dataclass(frozen=True)
 class GuardTables:
-    """What the guard looks things up in."""
+    """What the guard looks things up in.
+
+    ``large`` says that memory and replies are beyond a broadcast: a table of messages is then
+    shuffled once for all look-ups (:mod:`textguard.operators.answers`). A stream, which cannot be
+    joined to itself, has its look-ups one by one.
+    """
 
     memory: DataFrame
     replies: DataFrame
     language_lookup: DataFrame
     unique_memory: bool = False
     unique_replies: bool = False
+    large: bool = False
 
 
 def _fill(template: str, *values: Column) -> Column:
@@ -100,9 +107,14 @@ def _open(column: str) -> Column:
 def translate(messages: DataFrame, tables: GuardTables) -> DataFrame:
     """Adds ``lang``, ``current_text`` and ``stored_lang``; NULL on closed rows."""
     spoken = detect_language(messages, tables.language_lookup, _open("text"))
-    found = TR.translate_to_english(
-        spoken, tables.memory, unique_memory=tables.unique_memory
-    )
+    if AN.TRANSLATIONS in messages.columns:
+        found = TR.as_translation(
+            spoken.withColumn("_translated", AN.translation_of(F.col("lang"), F.col("text"))), spoken.columns
+        )
+    else:
+        found = TR.translate_to_english(
+            spoken, tables.memory, unique_memory=tables.unique_memory
+        )
     return TR.adopt_translation(found).withColumn(
         "current_text", _open("current_text")
     ).drop("translation")
@@ -148,10 +160,17 @@ def answer(
     if masking is not None:
         messages = messages.withColumn("redaction_error", F.lit(None).cast("string"))
     prompt = _redact(messages, "current_text", "prompt", masking)
-    replied = attach_replies(prompt, tables.replies, unique=tables.unique_replies)
+    answered = AN.REPLY in messages.columns
+    if answered:
+        replied = prompt.withColumn("reply", F.coalesce(AN.REPLY, F.lit(NO_REPLY)))
+    else:
+        replied = attach_replies(prompt, tables.replies, unique=tables.unique_replies)
     masked = _redact(
         replied.withColumn("reply", _open("reply")), "reply", "safe_reply", masking
     )
+    if answered and masking is None:
+        back = AN.way_back(F.col("stored_lang"))
+        return masked.withColumn("final_text", F.coalesce(F.when(_open("safe_reply").isNotNull(), back), "safe_reply"))
     return TR.translate_back(
         masked,
         tables.memory,
@@ -288,11 +307,21 @@ def guard(
     and a tagger to the patterns, at both redactions; a message that the tagger fails on gets the
     verdict ``ERROR``. Names are met by joins and windows, so that they are not for a stream.
     """
-    plan = check_obfuscation(messages, reversed_rule)
+    plan = messages
+    if tables.large and not messages.isStreaming:
+        plan = AN.with_answers(
+            messages,
+            tables.memory,
+            tables.replies,
+            unique_memory=tables.unique_memory,
+            unique_replies=tables.unique_replies,
+            backs=masking is None,
+        )
+    plan = check_obfuscation(plan, reversed_rule)
     plan = translate(plan, tables)
     plan = gate(plan, scorer, any_class)
     plan = answer(plan, tables, masking)
-    return conclude(plan, log)
+    return conclude(plan.drop(AN.REPLY, AN.TRANSLATIONS, AN.BACKS), log)
 
 
 def verdict_summary(guarded: DataFrame, by: str = "source") -> DataFrame:
