@@ -1,17 +1,18 @@
 """Document fingerprints by a threshold-scaled sketch.
 
-The sketch of a text of up to ``WHOLE`` distinct five-word shingles keeps the 64-bit hashes of all;
-that of a longer text those below a fixed fraction of the range. A text of fewer than five words has
-one shingle, its whole word sequence, a text without words none. Two sketches are compared, and
+A five-word shingle is named by ``BITS`` bits of a hash. The sketch of a text keeps the names below a
+fixed fraction of their range, one in ``FRACTION``, and of a text with fewer than ``LEAST`` such names
+its ``LEAST`` smallest, all of them if there are no more. A text of fewer than five words has one
+shingle, its whole word sequence, a text without words none. A sketch is complete below its threshold:
+that of the fraction, or the largest name kept, or none if all are kept. Two sketches are compared, and
 merged by union, at the smaller of their two thresholds, so that the sketch of a small text is found
-again in that of a large one. Likeness is the share of the smaller sketch found in the larger, an
-estimate of containment that does not suffer from unequal sizes, and exact containment (but for equal
-hashes of unequal shingles) if both keep all. A fingerprint is ``<distinct shingles>:<kept hashes,
-base64>:<hash of the word sequence>``, so that unequal word sequences have unequal fingerprints.
-Only a text without words has an empty sketch: it is like another such text, and like nothing else.
-
-A small text beside a long one can keep next to nothing at the long one's threshold. Below ``LEAST``
-hashes ``compare`` takes all hashes of the two texts, which it has at hand.
+again in that of a large one. Likeness is the share of the smaller set found in the larger, an estimate
+of containment that does not suffer from unequal sizes, from the two fingerprints alone. It is exact
+where both texts have at most ``LEAST`` shingles, rests on about ``LEAST`` names or more where the texts
+are of like sizes (standard error 0.06 or less), and on one name in ``FRACTION`` of the smaller text
+beside a long one. Where nothing is left below the common threshold, likeness is 1 for equal word
+sequences and 0 otherwise. A fingerprint is ``<distinct shingles>:<kept names, base64>:<hash of the
+word sequence>``, so that unequal word sequences have unequal fingerprints.
 
 ``compare`` fingerprints every text, the text edited by its successor's beginning, and says how
 near both and the successor are. The successor is the next row by ascending ``doc_id``, equal ids by
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import sys
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -40,14 +40,14 @@ from pyspark.sql import functions as F
 from textguard.llm.words import Rolling, slices, word_names, words_of
 
 SHINGLE = 5
-FRACTION = 8  # of a text with more than WHOLE distinct shingles one hash in eight is kept
-WHOLE = 4096
-#: Hashes of the smaller sketch that an estimate must rest on (standard error below 0.05).
-LEAST = 128
+FRACTION = 32
+LEAST = 64
+BITS = 40  # of a shingle's name; five bytes of a fingerprint
 RANGE_BYTES = 16 << 20
 MOST_RANGES = 20_000
 LAST_ID = (1 << 63) - 1
-LIMIT = np.uint64((1 << 64) // FRACTION)
+LIMIT = (1 << BITS) // FRACTION
+ALL = 1 << BITS
 NEW = "n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next".split()
 
 
@@ -56,9 +56,16 @@ class Sketch(NamedTuple):
     kept: np.ndarray
     sequence: int
 
+    @property
+    def threshold(self) -> int:
+        """All names of the text below it are kept."""
+        if self.distinct == len(self.kept):
+            return ALL
+        return max(LIMIT, int(self.kept[-1]) + 1)
+
 
-def sketches(texts: pa.Array, whole: int = WHOLE) -> list[Sketch]:
-    """For each text, the number of distinct shingles, the sorted kept hashes and a hash of all words in order."""
+def sketches(texts: pa.Array) -> list[Sketch]:
+    """For each text, the number of distinct shingles, the sorted kept names and a hash of all words in order."""
     flat, bounds = words_of(texts)
     counts = np.diff(bounds)
     shingles = np.where(counts > 0, np.maximum(counts - SHINGLE + 1, 1), 0)
@@ -69,27 +76,36 @@ def sketches(texts: pa.Array, whole: int = WHOLE) -> list[Sketch]:
     row = np.repeat(np.arange(len(counts)), shingles)
     start = np.arange(ends[-1]) - np.repeat(ends - shingles, shingles) + bounds[row]
     stop = np.minimum(start + SHINGLE, bounds[row + 1])
-    found = Rolling(names, 0)(start, stop)
+    found = Rolling(names, 0)(start, stop) >> np.uint64(64 - BITS)
     order = np.lexsort((found, row))
     found, row = found[order], row[order]
     fresh = np.append(True, (found[1:] != found[:-1]) | (row[1:] != row[:-1]))
     found, row = found[fresh], row[fresh]
     distinct = np.bincount(row, minlength=len(counts))
-    kept = (found < LIMIT) | (distinct <= whole)[row]
+    rank = np.arange(len(row)) - (np.cumsum(distinct) - distinct)[row]
+    kept = (found < LIMIT) | (rank < LEAST)
     cuts = np.cumsum(np.bincount(row[kept], minlength=len(counts)))
     sequences = np.where(counts > 0, Rolling(names, 1)(bounds[:-1], bounds[1:]), np.uint64(0))
     return list(map(Sketch, distinct.tolist(), np.split(found[kept], cuts[:-1]), sequences.tolist()))
 
 
 def written_out(sketch: Sketch) -> str:
-    return f"{sketch.distinct}:{base64.b64encode(sketch.kept.astype('<u8').tobytes()).decode()}:{sketch.sequence:016x}"
+    low = np.ascontiguousarray(sketch.kept.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, : BITS // 8]
+    return f"{sketch.distinct}:{base64.b64encode(low.tobytes()).decode()}:{sketch.sequence:016x}"
+
+
+def read_back(fingerprint: str) -> Sketch:
+    distinct, names, sequence = fingerprint.split(":")
+    low = np.frombuffer(base64.b64decode(names), np.uint8).reshape(-1, BITS // 8)
+    wide = np.zeros((len(low), 8), np.uint8)
+    wide[:, : BITS // 8] = low
+    return Sketch(int(distinct), wide.reshape(-1).view("<u8").astype(np.uint64), int(sequence, 16))
 
 
 def at_common(a: Sketch, b: Sketch) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of both below the smaller of their two thresholds."""
-    if a.distinct == len(a.kept) and b.distinct == len(b.kept):
-        return a.kept, b.kept
-    return a.kept[a.kept < LIMIT], b.kept[b.kept < LIMIT]
+    """The names of both below the smaller of their two thresholds."""
+    limit = np.uint64(min(a.threshold, b.threshold))
+    return a.kept[: np.searchsorted(a.kept, limit)], b.kept[: np.searchsorted(b.kept, limit)]
 
 
 def likeness(a: Sketch, b: Sketch) -> float:
@@ -100,15 +116,8 @@ def likeness(a: Sketch, b: Sketch) -> float:
     return len(np.intersect1d(one, other, assume_unique=True)) / least
 
 
-def nearness(text: str, other: str, a: Sketch, b: Sketch) -> float:
-    """The likeness of two texts with the sketches ``a`` and ``b``, from all hashes where too few are kept."""
-    if min(map(len, at_common(a, b))) < min(LEAST, a.distinct, b.distinct):
-        a, b = sketches(pa.array([text, other], pa.string()), sys.maxsize)
-    return likeness(a, b)
-
-
 def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The kept hashes of two parts together, both at one threshold (``at_common``)."""
+    """The kept names of two parts together, both at one threshold (``at_common``)."""
     return np.union1d(a, b)
 
 
@@ -141,10 +150,9 @@ def _compared(rows: pa.RecordBatch) -> pa.RecordBatch:
         "fingerprint": [written_out(own[i]) for i in has.tolist()],
         "edited_fingerprint": [written_out(sketch) for sketch in other],
         "near_edited": pa.array(
-            [nearness(texts[i], text, own[i], sketch) for i, text, sketch in zip(has.tolist(), changed, other, strict=True)],
-            pa.float64(),
+            [likeness(own[i], sketch) for i, sketch in zip(has.tolist(), other, strict=True)], pa.float64()
         ),
-        "near_next": pa.array([nearness(texts[i], texts[i + 1], own[i], own[i + 1]) for i in has.tolist()], pa.float64()),
+        "near_next": pa.array([likeness(own[i], own[i + 1]) for i in has.tolist()], pa.float64()),
     }
     columns = {n: c if isinstance(c, pa.Array) else pa.array(c, pa.string()) for n, c in columns.items()}
     return pa.RecordBatch.from_pydict(columns)
