@@ -87,3 +87,8 @@ def test_columns_and_empty_table(spark):
     assert done.columns == ["doc_id", "spans", "doc", "text", "n_words", "n_removed"]
     assert sorted((r.doc, r.n_removed) for r in done.collect()) == [(5, 0), (6, 60)]
     assert repeats.drop_repeats(frame.limit(0)).count() == 0
+
+
+def test_names_with_dots(spark):
+    rows = spark.createDataFrame([(1, "a b", 7)], ["doc_id", "text", "a.b"])
+    assert repeats.drop_repeats(rows).first()["a.b"] == 7

@@ -117,3 +117,8 @@ def test_short_texts_have_their_own_fingerprints_and_exact_containment(spark):
             else:
                 successor = found[(doc + 1) % len(texts)].fingerprint
                 assert found[doc][near] == sketch.likeness(next(pair), sketch.read_back(successor))
+
+
+def test_names_with_dots(spark):
+    rows = spark.createDataFrame([(1, "a b", 7)], ["doc_id", "text", "a.b"])
+    assert sketch.compare(rows).first()["a.b"] == 7

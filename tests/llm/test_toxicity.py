@@ -1,3 +1,4 @@
+import dataclasses
 import random
 import zlib
 
@@ -42,6 +43,34 @@ def test_pairs_are_learned_and_held_out_rows_are_not_used(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in found)
 
 
+def test_pairs_of_terms_that_tell_nothing_alone(spark):
+    """Toxic where one of two words is there and the other is not: no single term helps."""
+    rng = np.random.default_rng(3)
+    filler = ["".join(rng.choice(list("abcdefghij"), 4)) for _ in range(300)]
+    rows = []
+    for doc in range(3_000):
+        one, other = (rng.random(2) < 0.5).tolist()
+        words = rng.choice(filler, 20).tolist() + ["zuvo"] * one + ["wyxk"] * other
+        rows.append((doc, " ".join(words), int(one != other)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    documents = frame.select("doc_id", "text")
+    machine = toxicity.fit(documents, frame.select("doc_id", "toxic"))
+    flat = dataclasses.replace(machine, factors=np.zeros_like(machine.factors))
+
+    def accuracy(m):
+        found = toxicity.apply(documents, m, 0.5).where("held_out").collect()
+        return np.mean([r.predicted == rows[r.doc_id][2] for r in found])
+
+    assert accuracy(flat) < 0.6
+    assert accuracy(machine) > accuracy(flat) + 0.15
+
+
+def test_names_with_dots(spark):
+    documents = spark.createDataFrame([(1, "a b", 7)], ["doc_id", "text", "a.b"])
+    machine = toxicity.Machine({}, 0.0, np.zeros(0), np.zeros((0, 4)))
+    assert toxicity.apply(documents, machine).first()["a.b"] == 7
+
+
 def test_scores_equal_the_sum_over_all_pairs():
     rng = np.random.default_rng(0)
     machine = toxicity.Machine({10: 0, 20: 1, 30: 2}, -0.5, rng.normal(size=3), rng.normal(size=(3, 4)))

@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textguard.llm.columns import others
 from textguard.llm.scratch import written
 from textguard.llm.words import BASE, Rolling, mixed, slices, word_names, words_of
 
@@ -218,7 +219,7 @@ def _clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def covered(rows: DataFrame) -> DataFrame:
     """``(doc, version, spans)`` for ``rows(doc, version, text)``: runs of windows to remove."""
     # read twice: computing the blocks again takes less than keeping all of them
-    blocks = rows.mapInArrow(_blocks, "doc bigint, version int, anchor bigint, content bigint, start int, windows int")
+    blocks = rows.mapInArrow(_blocks, "doc bigint, version bigint, anchor bigint, content bigint, start int, windows int")
     shared = blocks.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor")
     # written, so that the join below has an exchange on both sides and Spark can split hot anchors
     shared = written(shared, "anchors")
@@ -229,6 +230,7 @@ def covered(rows: DataFrame) -> DataFrame:
         distinct.groupBy("anchor").agg(F.min("least").alias("a"), F.max("least").alias("b"))
         .where("a < b").select("anchor", F.lit(True).alias("several"))
     )
+    several = written(several, "several")  # as above, for an anchor that many different blocks share
     facts = distinct.join(several, "anchor", "left").where("least < most or several")
     found = written(
         blocks.join(facts, same).where("doc > least or several")
@@ -238,9 +240,10 @@ def covered(rows: DataFrame) -> DataFrame:
     settled = found.where("settled").drop("settled")
     wanted = found.where("not settled").groupBy("doc", "version").agg(F.collect_set(F.struct("start", "windows")).alias("spots"))
     windows = rows.join(wanted, ["doc", "version"]).dropDuplicates(["doc", "version"]).mapInArrow(
-        _single_windows, "doc bigint, version int, left bigint, right bigint, start int"
+        _single_windows, "doc bigint, version bigint, left bigint, right bigint, start int"
     )
     least = windows.groupBy("left", "right").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+    least = written(least, "shared-windows")
     single = windows.join(least, ["left", "right"]).where("doc > least").select("doc", "version", "start", F.lit(1).alias("windows"))
     return settled.unionByName(single).groupBy("doc", "version").agg(
         F.collect_set(F.struct("start", "windows")).alias("spans")
@@ -249,11 +252,10 @@ def covered(rows: DataFrame) -> DataFrame:
 
 def drop_repeats(documents: DataFrame) -> DataFrame:
     """Each row with the kept words as ``text``, and ``n_words`` and ``n_removed``."""
-    others = [c for c in documents.columns if c not in ("text", "n_words", "n_removed")]
     whole = documents.select(
-        F.struct(*others).alias("_row"),
+        F.struct(*others(documents, "text", "n_words", "n_removed")).alias("_row"),
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"),
-        F.hash("text").alias("version"),
+        F.xxhash64("text").alias("version"),
         "text",
     )
     spans = covered(whole.select("doc", "version", "text"))

@@ -21,7 +21,7 @@ ids whose bounds come from a quantile summary; the first row of a range is also
 the range before, so that each text is shuffled once and no range waits for another.
 
 A NULL text counts as empty. A single row is its own successor. Repeated rows succeed each other.
-An empty table gives an empty table. Other columns pass through unless they carry new names.
+An empty table gives an empty table. Other columns pass through under any names but those of the new columns.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textguard.llm.columns import others
 from textguard.llm.words import Rolling, slices, word_names, words_of
 
 SHINGLE = 5
@@ -190,9 +191,8 @@ def in_ranges(rows: DataFrame) -> DataFrame:
 
 def compare(documents: DataFrame) -> DataFrame:
     """Each row with the columns ``NEW``."""
-    others = [c for c in documents.columns if c not in ("text", *NEW)]
     rows = documents.select(
-        F.struct(*others).alias("_row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("at"), "text"
+        F.struct(*others(documents, "text", *NEW)).alias("_row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("at"), "text"
     )
     schema = rows.select("_row").schema.add("n_chars", "long")
     for name in NEW[1:4]:

@@ -8,9 +8,10 @@ weight, and for every pair the inner product of two learned vectors, so that two
 toxic together.
 
 The machine is fitted by gradient steps (Adam) over batches of rows, on a bounded sample, the
-``SAMPLE`` labelled training rows that come first by a hash of their id. Squares of weights and of
-vectors add to the loss, the less the clearer a term's own relation to the label is, and for no term
-without bound. Every text is scored whole. Labels come only from rows whose crc32(doc_id as text) mod
+``SAMPLE`` labelled training rows that come first by a hash of their id: bias and weights first, then
+the vectors beside them, from what the single terms leave unexplained. Squares add to the loss: of
+weights the less, the clearer a term's own relation to the label is, and for no term without bound; of
+vectors for all terms alike, so that terms that tell nothing alone can tell something together. Every text is scored whole. Labels come only from rows whose crc32(doc_id as text) mod
 4 is not 2; labels, lang, source and doc_id are no inputs of a score.
 
 A NULL or blank text has no terms and gets the machine's score for none. A NULL ``doc_id`` is never
@@ -31,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textguard.llm.columns import others
 from textguard.llm.scratch import written
 from textguard.llm.words import mixed, numbered, row_of_word, slices, word_names, words_of
 
@@ -43,10 +45,10 @@ FACTORS = 4
 STEPS = 120
 BATCH = 2048
 RATE = 0.02
-#: Weight of the squares of linear weights and of factors in the mean loss, for a term of scale 1.
-SHRINK = (1e-4, 1e-1)
-#: A term's scale is (z / FULL) to these powers for weight and factors, z its z-score and FLOOR at least.
-POWERS = (2, 1)
+#: Weight of the squares of linear weights, for a term of scale 1, and of factors in the mean loss.
+SHRINK = (1e-4, 1e-2)
+#: A term's linear scale is (z / FULL) to this power, z its z-score and FLOOR at least.
+POWER = 2
 FULL, FLOOR = 4.0, 0.5
 THRESHOLD = 0.3
 MARKS = ".,;:!?\"'()[]{}<>#*$%&|-_"
@@ -218,48 +220,64 @@ def fit(documents: DataFrame, labels: DataFrame) -> Machine:
 
 
 def scales(seen: np.ndarray, hits: np.ndarray, rate: float) -> np.ndarray:
-    """For each term the scales of its weight and of its factors; none is 0."""
+    """For each term the scale of its weight, never 0; factors have none."""
     clear = np.abs(hits - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1)
-    clear = np.maximum(clear, FLOOR) / FULL
-    return np.column_stack((clear ** POWERS[0], *[clear ** POWERS[1]] * FACTORS)).astype(np.float32)
+    return ((np.maximum(clear, FLOOR) / FULL) ** POWER).astype(np.float32)[:, None]
 
 
 def learned(batches: list[Batch], scale: np.ndarray, rate: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, linear weights and factors with a small mean log loss, by Adam over batches of rows."""
-    # a row of linear weight and factors for each feature, in units of its scale
-    theta = np.zeros_like(scale)
-    theta[:, 1:] = np.random.default_rng(7).normal(0, 0.01, (len(scale), FACTORS))
+    """Bias, linear weights and factors with a small mean log loss, by Adam over batches of rows.
+
+    First bias and weights, then the factors beside them, fixed, so that pairs are learned
+    from what the single terms leave unexplained, whatever the terms tell on their own.
+    """
+    terms = len(scale)
+    theta = [np.zeros((terms, 1), np.float32), np.random.default_rng(7).normal(0, 0.01, (terms, FACTORS)).astype(np.float32)]
     bias = np.array([np.log(rate / (1 - rate))])
-    shrink = np.array([SHRINK[0], *[SHRINK[1]] * FACTORS], np.float32)
-    moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (theta, bias)]
-    for step in range(1, STEPS + 1):
-        batch = batches[step % len(batches)]
-        rows = len(batch.label)
-        weights = theta * scale
-        sums = np.zeros((rows, FACTORS + 1), np.float32)
-        filled = np.flatnonzero(np.diff(batch.row, prepend=-1))
-        if len(filled):
-            sums[batch.row[filled]] = np.add.reduceat(weights[batch.slot], filled, axis=0)
-        own = np.bincount(batch.row, weights=(weights[:, 1:] ** 2).sum(axis=1)[batch.slot], minlength=rows)
-        raw = bias + sums[:, 0] + ((sums[:, 1:] ** 2).sum(axis=1) - own) / 2
-        off = (1 / (1 + np.exp(-np.clip(raw, -500, 500))) - batch.label) / rows
-        through = off[:, None].astype(np.float32) * np.column_stack((np.ones(rows, np.float32), sums[:, 1:]))
-        slope = shrink * theta
-        if len(filled):
-            gradient = np.add.reduceat(through[batch.row_by_slot], batch.starts, axis=0)
-            gradient[:, 1:] -= weights[batch.slots, 1:] * gradient[:, :1]
-            slope[batch.slots] += gradient * scale[batch.slots]
-        for x, down, (mean, square) in zip((theta, bias), (slope, np.array([off.sum()])), moments, strict=True):
-            mean += 0.1 * (down - mean)
-            square += 0.001 * (down**2 - square)
-            x -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-    weights = (theta * scale).astype(float)
-    return float(bias[0]), weights[:, 0].copy(), weights[:, 1:].copy()
+    fixed = [np.zeros(len(batch.label)) for batch in batches]  # what the weights say of each row
+    for stage in (0, 1):
+        x, unit = theta[stage], scale if stage == 0 else np.ones((1, 1), np.float32)
+        moving = (x,) if stage else (x, bias)
+        moments = [(np.zeros_like(y), np.zeros_like(y)) for y in moving]
+        for step in range(1, STEPS + 1):
+            at = step % len(batches)
+            batch, rows = batches[at], len(batches[at].label)
+            weights = x * unit
+            sums = _sums(batch, weights)
+            raw = bias + fixed[at] + (_paired(batch, weights, sums) if stage else sums[:, 0])
+            off = (1 / (1 + np.exp(-np.clip(raw, -500, 500))) - batch.label) / rows
+            through = off[:, None].astype(np.float32) * np.column_stack((np.ones(rows, np.float32), sums))
+            slope = np.float32(SHRINK[stage]) * x
+            if len(batch.slots):
+                gradient = np.add.reduceat(through[batch.row_by_slot], batch.starts, axis=0)
+                own = gradient[:, 1:] - weights[batch.slots] * gradient[:, :1] if stage else gradient[:, :1]
+                slope[batch.slots] += own * (unit if stage else unit[batch.slots])
+            for y, down, (mean, square) in zip(moving, (slope, np.array([off.sum()])), moments):
+                mean += 0.1 * (down - mean)
+                square += 0.001 * (down**2 - square)
+                y -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+        if stage == 0:
+            fixed = [_sums(batch, x * unit)[:, 0] for batch in batches]
+    return float(bias[0]), (theta[0] * scale)[:, 0].astype(float), theta[1].astype(float)
+
+
+def _sums(batch: Batch, weights: np.ndarray) -> np.ndarray:
+    """For each row the sum of its terms' rows of ``weights``."""
+    sums = np.zeros((len(batch.label), weights.shape[1]), np.float32)
+    filled = np.flatnonzero(np.diff(batch.row, prepend=-1))
+    if len(filled):
+        sums[batch.row[filled]] = np.add.reduceat(weights[batch.slot], filled, axis=0)
+    return sums
+
+
+def _paired(batch: Batch, factors: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """For each row the sum of its pairs' inner products."""
+    own = np.bincount(batch.row, weights=(factors**2).sum(axis=1)[batch.slot], minlength=len(batch.label))
+    return ((sums**2).sum(axis=1) - own) / 2
 
 
 def apply(documents: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
     """Each row with ``held_out``, ``score`` and ``predicted``."""
-    others = [c for c in documents.columns if c not in ("text", *NEW)]
     shared = documents.sparkSession.sparkContext.broadcast(machine.table())
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,6 +285,6 @@ def apply(documents: DataFrame, machine: Machine, threshold: float = THRESHOLD)
             found = scores_from(shared.value, *inputs(part.column("text")), part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(found)], ["_row", "score"])
 
-    rows = documents.select(F.struct(*others, held_out().alias("held_out")).alias("_row"), "text")
+    rows = documents.select(F.struct(*others(documents, "text", *NEW), held_out().alias("held_out")).alias("_row"), "text")
     scored = rows.mapInArrow(judge, rows.select("_row").schema.add("score", "double"))
     return scored.select("_row.*", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
