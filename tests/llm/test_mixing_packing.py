@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -169,8 +170,63 @@ def test_search_against_exact_packing():
         assert used == Counter(lengths)
         bins = sum(times for _, times in found)
         assert bins <= fewest_bins(lengths, 60) + 1
+        assert packing.fewest_bins(counts, 60) <= fewest_bins(lengths, 60)
         optimal += bins == fewest_bins(lengths, 60)
-    assert optimal >= 55
+    assert optimal == 60
+
+
+def slow_fillings(lengths, largest, capacity):
+    """All sets around ``largest`` that no single exchange of a group for a longer piece improves."""
+    rest = list(lengths)
+    rest.remove(largest)
+    sets = {tuple(sorted(c, reverse=True)) for k in range(len(rest) + 1) for c in combinations(rest, k) if sum(c) <= capacity - largest}
+
+    def improved(own):
+        free = list((Counter(rest) - Counter(own)).elements())
+        room = capacity - largest - sum(own)
+        for k in range(len(own) + 1):
+            for group in combinations(own, k):
+                total = sum(group)
+                if any((z > total if k < 2 else z >= total) and z <= total + room for z in free):
+                    return True
+        return False
+
+    return {(largest, *own) for own in sets if not improved(own)}
+
+
+def test_fillings_are_all_undominated_ones():
+    rng = random.Random(8)
+    for _ in range(150):
+        lengths = [rng.randint(1, 20) for _ in range(rng.randint(1, 9))]
+        search = packing.Search(np.bincount(lengths, minlength=31), 30, 10**6)
+        found = list(search.fillings(max(lengths), 30))
+        assert len(found) == len(set(found)) and set(found) == slow_fillings(lengths, max(lengths), 30)
+        tight = list(search.fillings(max(lengths), 2))
+        assert set(tight) == {f for f in found if sum(f) >= 28}
+
+
+def triples(n, seed, low=1024, high=2047, capacity=4096):
+    """Lengths that fill n sequences exactly, three in each."""
+    rng, out = random.Random(seed), []
+    while len(out) < 3 * n:
+        a, b = rng.randint(low, high), rng.randint(low, high)
+        if low <= capacity - a - b <= high:
+            out += [a, b, capacity - a - b]
+    return np.bincount(out, minlength=capacity + 1)
+
+
+def bins(packed):
+    return sum(times for _, times in packed)
+
+
+def test_search_finds_hidden_packings():
+    for n, seed in ((20, 1), (20, 3), (20, 4), (30, 2), (30, 4)):
+        counts = triples(n, seed)
+        assert bins(packing.best_fit_decreasing(counts, 4096)) > n
+        assert bins(packing.complete(counts)) == n
+    # a hundred are beyond its steps; it never ends above best fit
+    counts = triples(100, 1)
+    assert 100 <= bins(packing.complete(counts, steps=100_000)) <= bins(packing.best_fit_decreasing(counts, 4096))
 
 
 def test_pack_of_nothing(spark):

@@ -7,9 +7,11 @@ tiny whatever the size of the corpus, and decides patterns (which lengths share
 multiplicities; the pieces then take the places of the patterns by their rank among equal lengths.
 
 Search: the largest length left is completed with undominated fillings, that is with sets of smaller
-lengths that no larger ones could replace. Fillings are tried best fit first, each as often as the
-counts allow. The incumbent starts as best-fit decreasing. A branch ends when the waste of its full
-sequences already excludes a better result; the search ends at the lower bound or after ``NODES``.
+lengths in which no group could be replaced by one length that is left and fills as much or more.
+All of them are branched on, fullest first, each as often as the counts allow and less often. The
+incumbent starts as best-fit decreasing. A branch ends when the waste of its full sequences and what
+the lengths left must lose exclude a better result; the search ends at the lower bound, when the tree
+is done, or after ``STEPS`` tried lengths, where the incumbent stands.
 
 Ranks need no sorting of the corpus: each task numbers its own pieces of a length, the counts of
 the tasks are added up, and a piece's rank is its number plus the counts of the tasks before.
@@ -20,6 +22,7 @@ an empty result. Of other columns only ``doc_id`` is carried, NULL or not.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import string
@@ -40,12 +43,13 @@ from textguard.llm.words import numbered, slices, words_of
 
 CAPACITY = 4096
 END_ID = 1
-NODES = 4_000
+#: Lengths that the search tries in all, some seconds of one core.
+STEPS = 1_000_000
+#: Part of the steps left that a start below the first pattern gets.
+SHARE = 0.125
 #: Distinct words a task keeps the ids of at a time.
 KEPT_WORDS = 250_000
 VOCABULARY = "word_bpe_49k.json"
-#: Fillings tried at a node.
-BRANCHES = 3
 
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
@@ -189,115 +193,229 @@ def pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACI
 # --- the search over counts of lengths ---
 
 
-class Left:
-    """Counts of the lengths left, and the largest length left up to any bound."""
+class Lengths:
+    """How many pieces of each length are left; ``have`` has a bit for every length that is."""
 
     def __init__(self, counts: np.ndarray):
-        self.counts = counts
-        self.below = np.maximum.accumulate(np.where(counts > 0, np.arange(len(counts)), 0))
+        self.counts = counts.astype(np.int64)
+        self.have = sum(1 << int(n) for n in np.flatnonzero(self.counts) if n)
+
+    def most(self, top: int) -> int:
+        """The largest length left up to ``top``; 0 if there is none."""
+        return max(0, (self.have & ((2 << top) - 1)).bit_length() - 1)
+
+    def least(self) -> int:
+        return (self.have & -self.have).bit_length() - 1
 
     def take(self, filling: tuple[int, ...], times: int) -> None:
+        """Pieces of ``times`` sequences go, or come back where that is negative."""
         for length in filling:
             self.counts[length] -= times
-            if not self.counts[length]:
-                # the next smaller length left answers for this one now
-                stop = length + 1
-                while stop < len(self.below) and self.below[stop] == length:
-                    stop += 1
-                self.below[length:stop] = self.below[length - 1] if length else 0
+            if self.counts[length]:
+                self.have |= 1 << length
+            else:
+                self.have &= ~(1 << length)
 
-    def copy(self) -> Left:
-        other = object.__new__(Left)
-        other.counts, other.below = self.counts.copy(), self.below.copy()
-        return other
+    def times(self, filling: tuple[int, ...]) -> int:
+        return min(int(self.counts[length]) // n for length, n in Counter(filling).items())
 
 
-def fillings(left: Left, largest: int, capacity: int) -> list[tuple[int, ...]]:
-    """Undominated ways to complete a sequence that holds ``largest``, the best fit first.
+def fewest_bins(counts: np.ndarray, capacity: int) -> int:
+    """A lower bound: lengths over half of ``capacity`` are alone, and the room beside those that are
+    too long for any length from k on is lost to these, for every k."""
+    sizes = np.arange(capacity + 1)
+    number, total = np.cumsum(counts), np.cumsum(counts * sizes)
+    k, half = sizes[: capacity // 2 + 1], capacity // 2
+    alone = number[-1] - number[capacity - k]
+    long, long_total = number[capacity - k] - number[half], total[capacity - k] - total[half]
+    short_total = total[half] - np.where(k > 0, total[k - 1], 0)
+    more = np.maximum(0, -(-(short_total - (long * capacity - long_total)) // capacity))
+    return int((alone + long + more).max())
 
-    Each way starts with one length and continues with the largest that fit, so that no length in
-    it could be replaced by a larger one that is left.
-    """
-    room = capacity - largest
-    top = int(left.below[min(room, largest)])
-    if not top:
-        return [(largest,)]
-    firsts = np.flatnonzero(left.counts[: top + 1])[::-1]
-    seconds = left.below[np.minimum(room - firsts, firsts)]
-    single = left.counts[seconds] - (seconds == firsts) - ((seconds == largest) & (firsts == largest)) > 0
-    waste = room - firsts - np.where(single, seconds, 0)
-    order = np.argsort(waste, kind="stable")[: 4 * BRANCHES]
-    found: dict[tuple[int, ...], int] = {}
-    for first in firsts[order].tolist():
-        own, rest, next_ = [largest], room, first
-        used: Counter[int] = Counter({largest: 1})
-        while next_:
-            if left.counts[next_] > used[next_]:
-                own.append(next_)
-                used[next_] += 1
-                rest -= next_
-                next_ = int(left.below[min(rest, next_)])
-            else:
-                next_ = int(left.below[next_ - 1])
-        found.setdefault(tuple(own), rest)
-    return sorted(found, key=lambda f: (found[f], len(f)))[:BRANCHES]
 
+def dominated(left: Lengths, others: list[int], room: int) -> bool:
+    """Whether a length that is left could replace some of ``others``, filling as much or more.
 
-def _times(left: Left, filling: tuple[int, ...]) -> int:
-    return min(int(left.counts[length]) // n for length, n in Counter(filling).items())
+    Any group of two or more may be replaced by a length of at least its sum, one length only by a
+    larger one, and nothing at all by any length that still fits.
+    """
+    groups: dict[int, bool] = {0: True}  # sum, and whether only an equal length makes it
+    for length in others:
+        groups |= {total + length: total == 0 and groups.get(length, True) for total in list(groups)}
+    used = Counter(others)
+    for total, single in groups.items():
+        new = left.most(total + room)
+        while new >= max(1, total + single):
+            if left.counts[new] > used[new]:
+                return True
+            new = left.most(new - 1)
+    return False
+
+
+class Search:
+    """Depth-first bin completion; ``steps`` bounds the lengths that it tries in all."""
+
+    def __init__(self, counts: np.ndarray, capacity: int, steps: int):
+        self.left, self.capacity, self.steps = Lengths(counts), capacity, steps
+
+    def fillings(self, largest: int, waste: int) -> Iterator[tuple[int, ...]]:
+        """All undominated fillings around ``largest`` that leave ``waste`` at most, fullest first in
+        steps of doubling waste."""
+        self.left.take((largest,), 1)
+        have = self.left.have
+        self.left.take((largest,), -1)
+        if not have or have & -have > 1 << (self.capacity - largest):
+            if self.capacity - largest <= waste:
+                yield (largest,)
+            return
+        low, high = 0, 0
+        while low <= waste:
+            yield from self._completed(largest, [], self.capacity - largest, low, min(high, waste))
+            low, high = high + 1, 2 * high + 1
+
+    def _completed(self, largest: int, others: list[int], room: int, low: int, high: int) -> Iterator[tuple[int, ...]]:
+        left = self.left
+        length = left.most(min(room, others[-1] if others else largest))
+        while length and self.steps > 0:
+            self.steps -= 1
+            if left.counts[length] > others.count(length) + (length == largest):
+                rest, own = room - length, [*others, length]
+                last = rest < left.least()
+                if low <= rest <= high:
+                    left.take((largest,), 1)
+                    keep = not dominated(left, own, rest)
+                    left.take((largest,), -1)
+                    if keep:
+                        yield (largest, *own)
+                if not last:
+                    yield from self._completed(largest, own, rest, low, high)
+                else:  # alone, a smaller one leaves more
+                    length = min(length, room - left.least() + 1)
+            length = left.most(length - 1)
+
+    def branches(self, waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        """Fillings around the largest length left, as often as they can be and less often."""
+        for filling in self.fillings(self.left.most(self.capacity), waste):
+            times = self.left.times(filling)
+            while times:
+                yield filling, times
+                times //= 2
+
+    def descend(self, waste: int, share: float, seen: dict[bytes, int]) -> list[tuple[tuple[int, ...], int]] | None:
+        """Patterns for all that is left with ``waste`` at most, or None if a ``share`` of the steps
+        finds none. ``seen`` has the states found hopeless, with the waste they were tried at."""
+        if not self.left.have:
+            return []
+        stop = self.steps - max(1, int(self.steps * share))
+        chosen, wastes = [], [waste]
+        ways, states = [self.branches(waste)], [b""]
+        while ways and self.steps > stop:
+            step = next(ways[-1], None)
+            if step is None:
+                ways.pop()
+                seen[states.pop()] = wastes.pop()
+                if chosen:
+                    self.left.take(chosen[-1][0], -chosen[-1][1])
+                    chosen.pop()
+                continue
+            filling, times = step
+            after = wastes[-1] - times * (self.capacity - sum(filling))
+            if after < 0:
+                continue
+            self.left.take(filling, times)
+            chosen.append(step)
+            if not self.left.have:
+                return chosen
+            self.steps -= 1
+            wastes.append(after)
+            state = hashlib.blake2b(self.left.counts.tobytes(), digest_size=16).digest()
+            hopeless = seen.get(state, -1) >= after or self._must_lose() > after
+            states.append(b"" if hopeless else state)
+            ways.append(iter(()) if hopeless else self.branches(after))
+        for filling, times in reversed(chosen):
+            self.left.take(filling, -times)
+        return None
+
+    def _must_lose(self) -> int:
+        total = int((self.left.counts * np.arange(self.capacity + 1)).sum())
+        return fewest_bins(self.left.counts, self.capacity) * self.capacity - total
 
 
 def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns with multiplicities, every largest length completed by its best filling."""
-    left, out = Left(counts.copy()), []
-    while largest := int(left.below[-1]):
-        filling = fillings(left, largest, capacity)[0]
-        times = _times(left, filling)
+    """Patterns with multiplicities, every largest length completed by the largest that fit, or by
+    two that fit better."""
+    left, out = Lengths(counts), []
+    while largest := left.most(capacity):
+        left.take((largest,), 1)
+        filling = (largest, *_best_fit(left, capacity - largest))
+        left.take((largest,), -1)
+        times = left.times(filling)
         left.take(filling, times)
         out.append((filling, times))
     return out
 
 
-def complete(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """The best packing found: ``counts[n]`` pieces of length n in patterns with multiplicities."""
+def _best_fit(left: Lengths, room: int) -> list[int]:
+    """The largest lengths that fit, or one or two that leave less room."""
+    greedy, rest, used = [], room, Counter()
+    length = left.most(room)
+    while length:
+        if left.counts[length] > used[length]:
+            greedy.append(length)
+            used[length] += 1
+            rest -= length
+            length = left.most(min(length, rest))
+        else:
+            length = left.most(length - 1)
+    if not rest:
+        return greedy
+    present = np.flatnonzero(left.counts[: room + 1] > 0)[::-1]
+    present = present[present * 2 >= room]  # the longer of two
+    below = np.maximum.accumulate(np.where(left.counts > 0, np.arange(len(left.counts)), 0))
+    seconds = below[np.minimum(room - present, present)]
+    seconds = np.where((seconds == present) & (left.counts[present] < 2), 0, seconds)
+    if len(present):
+        waste = room - present - seconds
+        at = int(np.argmin(waste))
+        if waste[at] < rest:
+            return [int(n) for n in (present[at], seconds[at]) if n]
+    return greedy
+
+
+def complete(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[tuple[int, ...], int]]:
+    """The best packing found: ``counts[n]`` pieces of length n in patterns with multiplicities.
+
+    The search for one sequence fewer than the incumbent keeps the incumbent's patterns up to the
+    first whose waste is more than such a packing may have, and goes up from there: 1, 2, 4 and more
+    patterns, at last to the first one, from where it covers the whole tree.
+    """
     total = int((counts * np.arange(len(counts))).sum())
     if not total:
         return []
-    bound = max(-(-total // capacity), int(counts[capacity // 2 + 1 :].sum()))
+    bound = fewest_bins(counts, capacity)
     best = best_fit_decreasing(counts, capacity)
     fewest = sum(times for _, times in best)
-    # depth first; a branch is (lengths left, patterns so far, sequences so far, waste so far)
-    stack = [(Left(counts.copy()), (), 0, 0)]
-    while stack and nodes and fewest > bound:
-        left, chosen, bins, waste = stack.pop()
-        # waste allowed in a packing of one sequence fewer than the incumbent
+    search = Search(counts, capacity, steps)
+    while fewest > bound and search.steps > 1:
         allowed = (fewest - 1) * capacity - total
-        if waste > allowed:
-            continue
-        nodes -= 1
-        largest = int(left.below[-1])
-        if not largest:
-            if bins < fewest:
-                best, fewest = _unrolled(chosen), bins
-            continue
-        for filling in reversed(fillings(left, largest, capacity)):
-            times = _times(left, filling)
-            after = left.copy()
-            after.take(filling, times)
-            lost = waste + times * (capacity - sum(filling))
-            if lost <= allowed:
-                stack.append((after, (chosen, (filling, times)), bins + times, lost))
+        lost = np.cumsum([times * (capacity - sum(filling)) for filling, times in best])
+        start, up, found, seen = int(np.searchsorted(lost, allowed, side="right")), 1, None, {}
+        while found is None and search.steps > 1:
+            search.left = Lengths(counts)
+            for filling, times in best[:start]:
+                search.left.take(filling, times)
+            found = search.descend(allowed - (int(lost[start - 1]) if start else 0), SHARE if start else 1, seen)
+            if found is None and not start:
+                break
+            if found is None:
+                start, up = max(0, start - up), 2 * up
+        if found is None:
+            break
+        best = [*best[:start], *found]
+        fewest = sum(times for _, times in best)
     return best
 
 
-def _unrolled(chosen) -> list[tuple[tuple[int, ...], int]]:
-    out = []
-    while chosen:
-        chosen, last = chosen
-        out.append(last)
-    return out[::-1]
-
-
 def places(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
     """``(length, first rank, times, first sequence, offset)`` for every place of every pattern."""
     ranks: Counter[int] = Counter()
@@ -312,7 +430,7 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
     return out
 
 
-def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
+def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY, steps: int = STEPS) -> DataFrame:
     """Every piece with its ``sequence_id`` and ``offset``."""
     spark = documents.sparkSession
     cut = written(pieces(documents, path, capacity), "pieces")
@@ -322,7 +440,7 @@ def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY
     counts = np.zeros(capacity + 1, np.int64)
     for row in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # one row a length
         counts[row.length] = row.n
-    slots = places(complete(counts, capacity, nodes))
+    slots = places(complete(counts, capacity, steps))
     # every pattern uses up some length to below its own need: a few rows for each length at most
     table: dict[int, list[tuple[int, int, int]]] = {}
     for length, rank, _, sequence, offset in slots:
