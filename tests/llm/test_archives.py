@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 
@@ -60,5 +61,41 @@ def test_both_versions_are_parsed_by_declared_lengths(spark):
         list(archives.records(b"http://a 0 0 t 3\n1 x", "f.arc"))
 
 
+def test_blanks_in_urls_and_heads_with_line_feeds(spark):
+    for version in (1, 2):
+        body = b"HTTP/1.0 200 OK\nX-Record-Number: 7\nContent-Type: text/html\n\nfirst\r\n\r\nsecond"
+        archive = archives.version_block("f.arc", version, "20010203040506") + b"\n"
+        archive += archives.arc_header("http://a/b c  d", "1.2.3.4", "20010203", "text/html", 200, version, 9, "f.arc", len(body)) + body + b"\n"
+        frame = spark.createDataFrame([("f.arc", bytearray(archive))], "name string, archive binary")
+        folder = new_folder(spark, "warc-test")
+        archives.write_archives(archives.to_warc(frame), folder)
+        (made,) = archives.read_archives(spark, folder).collect()
+        assert (made.url, made.record_type, made.page_id) == ("http://a/b c  d", "response", 7)
+        assert made.payload_bytes == len(b"first\r\n\r\nsecond") and made.warc_date == "2001-02-03T00:00:00Z"
+
+
+def test_archives_are_closed_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(archives, "WARC_BYTES", 10_000)
+    frame = spark.createDataFrame([(i, "u", f"{i} " * 2000) for i in range(40)], "page_id bigint, url string, html string").repartition(2)
+    folder = new_folder(spark, "warc-test")
+    archives.write_archives(archives.to_warc(archives.pages_to_arc(frame)), folder)
+    sizes = [len(gzip.decompress(r.content)) for r in spark.read.format("binaryFile").load(folder).collect()]
+    assert len(sizes) > 10 and max(sizes) < 10_000 + 7_000
+    assert archives.read_archives(spark, folder).count() == 40
+
+
+def test_a_hot_payload_does_not_move_payloads_by_digest(spark):
+    """With broadcasts off, payloads travel by the record's id; the digest moves narrow rows only."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        frame = spark.createDataFrame([(i, "u", "same " * 50) for i in range(30)], "page_id bigint, url string, html string")
+        plan = archives.to_warc(archives.pages_to_arc(frame))._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if " Join " in f" {line.strip(' +-:')}"]
+        assert len(joins) == 2 and "id#" in joins[0] and "digest#" in joins[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_no_pages(spark):
     assert archives.convert_pages(spark.createDataFrame([], "page_id bigint, url string, html string, id string")).count() == 0

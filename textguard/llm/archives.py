@@ -14,8 +14,10 @@ digests of block and payload. Of records with equal payloads of at least ``LEAST
 one with the smallest number is kept whole, the others become revisit records of its identifier.
 
 Archives are written by Spark's text writer, so that any file system and retried tasks work: one
-record a row, the record's two closing line ends being the writer's separator. They are read back as
-whole files, of bounded size, and parsed by the declared lengths alone.
+archive a row and file, closed by its bytes, the last record's two closing line ends being the
+writer's separator. They are read back as whole files and parsed by the declared lengths alone.
+Header lines are read from the right, so that blanks in a URL do no harm; heads of HTTP records may
+end their lines in line feeds alone.
 
 A NULL payload is an empty one, a NULL URL is ``urn:none``; blanks and control characters of a URL
 are percent-encoded, and decoded after reading. Records of one number and payload: the first by
@@ -26,6 +28,7 @@ place. An empty table gives empty results.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -37,12 +40,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.scratch import new_folder
+from textguard.llm.scratch import new_folder, written
 from textguard.llm.words import slices
 
 LEAST_SHARED = 100
-#: Bytes of an ARC archive and about that of a WARC archive; a larger record makes a larger one.
+#: Bytes of an ARC archive, and at which a WARC archive is closed; a larger record makes a larger one.
 ARCHIVE_BYTES = 4 << 20
+WARC_BYTES = 16 << 20
 CLOSING = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELDS = {
@@ -51,6 +55,7 @@ FIELDS = {
 }
 #: Characters of a URL that stay as they are in a header line.
 _SAFE = "!#$&'()*+,/:;=?@[]-._~"
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
 
 
 @dataclass(frozen=True)
@@ -100,23 +105,24 @@ def records(archive: bytes, name: str) -> Iterator[ArcRecord]:
             if not parts[0].startswith("filedesc:"):
                 raise ValueError(f"{name}: no version block")
         else:
-            if len(parts) != fields or not parts[-1].isdigit():
+            tail = parts[1 - fields :]  # from the right, as old crawlers left spaces in URLs
+            if len(parts) < fields or not parts[-1].isdigit():
                 raise ValueError(f"{name}: header line of {len(parts)} fields at byte {at}")
             length = int(parts[-1])
             if end + 1 + length > len(archive):
                 raise ValueError(f"{name}: record at byte {at} is cut")
-            yield ArcRecord(unquote(parts[0]), parts[2], parts[3], archive[end + 1 : end + 1 + length], at)
+            yield ArcRecord(unquote(" ".join(parts[: 1 - fields])), tail[1], tail[2], archive[end + 1 : end + 1 + length], at)
         at = end + 1 + length
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
-    """Head, with its empty line, and payload of an HTTP response."""
-    head, mark, payload = block.partition(b"\r\n\r\n")
-    return (head + mark, payload) if mark and head.startswith(b"HTTP/") else (b"", block)
+    """Head, with its empty line, and payload of an HTTP response; lines may end in line feeds alone."""
+    end = _HEAD_END.search(block) if block.startswith(b"HTTP/") else None
+    return (block[: end.end()], block[end.end() :]) if end else (b"", block)
 
 
 def head_field(head: bytes, name: str) -> str | None:
-    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in head.decode("utf-8", "replace").split("\n")[1:]:
         key, _, value = line.partition(":")
         if key.lower() == name.lower():
             return value.strip()
@@ -224,7 +230,11 @@ def originals(found: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
 def to_warc(archives: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     """``record``: WARC records, without closing line ends, of ARC archives ``(name, archive)``."""
     found = parsed(archives)
-    joined = found.join(originals(found, least), "digest", "left")
+    # who repeats whom is settled on narrow rows and comes back by the record's id: no key is hot for
+    # the payloads, and the written sides let Spark split a digest that very many records share
+    narrow = written(found.drop("head", "payload", "http", "kind"), "records")
+    repeated = written(originals(narrow, least), "originals")
+    joined = found.join(narrow.join(repeated, "digest").select("id", "least"), "id", "left")
 
     def synthesise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "payload"):
@@ -256,11 +266,37 @@ def to_warc(archives: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
 
 
 def write_archives(rows: DataFrame, folder: str) -> None:
-    """The WARC records as gzipped archives of bounded size in ``folder``."""
+    """The WARC records as gzipped archives in ``folder``, closed when they reach ``WARC_BYTES``.
+
+    Each begins with a ``warcinfo`` record.
+    """
+
+    def bundle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), 0
+
+        def archive(own: list[bytes]) -> pa.RecordBatch:
+            fields = {
+                "WARC-Type": "warcinfo", "WARC-Record-ID": record_id(f"part-{task:05d}-{made:05d}.warc", 0),
+                "WARC-Date": warc_date(""), "Content-Type": "application/warc-fields",
+            }
+            whole = CLOSING.encode().join([warc_record(fields, b"software: textguard\r\nformat: WARC File Format 1.1\r\n"), *own])
+            return pa.RecordBatch.from_arrays([pa.array([whole], pa.binary())], ["archive"])
+
+        own, size = [], 0
+        for batch in batches:
+            for record in batch.column("record"):
+                own.append(record.as_py())
+                size += len(own[-1])
+                if size >= WARC_BYTES:
+                    yield archive(own)
+                    own, size, made = [], 0, made + 1
+        if own:
+            yield archive(own)
+
     # a string keeps the bytes of the binary as they are, and the text writer writes them so
     (
-        rows.select(F.col("record").cast("string").alias("value"))
-        .write.option("lineSep", CLOSING).option("compression", "gzip").option("maxRecordsPerFile", 2_000).mode("append").text(folder)
+        rows.mapInArrow(bundle, "archive binary").select(F.col("archive").cast("string").alias("value"))
+        .write.option("lineSep", CLOSING).option("compression", "gzip").option("maxRecordsPerFile", 1).mode("append").text(folder)
     )
 
 
@@ -274,6 +310,8 @@ def read_archives(spark, folder: str) -> DataFrame:
             for name, packed in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 rows = []
                 for fields, block in warc_records(gzip.decompress(packed.as_buffer()), name):
+                    if fields["WARC-Type"] == "warcinfo":
+                        continue
                     head, payload = split_http(block)
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
                     again = fields["WARC-Type"] == "revisit"
