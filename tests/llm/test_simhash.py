@@ -4,7 +4,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from textguard.llm import simhash
+from textguard.llm import components, simhash
 from textguard.llm.components import connected
 
 
@@ -128,3 +128,33 @@ def test_rows_that_share_an_id_keep_one_row_for_each_component(spark):
     kept = simhash.keep_one_of_each(frame).collect()
     assert sorted((r.doc_id, r.text or "") for r in kept) == [(1, ""), (1, one), (1, two)]
     assert all(run == runs[0] for run in runs)
+
+
+def test_columns_with_dots(spark):
+    frame = spark.createDataFrame([(1, "a b c d", "x"), (2, "a b c d", "y"), (None, None, "z")], "doc_id bigint, text string, `a.b` string")
+    found = simhash.near_duplicates(frame)
+    assert found.columns == ["doc_id", "a.b", "fingerprint", "component_id"]
+    assert {(r["a.b"], r.component_id) for r in found.collect()} >= {("x", 1), ("y", 1)}
+    kept = simhash.keep_one_of_each(frame)
+    assert kept.columns == frame.columns and sorted(r["a.b"] for r in kept.collect()) == ["x", "z"]
+
+
+def test_a_hub_can_be_split(spark):
+    """With broadcasts off, the join of a star's links is split at its hub."""
+    off = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        edges = spark.range(1, 40000, 1, 8).selectExpr("id as a", "if(id % 50 = 0, id - 1, 0L) as b").where("a > b")
+        done = components._small_star(edges.selectExpr("if(b = 0, 50000L, a) as a", "if(b = 0, a, b) as b"))
+        assert done.count() > 0
+        done.collect()
+        assert "skew=true" in done._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textguard.llm.columns import named, others
 from textguard.llm.components import connected
 from textguard.llm.scratch import written
 from textguard.llm.words import slices
@@ -110,7 +111,7 @@ def star_links(crowded: DataFrame) -> DataFrame:
     keyed = crowded.select("fp", F.explode(F.transform(bits, lambda bit: F.col("fp").bitwiseXOR(bit))).alias("near"))
     least = keyed.groupBy("near").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most")
     return (
-        keyed.join(least.select("near", "least"), "near")
+        keyed.join(written(least.select("near", "least"), "least-near"), "near")
         .where("fp <> least")
         .select(F.col("fp").alias("a"), F.col("least").alias("b"))
         .distinct()
@@ -120,7 +121,8 @@ def star_links(crowded: DataFrame) -> DataFrame:
 def links(distinct: DataFrame) -> DataFrame:
     """``(a, b)``: enough links between distinct fingerprints to give their components."""
     lists = postings(distinct)
-    sizes = lists.groupBy("place", "bytes").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that Spark can split a long list in the join
+    sizes = written(lists.groupBy("place", "bytes").agg(F.count("*").alias("n")).where("n > 1"), "list-sizes")
     sized = lists.join(sizes, ["place", "bytes"])
     short = sized.where(F.col("n") <= SHORT_LIST).drop("n")
     crowded = sized.where(F.col("n") > SHORT_LIST).select("fp").distinct()
@@ -129,13 +131,11 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """Each row with ``fingerprint`` (16 hex digits) and ``component_id``."""
-    others = [c for c in documents.columns if c not in ("text", "fingerprint", "component_id")]
     marked = written(
-        fingerprints(documents.select(F.col("doc_id").cast("bigint").alias("_id"), F.struct(*others).alias("_row"), "text"), "_id", "_row"),
+        fingerprints(documents.select(F.col("doc_id").cast("bigint").alias("_id"), F.struct(*others(documents, "text", "fingerprint", "component_id")).alias("_row"), "text"), "_id", "_row"),
         "fingerprints",
     )
-    named = component_names(marked)
-    return marked.join(named, "fp").select(
+    return marked.join(component_names(marked), "fp").select(
         "_row.*",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
@@ -149,14 +149,14 @@ def component_names(marked: DataFrame) -> DataFrame:
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root")
     )
-    smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    smallest = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "components")
     return rooted.join(smallest, "root").select("fp", "root", "component_id")
 
 
 def row_hash(documents: DataFrame):
     """A hash of all columns, and of which of them are NULL."""
-    told = [F.to_json(F.struct(c)) if "<" in kind else F.col(c) for c, kind in documents.dtypes]
-    return F.xxhash64(*told, *[F.col(c).isNull() for c in documents.columns])
+    told = [F.to_json(F.struct(named(c))) if "<" in kind else named(c) for c, kind in documents.dtypes]
+    return F.xxhash64(*told, *[named(c).isNull() for c in documents.columns])
 
 
 def keep_one_of_each(documents: DataFrame) -> DataFrame:
