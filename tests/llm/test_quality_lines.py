@@ -147,6 +147,13 @@ def test_columns_with_dots(spark):
     assert sorted((r.doc_id, r.text) for r in done.collect()) == [(0, ""), (1, ""), (2, line)]
 
 
+def test_verdicts_beside_columns_with_dots(spark):
+    frame = spark.createDataFrame([(i, f"some ten words of text number {i} and then a few more", "x") for i in range(3)], "doc_id bigint, text string, `a.b` string")
+    assert "a.b" in quality.judge(frame).columns and quality.judge(frame).count() == 3
+    assert quality.keep_good(frame).columns == frame.columns
+    assert sorted(r["a.b"] for r in quality.keep_good(frame).collect()) == ["x"] * quality.judge(frame).where("kept").count()
+
+
 def test_a_hot_line_can_be_split(spark):
     """With broadcasts off the join by line is split where most documents hold one line."""
     off = {

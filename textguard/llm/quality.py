@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textguard.llm.columns import others
 from textguard.llm.words import numbered, row_of_word, slices, windows_in_rows, words_of
 
 
@@ -169,9 +170,8 @@ def _names_out(part: pa.RecordBatch) -> list[str]:
 
 def judge(documents: DataFrame, text: str = "text") -> DataFrame:
     """Each row with its counts, ratios, ``base_failed`` and ``kept``."""
-    others = [c for c in documents.columns if c not in VERDICT_COLUMNS]
     rows = documents.select(
-        F.struct(*others).alias("_row"),
+        F.struct(*others(documents, *VERDICT_COLUMNS)).alias("_row"),
         F.col(text).alias("_text"),
         F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]", "")).cast("bigint").alias("_chars"),
         F.length(F.regexp_replace(F.coalesce(text, F.lit("")), rf"[^{SYMBOLS}]", "")).cast("bigint").alias("_symbols"),
@@ -196,6 +196,5 @@ def judge(documents: DataFrame, text: str = "text") -> DataFrame:
 
 def keep_good(documents: DataFrame) -> DataFrame:
     """The rows that the rules keep, with their own columns."""
-    others = documents.columns
-    renamed = documents.select(F.struct(*others).alias("_whole"), F.col("text").alias("text"))
+    renamed = documents.select(F.struct("*").alias("_whole"), F.col("text").alias("text"))
     return judge(renamed).where("kept").select("_whole.*")
