@@ -94,6 +94,13 @@ def test_repeated_rows_in_one_source(spark):
     assert len(found) == 6 and len({r.copies for r in found if r.doc_id == 1}) == 1
 
 
+def test_columns_with_dots(spark):
+    frame = spark.createDataFrame([(i, "a b", "s", "x") for i in range(3)], "doc_id bigint, text string, source string, `a.b` string")
+    assert {r["a.b"] for r in mixing.draws(frame).collect()} == {"x"}
+    mix = mixing.mixture(frame)
+    assert mix.columns == frame.columns and mix.count() == 3
+
+
 def hard_texts():
     rng = random.Random(9)
     texts = [" ".join(rng.choices(WORDS, k=k)) for k in (0, 1, 5, 50, 900, 2000, 6000)]

@@ -32,6 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textguard.llm.columns import others
 from textguard.llm.scratch import written
 from textguard.llm.words import WORD_PATTERN
 
@@ -132,9 +133,11 @@ def last_draws(placed: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("end") <= F.col("rest"), F.col("turn") + 1)), F.lit(0)).alias("whole"),
         F.coalesce(F.max(F.when(F.col("end") <= F.col("rest"), F.col("end"))), F.lit(0)).alias("before"),
     )
+    # a row a source: Spark broadcasts it by its size, or splits a hot source in the join
+    whole = written(whole, "whole-blocks")
     by_place = Window.partitionBy("number").orderBy("_place")
     partial = (
-        placed.drop("rest").join(F.broadcast(whole), "number")
+        placed.drop("rest").join(whole, "number")
         .where("turn = whole and _size > 0")
         .groupBy("number", "rest", "whole", "before", "_place").agg(F.sum("_size").alias("_size"))
         .select("number", "_place", (F.abs(F.col("rest") - F.col("before") - F.sum("_size").over(by_place))).alias("off"), (F.col("rest") - F.col("before")).alias("none"))
@@ -150,9 +153,8 @@ def draws(documents: DataFrame, with_text: bool = True, seed: int = SEED) -> Dat
     """
     spark = documents.sparkSession
     own = ("size", "source_size", "target", "copies", "shards", *(() if with_text else ("text",)))
-    others = [c for c in documents.columns if c not in own]
     sized = documents.select(
-        F.struct(*others).alias("_row"),
+        F.struct(*others(documents, *own)).alias("_row"),
         F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("bigint").alias("_size"),
         F.col("source").alias("_source"),
         F.col("doc_id").alias("_id"),
@@ -210,7 +212,7 @@ def draws(documents: DataFrame, with_text: bool = True, seed: int = SEED) -> Dat
 
 def mixture(documents: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: a row per copy with its own columns, by shard and shuffled inside it."""
-    whole = documents.select("doc_id", "source", "text", F.struct(*documents.columns).alias("_whole"))
+    whole = documents.select("doc_id", "source", "text", F.struct("*").alias("_whole"))
     drawn = draws(whole, seed=seed).where("copies > 0")
     copies = drawn.select("_whole", F.posexplode("shards").alias("_copy", "_shard"))
     order = F.xxhash64(F.lit(seed), F.col("_whole.doc_id"), "_copy")
