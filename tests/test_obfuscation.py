@@ -327,6 +327,24 @@ def test_ordinary_words_get_the_cascade_mark(spark, words):
     assert fast == apply(spark, cores, WD.cascade_mark)
 
 
+# bare, base64, hex, look-alike, invisible, escaped, alternating and reversed words, and gaps of marks
+PARTS = st.sampled_from(
+    ["the", "ThE", "gnihtemos", "peOple", "w0rld", "aGVsbG8s", "d29ybGQ", "c2ljaA", "68656c6c6f20", "оld", "ol\u200bd",
+     "%41b", "\\u0061bc", "aLtErNaTe", "ÉtÉs", "FÜR", "don't", "2023", "a", "...", "(so)", "x=", "ab+c", "data", "THEN", "eing", "Kaſe"]
+)
+GLUE = st.sampled_from([" ", " ", " ", "\n", " \u3000", "\x1c", ", ", "! (", "", "-"])
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.tuples(PARTS, GLUE), max_size=6), min_size=40, max_size=60), st.lists(WORDY, max_size=100))
+def test_marks_of_a_whole_text_are_those_of_its_words(spark, drawn, words):
+    texts = ["".join(part + glue for part, glue in text) for text in drawn] + [" ".join(words)] + ["", "...", "aB" * 200_000, "ab1 " * 50_000]
+    one_by_one = apply(
+        spark, texts, lambda t: F.array_join(F.transform(P.split_cores(P.trim_whitespace(t)), WD.cascade_mark), "")
+    )
+    assert apply(spark, texts, lambda t: WD.spaced_marks(P.spaced_cores(P.trim_whitespace(t)))) == one_by_one
+
+
 def test_both_forms_of_the_longest_run_agree(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(
         F.col("doc_id").alias("msg_id"), "text"
