@@ -345,6 +345,14 @@ def test_marks_of_a_whole_text_are_those_of_its_words(spark, drawn, words):
     assert apply(spark, texts, lambda t: WD.spaced_marks(P.spaced_cores(P.trim_whitespace(t)))) == one_by_one
 
 
+def test_listed_classes_and_long_texts_of_short_runs(spark):
+    assert P.listed("a-c9+") == "[abc9+]"
+    texts = ["YWJj " * 100_000, "6162 \n" * 100_000, "01100001 01100010 " * 50_000, "YWJj " * 100_000 + "-", "6162\u3000" * 5]
+    assert apply(spark, texts, W.is_base64_text) == [True, False, False, False, False]
+    assert apply(spark, texts, W.is_hex_text) == [False, True, False, False, True]
+    assert apply(spark, texts, W.is_binary_text) == [False, False, True, False, False]
+
+
 def test_both_forms_of_the_longest_run_agree(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(
         F.col("doc_id").alias("msg_id"), "text"
