@@ -345,6 +345,33 @@ def test_marks_of_a_whole_text_are_those_of_its_words(spark, drawn, words):
     assert apply(spark, texts, lambda t: WD.spaced_marks(P.spaced_cores(P.trim_whitespace(t)))) == one_by_one
 
 
+def test_gaps_of_marks_and_wide_spaces(spark):
+    texts = ["... a", "a ...", "a ... b", "a... ...b", "(a), -b-c", "...", "a\u3000, b", "a\u2019s, \u2003 b", "a", "", "." * 100_000 + "a", " ." * 50_000]
+    trimmed = [t.strip() for t in texts]
+    cores = apply(spark, trimmed, lambda t: F.concat(F.lit("\n"), F.array_join(P.split_cores(t), "\n")))
+    assert apply(spark, trimmed, P.spaced_cores) == [c if t else "" for t, c in zip(trimmed, cores)]
+
+
+def test_what_is_read_off_the_marks(spark):
+    marks = [".r__rb.bbr", "", "_.", "xx", None]
+    assert apply(spark, marks, lambda m: F.map_entries(O.type_counts(m))) == [
+        [("reversed", 3), ("base64", 3)], [], [], [("spaced_text", 2)], None
+    ]
+    assert apply(spark, marks, O.encoded_positions) == [[1, 4, 5, 7, 8, 9], [], [], [0, 1], None]
+    assert apply(spark, marks, O.checked_count) == [8, 0, 1, 2, None]
+    assert apply(spark, marks, O.encoded_count) == [6, 0, 0, 2, None]
+    assert apply(spark, marks, O.longest_run) == [3, 0, 0, 2, None]
+
+
+def test_a_report_counts_characters_once_and_marks_by_bytes(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "msg_id int, text string")
+    plan = O.detect_obfuscation(docs)._jdf.queryExecution().optimizedPlan().toString()
+    # the column, and the two counts that only texts with many bytes beyond ASCII come to
+    assert plan.count("length(_trimmed") - plan.count("octet_length(_trimmed") == 3
+    assert plan.count("length(marks") == plan.count("octet_length(marks")
+    assert "marks#" in plan and "IN (_,.,)" not in plan
+
+
 def test_listed_classes_and_long_texts_of_short_runs(spark):
     assert P.listed("a-c9+") == "[abc9+]"
     texts = ["YWJj " * 100_000, "6162 \n" * 100_000, "01100001 01100010 " * 50_000, "YWJj " * 100_000 + "-", "6162\u3000" * 5]
