@@ -126,3 +126,28 @@ def test_every_term_of_two_documents_is_an_input(spark):
     both = [d for d in kept if d % 2 == 0 and d + 1 in kept]
     names = toxicity.word_buckets(pa.array(["common", *[f"pair{d // 2}" for d in both]]))
     assert len(both) > 5 and set(names.tolist()) <= set(machine.slots)
+
+
+def test_factors_do_not_upset_what_single_terms_tell():
+    """Rows of a thousand terms in many batches, one term telling all: factors must not cost a decision."""
+    rng = np.random.default_rng(0)
+    batches, seen, hits = [], np.zeros(20_000, int), np.zeros(20_000, int)
+    for _ in range(10):
+        label = (rng.random(300) < 0.1).astype(float)
+        terms = [np.unique(np.append(rng.zipf(1.3, 3_000) % 19_999 + 1, [0] * int(y)).astype(int)) for y in label]
+        row, slot = np.repeat(np.arange(300), [len(t) for t in terms]), np.concatenate(terms)
+        seen += np.bincount(slot, minlength=20_000)
+        hits += np.bincount(slot[label[row] > 0], minlength=20_000)
+        batches.append(toxicity.batch_of(label, row.astype(np.int32), slot.astype(np.int32)))
+    rate = hits[0] / 3_000
+    bias, linear, factors = toxicity.learned(batches, toxicity.scales(seen, hits, rate), rate)
+
+    def loss(vectors):
+        machine = toxicity.Machine(dict(zip(range(20_000), range(20_000), strict=True)), bias, linear, vectors)
+        scores = [machine.scores(b.row, b.slot, 300) for b in batches]
+        wrong = sum(((s >= toxicity.THRESHOLD) != (b.label > 0)).sum() for s, b in zip(scores, batches, strict=True))
+        likely = [np.where(b.label > 0, s, 1 - s) for s, b in zip(scores, batches, strict=True)]
+        return wrong, -np.log(np.clip(np.concatenate(likely), 1e-12, 1)).sum()
+
+    assert loss(factors)[0] <= loss(0 * factors)[0] + 3
+    assert loss(factors)[1] <= loss(0 * factors)[1] + 1e-6

@@ -9,7 +9,9 @@ toxic together.
 
 The machine is fitted by gradient steps (Adam) over batches of rows, on a bounded sample, the
 ``SAMPLE`` labelled training rows that come first by a hash of their id: bias and weights first, then
-the vectors beside them, from what the single terms leave unexplained. Squares add to the loss: of
+the vectors beside them, from what the single terms leave unexplained. A step of the vectors is bounded by
+what it does to whole rows (``REACH``): a row's pairs grow with the square of its terms, and steps that are
+small for each of a thousand terms would upset it. Squares add to the loss: of
 weights the less, the clearer a term's own relation to the label is, and for no term without bound; of
 vectors for all terms alike, so that terms that tell nothing alone can tell something together. Every text is scored whole. Labels come only from rows whose crc32(doc_id as text) mod
 4 is not 2; labels, lang, source and doc_id are no inputs of a score.
@@ -24,7 +26,7 @@ empty table, other columns pass through unless they carry the names of new colum
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,12 @@ FACTORS = 4
 STEPS = 120
 BATCH = 2048
 RATE = 0.02
+#: A step moves the rows' sums of factors by so much at most (root mean square), falling to none at the last step.
+REACH = 0.2
+#: That is measured on so many rows of a batch; they come in the order of a hash.
+PROBE = 256
+#: Shares of the learned factors of which that with the least mean loss is kept.
+SHARES = (1, 0.5, 0.25, 0.125, 0)
 #: Weight of the squares of linear weights, for a term of scale 1, and of factors in the mean loss.
 SHRINK = (1e-4, 1e-2)
 #: A term's linear scale is (z / FULL) to this power, z its z-score and FLOOR at least.
@@ -255,10 +263,21 @@ def learned(batches: list[Batch], scale: np.ndarray, rate: float) -> tuple[float
             for y, down, (mean, square) in zip(moving, (slope, np.array([off.sum()])), moments):
                 mean += 0.1 * (down - mean)
                 square += 0.001 * (down**2 - square)
-                y -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+                move = RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+                if stage:
+                    some = np.searchsorted(batch.row, PROBE)
+                    probe = replace(batch, label=batch.label[:PROBE], row=batch.row[:some], slot=batch.slot[:some])
+                    far = np.sqrt((_sums(probe, move) ** 2).sum(axis=1).mean())
+                    move *= np.float32(min(1, REACH * (1 - (step - 1) / STEPS) / max(far, 1e-30)))
+                y -= move
         if stage == 0:
             fixed = [_sums(batch, x * unit)[:, 0] for batch in batches]
-    return float(bias[0]), (theta[0] * scale)[:, 0].astype(float), theta[1].astype(float)
+    paired = [_paired(batch, theta[1], _sums(batch, theta[1])) for batch in batches]
+    share = min(SHARES, key=lambda share: sum(
+        np.logaddexp(0, (1 - 2 * batch.label) * (bias + alone + share**2 * pairs)).sum()
+        for batch, alone, pairs in zip(batches, fixed, paired, strict=True)
+    ))
+    return float(bias[0]), (theta[0] * scale)[:, 0].astype(float), theta[1].astype(float) * share
 
 
 def _sums(batch: Batch, weights: np.ndarray) -> np.ndarray:
