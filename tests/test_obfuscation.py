@@ -395,6 +395,15 @@ def test_both_forms_of_the_longest_run_agree(spark, sf):
     assert by_marks.filter("run > 1").count() > 0
 
 
+def test_islands_by_window_grow_with_runs_not_with_words(spark):
+    rows = [(1, i, "leetspeak" if i in (5, 6, 900) else None) for i in range(1000)]
+    rows += [(2, i, None) for i in range(1000)] + [(3, None, None), (None, 0, "hex")]
+    audit = spark.createDataFrame(rows, "msg_id int, pos int, encoding string")
+    islands = O.run_islands(audit)
+    assert sorted((r.msg_id or 0, r.run) for r in islands.collect()) == [(0, 1), (1, 0), (1, 1), (1, 2), (2, 0), (3, 0)]
+    assert {r.msg_id: r.longest_run for r in O.longest_runs_by_window(audit).collect()} == {1: 2, 2: 0, 3: 0, None: 1}
+
+
 def test_quick_flag_computes_no_positions(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(
         F.col("doc_id").alias("msg_id"), "text"
