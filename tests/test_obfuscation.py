@@ -345,6 +345,23 @@ def test_marks_of_a_whole_text_are_those_of_its_words(spark, drawn, words):
     assert apply(spark, texts, lambda t: WD.spaced_marks(P.spaced_cores(P.trim_whitespace(t)))) == one_by_one
 
 
+def test_words_of_many_texts_are_marked_at_once_and_rare_ones_by_the_cascade(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "msg_id int, text string")
+    plan = O.detect_obfuscation(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    texts = [
+        "it\u2019s \u201cso\u201d \u212aelvin\u212aK \u01c5abc a\u00aabc\u00ba \u216babc \u00b5abc \u00dfabc stra\u00dfeNG na\u0131ve",
+        "\u0394abc \u0416\u0434\u0438 \u0435\u0449\u0451 ab\u0301c a\u0361bc \U0001d552bc abc\U0001f600 a\u00adbc \u4f60\u597d\u5417 \u0130stanbul",
+        "deadbeef 6162636465 01100001 ab:cd:ef:01 aa,bb,cc cafe YWJj YWJjZGVm YWJjZ+Vm /////w== ab=cd a%41b %zzabc \\u0061bc \\xyz",
+        "---- " * 3 + "-" * 50 + "abc" + "!" * 50 + " (a) \x01abc \x7fabc ab\x00c", "", "x", "\u3000", None,
+    ]
+    texts += [" ".join(chr(c) + "abc ab" + chr(c) + "C " + chr(c) * 3 for c in range(r, r + 64)) for r in range(0, 0x600, 64)]
+    one_by_one = apply(
+        spark, texts, lambda t: F.array_join(F.transform(P.split_cores(P.trim_whitespace(t)), WD.cascade_mark), "")
+    )
+    assert apply(spark, texts, lambda t: WD.text_marks(P.trim_whitespace(t))) == one_by_one
+
+
 def test_gaps_of_marks_and_wide_spaces(spark):
     texts = ["... a", "a ...", "a ... b", "a... ...b", "(a), -b-c", "...", "a\u3000, b", "a\u2019s, \u2003 b", "a", "", "." * 100_000 + "a", " ." * 50_000]
     trimmed = [t.strip() for t in texts]
